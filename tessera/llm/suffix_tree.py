@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fold, small_batches, texts
 from .symbols import SYMBOLS, alphabet, flat, gram_counts
 
-DEPTH = 6
+DEPTH = 5
 LEAST = 4e-6
 #: Log likelihood (nats) a context must gain for each next symbol it has.
 GAIN = 1.0
@@ -41,19 +41,19 @@ def tree(counts: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: floa
     each = each.select("d", "code", "n", F.shiftright("code", 6).alias("context"))
     total = counts.agg(F.sum("n").alias("total"))
     often = each.groupBy("d", "context").agg(F.sum("n").alias("m")).crossJoin(F.broadcast(total)).where(F.col("m") >= least * F.col("total")).select("d", "context")
-    rows = each.join(often, ["d", "context"]).select("d", "code", "n").toPandas()  # at most SYMBOLS / least rows a depth
-    if not len(rows):  # nothing to learn from
+    rows = each.join(often, ["d", "context"]).select("d", "code", "n").toArrow()  # at most SYMBOLS / least rows a depth
+    depths, codes, ns = (rows.column(c).to_numpy() for c in ("d", "code", "n"))
+    if not len(codes):  # nothing to learn from
         return np.repeat(np.array([[1], [1]], np.int32), SYMBOLS, axis=1), np.full((1, SYMBOLS), -np.log10(SYMBOLS), np.float32)
     contexts, tables, parents, kept = [], [], [], []
     for d in range(depth + 1):
-        part = rows[rows["d"] == d]
-        code, n = part["code"].to_numpy(np.int64), part["n"].to_numpy(float)
+        code, n = codes[depths == d], ns[depths == d].astype(np.float32)
         keys, row = np.unique(code >> 6, return_inverse=True)
-        table = np.zeros((len(keys), SYMBOLS))
+        table = np.zeros((len(keys), SYMBOLS), np.float32)
         table[row, code & 63] = n
         parent = np.searchsorted(contexts[-1], keys & ((1 << 6 * (d - 1)) - 1)) if d else None
-        base = tables[-1][parent] if d else np.full((1, SYMBOLS), 1 / SYMBOLS)
-        m, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
+        base = tables[-1][parent] if d else np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
+        m, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True, dtype=np.float32)
         gained = np.where(table > 0, table * np.log(np.maximum(table, 1) / m / base), 0).sum(axis=1)
         contexts.append(keys)
         tables.append((table + kinds * base) / (m + kinds))
