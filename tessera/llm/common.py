@@ -48,6 +48,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a sieve: a fixed size, which may be broadcast at any input size. A full sieve lets all through.
+SIEVE_BITS = 24
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap of the hashes of the one column of keys, as at most 2^(SIEVE_BITS - 6) rows."""
+    at = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(1 << SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+    return keys.groupBy(F.shiftright(at, 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+
+
+def sieved(df: DataFrame, key: str, words: DataFrame) -> DataFrame:
+    """df with the column __maybe: false if the key certainly isn't among those of the sieve."""
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << SIEVE_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+    both = df.join(F.broadcast(words), F.shiftright(at, 6) == F.col("__word"), "left")
+    return both.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, mod n; a null key is taken as the text 'null'."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")) % n

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hashes, mixed, small_batches, stored, texts
+from .common import checkpointed, hashes, mixed, sieve, sieved, small_batches, stored, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -189,7 +189,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
             found = shingles(texts(batch), size, seen)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([tree_keys(s, trees, depth, length) for s in found], pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "keys", "shingles"])
 
-    texts_needed = docs.join(dealt.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = dealt.select("doc_id").distinct()
+    likely = sieved(docs, "doc_id", sieve(wanted)).where("__maybe").drop("__maybe")  # few texts are shuffled
+    texts_needed = likely.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     full = dealt.join(texts_needed.select("doc_id", "text").mapInArrow(sets, "doc_id bigint, keys array<bigint>, shingles binary"), "doc_id")
     task = ["tree", "key", "i", "j"]
     # tasks are read as a stream from sorted partitions: one task's rows are held at a time
