@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mixed, small_batches, stored, texts
+from .common import hashes, mixed, sieve, sieved, small_batches, stored, texts
 
 WINDOW = 50
 ROUNDS = 4
@@ -158,8 +158,8 @@ def laid_out(batch: list, seen: dict):
     return hashes(flat, seen), bounds[:-1], bounds[1:]
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and spans (arrays of [start, end) word places, any order, may overlap) of the windows that also start in a document
+def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(documents, spans): the rows of docs with __maybe, false for those that certainly have no repeats, and doc_id and spans (arrays of [start, end) word places, any order, may overlap) of the windows that also start in a document
     with a smaller doc_id. Documents without such windows, and null doc_ids, have no row."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -182,6 +182,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     shared = kinds.join(several, "name", "left").where("least < most or several").select("name", "stretch", "least", "several")
     known = stored(every.join(shared, ["name", "stretch"]).select("doc_id", "low", "high", (F.col("doc_id") > F.col("least")).alias("repeats"), F.coalesce("several", F.lit(False)).alias("several")).where("repeats or several"))
     # the first document of a stretch may share single windows with other stretches of the same anchor
+    docs = sieved(docs, "doc_id", sieve(known.select("doc_id")))  # the texts of other documents aren't shuffled
     look = known.where("not repeats").groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
     def windows(batches):
@@ -201,11 +202,11 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
                 h = [Hasher(names, k).of(at, at + window) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int64)), pa.array((at - own).astype(np.int32)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64))], ["doc_id", "pos", "h1", "h2"])
 
-    single = docs.join(look, "doc_id").select("doc_id", "text", "ranges").mapInArrow(windows, "doc_id bigint, pos int, h1 bigint, h2 bigint")
+    single = docs.where("__maybe").drop("__maybe").join(look, "doc_id").select("doc_id", "text", "ranges").mapInArrow(windows, "doc_id bigint, pos int, h1 bigint, h2 bigint")
     least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     found = single.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", F.col("pos").alias("start"), (F.col("pos") + window).alias("end"))
     spans = known.where("repeats").select("doc_id", F.col("low").alias("start"), (F.col("high") + window).alias("end")).unionByName(found)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return docs, spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
@@ -217,8 +218,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     """
     import numpy as np
 
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    gone = repeated_words(docs, window, rounds)
+    ids, gone = repeated_words(docs, window, rounds)
 
     def cut(batches):
         import pyarrow as pa
@@ -240,4 +240,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
                 kept.append(b" ".join(w for w, s in zip(ws, stay.tolist(), strict=True) if s))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return ids.join(gone, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    hit = ids.where("__maybe").drop("__maybe").join(gone, "doc_id", "left").select("doc_id", "text", "spans")
+    rest = ids.where("not __maybe").select("doc_id", "text", F.lit(None).cast(gone.schema["spans"].dataType).alias("spans"))
+    return hit.unionByName(rest).mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
