@@ -16,7 +16,7 @@ from .common import small_batches, stored, texts
 UNIT = 64
 RATE = 8000
 #: Chunk sizes in bytes: none smaller but the last, none larger; cuts come about every 2^CUT_BITS bytes beyond the least.
-LEAST, MOST, CUT_BITS = 256, 8192, 10
+LEAST, MOST, CUT_BITS = 256, 16384, 11
 #: Bits of the filter of digests that stand more than once: a fixed size. If it fills up, more chunks go to the shared store, no more.
 FILTER_BITS = 24
 #: Between the values of common letters.
@@ -98,7 +98,7 @@ def place(d: bytes) -> int:
 def packed(chunk: bytes) -> bytes:
     import zstandard
 
-    return zstandard.compress(chunk, 1)
+    return zstandard.compress(chunk, 3)
 
 
 def features(samples: bytes) -> str:
@@ -127,9 +127,9 @@ def repeated(docs: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64()), pa.array([place(d) for d in c], pa.int64())], ["digest", "n", "place"])
 
     seen = docs.mapInArrow(found, "digest binary, n bigint, place bigint").groupBy("digest", "place").agg(F.sum("n").alias("n")).where("n > 1")
-    words = seen.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63).cast("int"))).alias("bits")).toPandas()  # at most 2^(FILTER_BITS - 6) rows
+    words = seen.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()  # at most 2^(FILTER_BITS - 6) rows
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out.tobytes()
 
 
