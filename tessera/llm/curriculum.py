@@ -72,8 +72,13 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     goal = targets(totals.select("source", "source_size"), weights, share, most, ramps)
     plan = goal.join(totals.select("source", "digits").withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     named = docs.join(plan.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("slice", F.substr("key", F.lit(1), F.col("digits")))
-    slices = named.groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    start = slices.select(F.col("source").alias("__s"), F.col("slice").alias("__p"), (F.sum("words").over(Window.partitionBy("source").orderBy("slice")) - F.col("words")).alias("start"))
+    # running sums in two steps: of runs of slices in a source, and of slices in a run
+    run = F.substr("slice", F.lit(1), F.floor(F.length("slice") / 2).cast("int"))
+    slices = named.groupBy("source", "slice").agg(F.sum("size").alias("words")).withColumn("run", run)
+    runs = slices.groupBy("source", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select(F.col("source").alias("__r"), F.col("run").alias("__n"), (F.sum("words").over(Window.partitionBy("source").orderBy("run")) - F.col("words")).alias("before"))
+    within_run = F.sum("words").over(Window.partitionBy("source", "run").orderBy("slice")) - F.col("words")
+    start = slices.withColumn("ahead", within_run).join(runs, F.col("source").eqNullSafe(F.col("__r")) & (F.col("run") == F.col("__n"))).select(F.col("source").alias("__s"), F.col("slice").alias("__p"), (F.col("before") + F.col("ahead")).alias("start"))
     placed = named.join(start, F.col("source").eqNullSafe(F.col("__s")) & (F.col("slice") == F.col("__p"))).drop("__s", "__p")
     within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("size").over(within) - F.col("size") / 2.0
