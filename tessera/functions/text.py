@@ -45,11 +45,8 @@ def clean(keep_diacritics: bool = True):
 
 def ngrams(text: Column, n: int = 3) -> Column:
     """All n-grams of a text in order, as an array; empty if the text is shorter than n. Linear in the text's length."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    out = chars
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(chars, k + 1, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    return F.filter(out, lambda g: g.isNotNull())
+    # an empty match that looks ahead; not inside a character beyond the 16-bit plane
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n), F.lit(1))
 
 
 def safe(label: Column) -> Column:

@@ -26,7 +26,7 @@ def test_clean(spark):
     assert one(spark, tx.clean_sql(F.col("t")), t=None) is None
 
 
-@pytest.mark.parametrize(("text", "n", "expected"), [("abcab", 3, ["abc", "bca", "cab"]), ("ab", 3, []), ("", 1, []), ("a b", 1, ["a", " ", "b"])])
+@pytest.mark.parametrize(("text", "n", "expected"), [("abcab", 3, ["abc", "bca", "cab"]), ("ab", 3, []), ("", 1, []), ("a b", 1, ["a", " ", "b"]), ("a𝒜b\n", 2, ["a𝒜", "𝒜b", "b\n"])])
 def test_ngrams(spark, text, n, expected):
     assert one(spark, tx.ngrams(F.col("t"), n), t=text) == expected
 
