@@ -118,8 +118,8 @@ def anchors(names, begin, end, window: int, rounds: int):
     if not len(p):
         return [np.zeros(0, np.int64)] * 5
     # a window holds the symbols from the first with low >= p to the last with high <= p + window
-    lo = np.searchsorted(x.low, p)
-    hi = np.searchsorted(x.high, p + window, "right")
+    lo = np.cumsum(np.bincount(x.low + 1, minlength=n + 1))[p]
+    hi = np.cumsum(np.bincount(x.high, minlength=n + 2))[p + window]
     length = np.diff(np.r_[x.first, n])
     rank = (np.uint64(63) - np.minimum(length, 63).astype(np.uint64) << np.uint64(58)) | (x.name >> np.uint64(6))
     best = [np.arange(len(rank))]
