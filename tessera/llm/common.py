@@ -67,6 +67,26 @@ def sieved(df: DataFrame, key: str, words: DataFrame) -> DataFrame:
     return both.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
 
 
+#: Keys with more than this share of all rows are split in split_join(); there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS, SALTS = 1 / 2000, 100, 64
+
+
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """many joined to one on keys, hot keys being dealt out to SALTS tasks.
+
+    one has a row a key, and n, at least the number of rows that many has of the key; the n add up to about total. Columns n and __salt
+    don't come through, and null keys join nothing.
+    """
+    hot = F.col("n") > max(HOT_ROWS, HOT_SHARE * total)
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    few = one.where(hot).select(*named, F.lit(True).alias("__hot"))  # fewer than 1 / HOT_SHARE rows at any input size
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = many.join(F.broadcast(few), same, "left").withColumn("__salt", salt).select(*many.columns, "__salt")
+    copies = one.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, mod n; a null key is taken as the text 'null'."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")) % n

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, texts
+from .common import sieve, sieved, small_batches, split_join, stored, texts
 
 MIN_SITES = 10
 SKETCH_BITS = 12
@@ -31,15 +31,19 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
         .select("doc_id", "site", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
     )
     key = ["h1", "h2"]
-    often = lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select(*key)
-    lines = lines.join(often, key)
-    spread = lines.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", bits)).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    often = lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    # only lines that may stand often enough are written; each step below combines a line's rows before they are dealt out
+    lines = stored(sieved(lines, "h1", sieve(often.select("h1"))).where("__maybe").drop("__maybe"))
+    spread = stored(lines.groupBy(*key).agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", bits)).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first")).where(F.col("n") >= min_sites))
     band = 4 * 1.04 / 2 ** (bits / 2)
-    sure = spread.where(F.col("sites") > min_sites * (1 + band)).select(*key, "first")
-    near = spread.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select(*key, "first")
-    exact = lines.join(near, key).select(*key, "site", "first").distinct().groupBy(*key, "first").agg(F.count("*").alias("sites"))
-    found = sure.unionByName(exact.where(F.col("sites") >= min_sites).select(*key, "first"))
-    return lines.join(found, key).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos")
+    sure = spread.where(F.col("sites") > min_sites * (1 + band)).drop("sites")
+    near = spread.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).drop("sites")
+    close = sieved(lines, "h1", sieve(near.select("h1"))).where("__maybe").select(*key, "site").distinct()
+    exact = close.groupBy(*key).agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select(*key)
+    found = stored(sure.unionByName(near.join(exact, key)))
+    rows = found.agg(F.sum("n")).first()[0] or 0
+    hit = sieved(lines, "h1", sieve(found.select("h1"))).where("__maybe").select(*key, "doc_id", "pos")
+    return split_join(hit, found, key, rows).where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("doc_id", "pos")
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, bits: int = SKETCH_BITS) -> DataFrame:

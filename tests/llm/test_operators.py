@@ -158,6 +158,27 @@ def test_lines(docs, empty, spark):
     assert line_dedup.line_dedup(docs).count() == docs.count()
 
 
+def test_split_join(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(k, i) for k in (1, 2, None) for i in range(20 if k == 1 else 3)], "k bigint, i int")
+    one = spark.createDataFrame([(1, 20, "a"), (2, 3, "b"), (5, 9, "c")], "k bigint, n bigint, x string")
+    for total in (26, 100_000):  # key 1 is hot, and no key is
+        got = common.split_join(many, one, ["k"], total)
+        assert got.columns == ["k", "i", "x"]
+        assert sorted(map(tuple, got.collect())) == sorted([(1, i, "a") for i in range(20)] + [(2, i, "b") for i in range(3)])
+
+
+def test_lines_hot(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = [(i % 30, f"hot\nown {i}", f"s{i % 10}") for i in range(60)] + [(None, "hot", None)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == 61 and all(r["__n_removed"] == int(r.doc_id is not None) for r in got)  # the first occurrence has a null doc_id
+
+
 def test_mixture(docs, empty):
     rows = [(r[0], len(split(r[1])), r[3]) for r in corpus()]
     total = defaultdict(int)
