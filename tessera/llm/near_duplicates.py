@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hashes, mixed, sieve, sieved, small_batches, stored, texts
+from .common import checkpointed, hashes, mixed, sieve, sieved, small_batches, split_join, stored, texts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -122,8 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+        above = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        large = split_join(above, least, ["u"], edges.count()).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()

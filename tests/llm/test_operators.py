@@ -113,6 +113,21 @@ def test_jaccard(docs, empty, spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (c, _, _) in brute_links([(r[0], r[1]) for r in corpus()]).items() if c == i}
 
 
+def test_components(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = random.Random(7)
+    edges = [(0, i) for i in range(1, 30)] + [(29, 40), (41, 40)] + [(i, i + 1) for i in range(100, 120)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (1, 0)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r.node: r.label for r in near_duplicates.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: m for x, m in label.items() if m != x and x in linked}
+
+
 def test_decontamination(docs, empty, spark):
     rows = corpus()
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
