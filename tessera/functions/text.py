@@ -145,3 +145,8 @@ def within(a: Column, b: Column, tolerance: float = 0.12) -> Column:
 def fixed_family(family: Column) -> Column:
     """Cleaned family names: fixed renames, no (?) and NA for none."""
     return F.when(family == "Altaic", "Turkic").when(family == "Altaic(?)", "Koreanic").otherwise(F.coalesce(F.nullif(F.trim(F.replace(family, F.lit("(?)"), F.lit(""))), F.lit("")), F.lit("NA")))
+
+
+def fixed_script(language: Column, script: Column) -> Column:
+    """The script of a language's metadata; Icelandic's is Latin whatever they say."""
+    return F.when(language == "Icelandic", "Latin").otherwise(script)

@@ -188,6 +188,19 @@ def gold_splits(groups: DataFrame, *levels: str) -> DataFrame:
     return t.select(smaller.alias("split")).distinct()
 
 
+def containing_clade(groups: DataFrame, clades: DataFrame) -> DataFrame:
+    """group, clade, size, exact: the smallest of the clades (split) that holds all leaves of a group (leaf, group); null if none does.
+
+    exact says that the clade has no other leaves. Of clades of one size, the first by its leaves counts.
+    """
+    members = groups.groupBy("group").agg(F.collect_set("leaf").alias("members"))
+    # a clade that holds a group holds its first leaf: an equi-join finds the candidates
+    held = clades.select("split", F.explode("split").alias("first"))
+    t = members.withColumn("first", F.array_min("members")).join(held, "first").where(F.size(F.array_except("members", "split")) == 0)
+    best = t.groupBy("group").agg(F.min(F.struct(F.size("split").alias("size"), "split")).alias("x"))
+    return members.join(best, "group", "left").select("group", F.col("x.split").alias("clade"), F.col("x.size").alias("size"), (F.col("x.size") == F.size("members")).alias("exact"))
+
+
 def gold_newick(rows: list[tuple[str, ...]]) -> str:
     """The nested tree of (leaf, family, genus, subgenus) rows; levels of one child collapse; a missing family is NA, others _."""
     def nest(part: list[tuple[str, ...]], depth: int) -> str:

@@ -125,7 +125,11 @@ def miller_madow(spark, d):
     return rounded(profiles.block_entropy(grams(spark, d), "mm"))
 
 
-@query()
+#: The estimator's terms by their recurrence: G(1) = -gamma - ln 2, G(2 m) = G(2 m + 1) = G(1) + 2 (1 + 1/3 + ... + 1/(2 m - 1)).
+GR = """t AS (SELECT 0 AS m, 0.0::DOUBLE AS s UNION ALL SELECT m, sum(2.0::DOUBLE / (2 * m - 1)) OVER (ORDER BY m) FROM (SELECT unnest(range(1, (SELECT max(c) // 2 + 1 FROM p))) AS m)) """
+
+
+@query(f"WITH {U}{CH}{gram_sql(3)}{GR}SELECT leaf, round((ln(sum(c)) - sum(c * (s - 0.5772156649015329 - ln(2))) / sum(c)) / ln(2), 6) AS h FROM p JOIN t ON m = c // 2 GROUP BY leaf")
 def grassberger(spark, d):
     return rounded(profiles.block_entropy(grams(spark, d), "grassberger"))
 
@@ -290,6 +294,13 @@ def gqd_from_splits(spark, d):
     return rounded(quartets.gqd(quartets.quartets(n.select("leaf")), trees.gold_splits(n, "initial"), trees.gold_splits(n, "family")))
 
 
+@query(f"WITH {GS}, i AS (SELECT initial AS grp, list(leaf ORDER BY leaf) AS members FROM t GROUP BY initial) SELECT grp AS \"group\", arg_min(array_to_string(split, '|'), (len(split), split)) AS clade, min(len(split))::INT AS size, min(len(split)) = any_value(len(members)) AS exact FROM i JOIN gs ON list_has_all(split, members) GROUP BY grp")
+def containing_clade(spark, d):
+    n = nations(spark, d)
+    found = trees.containing_clade(n.select("leaf", F.col("initial").alias("group")), trees.gold_splits(n, "family").unionByName(trees.gold_splits(n, "initial")))
+    return found.where("clade is not null").withColumn("clade", F.array_join("clade", "|"))
+
+
 DL = """lf AS (SELECT DISTINCT leaf FROM w), q AS (SELECT a.leaf AS a, b.leaf AS b, c.leaf AS c, e.leaf AS e FROM lf a JOIN lf b ON a.leaf < b.leaf JOIN lf c ON b.leaf < c.leaf JOIN lf e ON c.leaf < e.leaf),
 s AS (SELECT list_sort([ab.d + ce.d, ac.d + be.d, ae.d + bc.d]) AS s FROM q JOIN d ab ON (ab.i, ab.j) = (a, b) JOIN d ac ON (ac.i, ac.j) = (a, c) JOIN d ae ON (ae.i, ae.j) = (a, e) JOIN d bc ON (bc.i, bc.j) = (b, c) JOIN d be ON (be.i, be.j) = (b, e) JOIN d ce ON (ce.i, ce.j) = (c, e))
 SELECT round(avg(CASE WHEN s[3] - s[1] <= 1e-12 THEN 0.0 ELSE (s[3] - s[2]) / (s[3] - s[1]) END), 6) AS delta, count(*) AS n FROM s"""
@@ -363,6 +374,11 @@ def binary_matrix(spark, d):
     return characters.binary_matrix(characters.single_linkage(brands(spark, d)))
 
 
+@query(f"{CG}z AS (SELECT concept, root, count(DISTINCT leaf) AS size FROM c GROUP BY 1, 2 HAVING count(DISTINCT leaf) >= 2), o AS (SELECT leaf, count(*) AS ones FROM (SELECT DISTINCT leaf, concept, root FROM c) JOIN z USING (concept, root) GROUP BY leaf) SELECT leaf, round(coalesce(ones, 0) / (SELECT count(*) FROM z), 6) AS share FROM (SELECT DISTINCT leaf FROM w) LEFT JOIN o USING (leaf)")
+def matrix_fill(spark, d):
+    return rounded(characters.fill(characters.binary_matrix(characters.single_linkage(brands(spark, d)))))
+
+
 EXCLUDED = ("the", "he ", " th", "ion", "ent")
 SQL_EXCLUDED = ", ".join(f"'{g}'" for g in EXCLUDED)
 

@@ -39,6 +39,7 @@ def test_labels_and_tokens(spark):
     assert one(spark, tx.script_of(F.col("t")), t="__label__eng_Latn") == "Latn"
     assert bytes(one(spark, tx.byte_cap(F.col("t"), 2), t="éa")) == "é".encode()
     assert one(spark, tx.ndist(F.col("a"), F.col("b")), a="kitten", b="sitting") == pytest.approx(3 / 7)
+    assert one(spark, tx.fixed_script(F.col("a"), F.col("b")), a="Icelandic", b="Ethiopic") == "Latin"
     assert sorted(one(spark, tx.shuffle_chars(1)("t"), t="abcabc")) == sorted("abcabc")
     assert one(spark, tx.transcribed(F.col("t"), F.lit("x"), {"x": {"a": "b"}}), t="aa").asDict() == {"text": "bb", "status": "ok"}
     assert one(spark, tx.transcribed(F.col("t"), F.lit("y"), {"x": {"a": "b"}}), t="aa").status == "no map"
@@ -106,6 +107,13 @@ def test_trees(spark):
     assert r.observed == 0 and r.n_splits == 1
 
 
+def test_containing_clade(spark):
+    groups = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("a", "z"), ("f", "z"), ("c", "w"), ("d", "w")], "leaf string, group string")
+    clades = spark.createDataFrame([(["a", "b"],), (["a", "b", "c"],), (["c", "d", "e"],), (["b", "c", "d"],)], "split array<string>")
+    got = {r.group: (r.clade, r.size, r.exact) for r in trees.containing_clade(groups, clades).collect()}
+    assert got == {"x": (["a", "b"], 2, True), "y": (["a", "b", "c"], 3, False), "z": (None, None, None), "w": (["b", "c", "d"], 3, False)}
+
+
 def test_quartets(spark):
     leaves = spark.createDataFrame([(x,) for x in "abcd"], "leaf string")
     q = quartets.quartets(leaves)
