@@ -263,10 +263,10 @@ def flagship(spark, d):
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select(F.col("n_name").alias("leaf"), F.col("r_name").alias("family"), F.substring("n_name", 1, 1).alias("initial"))
+    return n.select(F.col("n_name").alias("leaf"), F.col("r_name").alias("family"), F.substring("n_name", 8, 1).alias("initial"))  # of NATION_12: 1, which cuts across regions
 
 
-GS = """t AS (SELECT n_name AS leaf, r_name AS family, n_name[1] AS initial FROM nation JOIN region ON n_regionkey = r_regionkey), n AS (SELECT count(*) AS n FROM t),
+GS = """t AS (SELECT n_name AS leaf, r_name AS family, n_name[8] AS initial FROM nation JOIN region ON n_regionkey = r_regionkey), n AS (SELECT count(*) AS n FROM t),
 sp(lv, split) AS (SELECT 'family', list(leaf ORDER BY leaf) FROM t GROUP BY family UNION ALL SELECT 'initial', list(leaf ORDER BY leaf) FROM t GROUP BY initial),
 gs AS (SELECT DISTINCT lv, CASE WHEN len(split) * 2 <= n THEN split ELSE (SELECT list(leaf ORDER BY leaf) FROM t WHERE NOT list_contains(split, leaf)) END AS split FROM sp, n WHERE len(split) >= 2 AND n - len(split) >= 2) """
 
@@ -294,10 +294,10 @@ def gqd_from_splits(spark, d):
     return rounded(quartets.gqd(quartets.quartets(n.select("leaf")), trees.gold_splits(n, "initial"), trees.gold_splits(n, "family")))
 
 
-@query(f"WITH {GS}, i AS (SELECT initial AS grp, list(leaf ORDER BY leaf) AS members FROM t GROUP BY initial) SELECT grp AS \"group\", arg_min(array_to_string(split, '|'), (len(split), split)) AS clade, min(len(split))::INT AS size, min(len(split)) = any_value(len(members)) AS exact FROM i JOIN gs ON list_has_all(split, members) GROUP BY grp")
+@query(f"WITH {GS}, i AS (SELECT right(leaf, 1) AS grp, list(leaf ORDER BY leaf) AS members FROM t GROUP BY grp) SELECT grp AS \"group\", arg_min(array_to_string(split, '|'), (len(split), split)) AS clade, min(len(split))::INT AS size, min(len(split)) = any_value(len(members)) AS exact FROM i JOIN gs ON list_has_all(split, members) GROUP BY grp")
 def containing_clade(spark, d):
     n = nations(spark, d)
-    found = trees.containing_clade(n.select("leaf", F.col("initial").alias("group")), trees.gold_splits(n, "family").unionByName(trees.gold_splits(n, "initial")))
+    found = trees.containing_clade(n.select("leaf", F.right("leaf", F.lit(1)).alias("group")), trees.gold_splits(n, "family").unionByName(trees.gold_splits(n, "initial")))
     return found.where("clade is not null").withColumn("clade", F.array_join("clade", "|"))
 
 
