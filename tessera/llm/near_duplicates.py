@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hashes, mixed, sieve, sieved, small_batches, split_join, stored, texts
+from .common import checkpointed, mixed, sieve, sieved, small_batches, split_join, stored, texts, word_names
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -31,19 +31,15 @@ def prefix(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: flo
     return depth
 
 
-def shingles(batch: list, size: int, seen: dict) -> list:
+def shingles(batch: list, size: int) -> list:
     """For each text the sorted distinct hashes of its shingles: `size` lower-case words, or all words of a shorter text."""
     import numpy as np
 
-    flat, bounds = [], [0]
-    for t in batch:
-        flat += t.lower().split() if t else []
-        bounds.append(len(flat))
-    h = hashes(flat, seen)
+    names, begin, end = word_names([t.lower() if t else b"" for t in batch])
     out = []
     factor = np.uint64(0x9E3779B97F4A7C15)
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        own = h[a:b]
+    for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+        own = names[a:b]
         k = min(size, len(own))
         if not k:
             out.append(own)
@@ -155,10 +151,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
         import pyarrow as pa
         import xxhash
 
-        seen: dict = {}
         for batch in batches:
             keys, h1, h2 = [], [], []
-            for s in shingles(texts(batch), size, seen):
+            for s in shingles(texts(batch), size):
                 if len(s):
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
                     h1.append((d >> 64) - (1 << 63))
@@ -185,9 +180,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHIN
     def sets(batches):
         import pyarrow as pa
 
-        seen: dict = {}
         for batch in batches:
-            found = shingles(texts(batch), size, seen)
+            found = shingles(texts(batch), size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([tree_keys(s, trees, depth, length) for s in found], pa.list_(pa.int64())), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "keys", "shingles"])
 
     wanted = dealt.select("doc_id").distinct()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, mixed, sieve, sieved, small_batches, stored, texts
+from .common import mixed, sieve, sieved, small_batches, stored, texts, word_names
 
 WINDOW = 50
 ROUNDS = 4
@@ -146,18 +146,6 @@ def anchors(names, begin, end, window: int, rounds: int):
     return t, name, stretch, start - begin[t], p[last] - begin[t]
 
 
-def laid_out(batch: list, seen: dict):
-    """Word names of all texts in a row, and where each begins and ends."""
-    import numpy as np
-
-    flat, bounds = [], [0]
-    for t in batch:
-        flat += words(t)
-        bounds.append(len(flat))
-    bounds = np.array(bounds, np.int64)
-    return hashes(flat, seen), bounds[:-1], bounds[1:]
-
-
 def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): the rows of docs with __maybe, false for those that certainly have no repeats, and doc_id and spans (arrays of [start, end) word places, any order, may overlap) of the windows that also start in a document
     with a smaller doc_id. Documents without such windows, and null doc_ids, have no row."""
@@ -169,9 +157,8 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
         import numpy as np
         import pyarrow as pa
 
-        seen: dict = {}
         for batch in batches:
-            names, begin, end = laid_out(texts(batch), seen)
+            names, begin, end = word_names(texts(batch))
             t, name, stretch, low, high = anchors(names, begin, end, window, rounds)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(ids[t].astype(np.int64)), pa.array(name.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["doc_id", "name", "stretch", "low", "high"])
@@ -189,12 +176,11 @@ def repeated_words(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
         import numpy as np
         import pyarrow as pa
 
-        seen: dict = {}
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             held, ranges = texts(batch), batch.column("ranges").to_pylist()
             for i in range(0, len(held), 200):  # few texts at a time: each makes a row for each window
-                names, begin, _ = laid_out(held[i : i + 200], seen)
+                names, begin, _ = word_names(held[i : i + 200])
                 at = [np.arange(b + r["low"], b + r["high"] + 1) for b, rs in zip(begin.tolist(), ranges[i : i + 200], strict=True) for r in rs]
                 of = [np.full(sum(r["high"] + 1 - r["low"] for r in rs), d) for d, rs in zip(ids[i : i + 200].tolist(), ranges[i : i + 200], strict=True)]
                 own = np.repeat(begin, [len(x) for x in of])

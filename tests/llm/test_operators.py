@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, decontaminate, language_id, line_dedup, media, near_duplicates, quality, substring_dedup, suffix_tree, symbols, toxicity
+from tessera.llm import common, curriculum, decontaminate, language_id, line_dedup, media, near_duplicates, quality, substring_dedup, suffix_tree, symbols, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, keys string, copies string"
 WORDS = [a + b for a in ("th", "er", "on", "in", "es") for b in ("a", "at", "en", "or", "is", "ou")]
@@ -46,6 +46,19 @@ def split(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+def test_word_names():
+    """Equal words, and only they, have equal names, in slabs of any size; words end where bytes.split() ends them."""
+    rng = random.Random(1)
+    batches = [[None if rng.random() < 0.1 else bytes(rng.choice(b" \t\n\x0b\x0c\r\x1c\x00\xc2\x85\xa0ab") for _ in range(rng.choice([0, 1, 3, 30, 300]))) for _ in range(k % 5)] for k in range(100)]
+    names = {}
+    for batch in [*batches, [b"a" * 300_000 + b" b " + b"c" * 140_000, b"x" * 131_072 + b" y"]]:
+        got, begin, end = common.word_names(batch)
+        assert [int(n) for n in end - begin] == [len((t or b"").split()) for t in batch]
+        for w, h in zip([w for t in batch for w in (t or b"").split()], got.tolist(), strict=True):
+            assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+
+
 def brute_substring(rows, n=50):
     first = {}
     for i, t in rows:
