@@ -1,9 +1,11 @@
 """LM scoring by a probabilistic suffix tree.
 
-The tree's nodes are contexts of up to DEPTH symbols. A context is a candidate if it makes up at least the share
-LEAST of all symbols, so that each depth has at most 1 / LEAST of them at any input size; it stays if its next-symbol counts
-diverge from its parent's by a likelihood-ratio test, or if a longer context that ends in it stays. Its distribution is
-smoothed towards its parent's. A text is scored by the longest context at each symbol.
+The tree's nodes are contexts of up to DEPTH symbols. A context is a candidate if it stands LEAST times, so that the tree grows with
+the input; it stays if its next-symbol counts diverge from its parent's by a likelihood-ratio test, or if a longer context that ends
+in it stays. Its distribution is smoothed towards its parent's. A text is scored by the longest context at each symbol.
+
+Contexts of NEAR and more symbols lie in shards, by the NEAR symbols next to the predicted one; only shorter ones, which are bounded by
+the alphabet, are broadcast. Blocks of documents send their distinct strings of DEPTH + 1 symbols to the shards, and get logs back.
 """
 
 from __future__ import annotations
@@ -11,11 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, small_batches, word_names
-from .symbols import SYMBOLS, alphabet, flat, gram_counts
+from .common import checkpointed, fold, small_batches, stored, word_names
+from .symbols import SYMBOLS, alphabet, flat, gram_counts, grams, inside
 
 DEPTH = 5
-LEAST = 4e-6
+#: Times that a candidate stands in the training texts, whatever their size.
+LEAST = 20
+#: Symbols that name a context's shard. Shorter contexts have at most SYMBOLS^NEAR counts.
+NEAR = 3
 #: Log likelihood (nats) a context must gain for each next symbol it has.
 GAIN = 1.0
 #: The name of the end, beside the 64-bit names of words.
@@ -29,6 +34,7 @@ def joined(text: bytes) -> bytes:
 def tree(counts: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN):
     """(child, logp) from counts of depth + 1 symbols: child[node, symbol before] -> node, logp[node, next symbol] in log10.
 
+    The whole tree in memory, for small inputs; suffix_tree_scores() gives the same from shards.
     Nodes from the middle of child on are those that the search has left: they lead to themselves.
     """
     import numpy as np
@@ -36,9 +42,8 @@ def tree(counts: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: floa
     masks = F.transform(F.array(*map(F.lit, range(depth + 1))), lambda d: F.struct(d.alias("d"), F.col("code").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), ((d + 1) * 6).cast("int")) - 1).alias("code")))
     each = counts.select(F.explode(masks).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
     each = each.select("d", "code", "n", F.shiftright("code", 6).alias("context"))
-    total = counts.agg(F.sum("n").alias("total"))
-    often = each.groupBy("d", "context").agg(F.sum("n").alias("m")).crossJoin(F.broadcast(total)).where(F.col("m") >= least * F.col("total")).select("d", "context")
-    rows = each.join(often, ["d", "context"]).select("d", "code", "n").toArrow()  # at most SYMBOLS / least rows a depth
+    often = each.groupBy("d", "context").agg(F.sum("n").alias("m")).where((F.col("d") == 0) | (F.col("m") >= least)).select("d", "context")
+    rows = each.join(often, ["d", "context"]).select("d", "code", "n").toArrow()
     depths, codes, ns = (rows.column(c).to_numpy() for c in ("d", "code", "n"))
     if not len(codes):  # nothing to learn from
         return np.repeat(np.array([[1], [1]], np.int32), SYMBOLS, axis=1), np.full((1, SYMBOLS), -np.log10(SYMBOLS), np.float32)
@@ -90,6 +95,136 @@ def log10_of(batch: list, model: tuple, depth: int):
     return out
 
 
+class Level:
+    """Counts of all next symbols of the contexts of one length: sorted codes of context and next symbol, and their counts."""
+
+    def __init__(self, code, n):
+        import numpy as np
+
+        self.code, self.n = code, n
+        self.context, self.of = np.unique(code >> 6, return_inverse=True)
+        self.m = np.bincount(self.of, n, len(self.context))
+        self.kinds = np.bincount(self.of, minlength=len(self.context))
+
+    def only(self, stays) -> Level:
+        """The level with the contexts for which stays is true."""
+        return Level(self.code[stays[self.of]], self.n[stays[self.of]])
+
+    def smoothed(self, code, p, going):
+        """p, by shorter contexts, smoothed by this level where it has the context, and where it has; only places that are going are looked at."""
+        import numpy as np
+
+        if not len(self.code):
+            return p, np.zeros(len(p), bool)
+        at = np.minimum(np.searchsorted(self.context, code >> 6), len(self.context) - 1)
+        place = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        going = going & (self.context[at] == code >> 6)
+        n = np.where(self.code[place] == code, self.n[place], 0)
+        return np.where(going, (n + self.kinds[at] * p) / (self.m[at] + self.kinds[at]), p), going
+
+
+def lowest(code, d: int):
+    """The code of the last d + 1 symbols: a context of d symbols, and the next."""
+    return code & ((1 << 6 * (d + 1)) - 1)
+
+
+def probability(code, levels: list):
+    """The probability of each code's last symbol after the longest context that levels, from depth 0 on, have."""
+    import numpy as np
+
+    p, going = np.full(len(code), 1 / SYMBOLS), np.ones(len(code), bool)
+    for d, level in enumerate(levels):
+        p, going = level.smoothed(lowest(code, d), p, going)
+    return p
+
+
+def grown(code, n, shorter: list, depth: int, least: float, gain: float):
+    """(levels, kept): the candidates of len(shorter) to depth symbols from counts, and which of them stay."""
+    import numpy as np
+
+    levels, kept = [], []
+    for d in range(len(shorter), depth + 1):
+        codes, at = np.unique(lowest(code, d), return_inverse=True)
+        level = Level(codes, np.bincount(at, n, len(codes)).astype(np.int64))
+        if d:
+            level = level.only(level.m >= least)
+        base = probability(level.code, [*shorter, *levels])
+        gained = np.bincount(level.of, level.n * np.log(level.n / level.m[level.of] / base), len(level.context))
+        levels.append(level)
+        kept.append(gained >= gain * level.kinds if d else np.ones(len(level.context), bool))
+    for i in range(len(levels) - 1, 0, -1):
+        keep_parents(levels[i - 1], kept[i - 1], levels[i].context[kept[i]], len(shorter) + i)
+    return levels, kept
+
+
+def keep_parents(level: Level, kept, children, d: int) -> None:
+    """Marks the contexts of level in which children, kept contexts of d symbols, end."""
+    import numpy as np
+
+    kept[np.searchsorted(level.context, np.unique(children & ((1 << 6 * (d - 1)) - 1)))] = True
+
+
+def shard_of(code, near: int, shards: int):
+    """The shards of an array of codes; shard_column() says the same of a column."""
+    return (((lowest(code, near) >> 6) * 2654435761 & 0xFFFFFFFF) >> 12) % shards
+
+
+def shard_column(code: str, near: int, shards: int):
+    return F.expr(f"cast(shiftright(((shiftright({code}, 6) & {(1 << 6 * near) - 1}) * 2654435761) & 4294967295, 12) % {shards} as int)")
+
+
+def packed(codes) -> bytes:
+    """Sorted codes as compressed differences."""
+    import numpy as np
+    import zstandard
+
+    return zstandard.compress(np.diff(codes, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def unpacked(data: bytes):
+    import numpy as np
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0])
+
+
+def block_codes(part, symbol, depth: int):
+    """(codes of all symbols of the part's texts in a row, where each text's codes end, the texts' bytes)."""
+    import numpy as np
+
+    prepared = [joined(t) for t in lowered(part)]
+    ids, ends = flat(prepared, bytes, symbol, depth)
+    return grams(ids, depth + 1)[inside(ends, depth)], ends - depth * np.arange(1, len(ends) + 1), prepared
+
+
+def shards_of_model(counts: DataFrame, depth: int, least: float, gain: float, shards: int) -> tuple[list, DataFrame]:
+    """(levels, model): the kept contexts shorter than NEAR, and the counts of the others' next symbols as shard, d, code, n."""
+    near = min(NEAR, depth)
+    spark = counts.sparkSession
+    code = F.col("code")
+    rows = counts.groupBy(code.bitwiseAND((1 << 6 * near) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS^NEAR rows
+    top, kept = grown(rows["code"].to_numpy(), rows["n"].to_numpy(), [], near - 1, least, gain)
+    shorter = spark.sparkContext.broadcast(top)
+
+    def grow(key, group):
+        import numpy as np
+        import pyarrow as pa
+
+        levels, kept = grown(group["code"].to_numpy(), group["n"].to_numpy(), shorter.value, depth, least, gain)
+        stay = [level.only(k) for level, k in zip(levels, kept, strict=True)]
+        size = sum(len(x.code) for x in stay)
+        d = np.repeat(np.arange(near, depth + 1), [len(x.code) for x in stay])
+        return pa.table({"shard": pa.array(np.full(size, key[0].as_py()), pa.int32()), "d": pa.array(d, pa.int32()), "code": pa.array(np.concatenate([x.code for x in stay]), pa.int64()), "n": pa.array(np.concatenate([x.n for x in stay]), pa.int64())})
+
+    dealt = counts.select(shard_column("code", near, shards).alias("shard"), "code", "n")
+    model = stored(dealt.groupBy("shard").applyInArrow(grow, "shard int, d int, code bigint, n bigint"))
+    below = model.where(F.col("d") == near).select(F.shiftright("code", 6).alias("context")).distinct().toArrow()["context"].to_numpy()  # at most SYMBOLS^NEAR
+    for d in range(near, 0, -1):
+        keep_parents(top[d - 1], kept[d - 1], below, d)
+        below = top[d - 1].context[kept[d - 1]]
+    return [level.only(k) for level, k in zip(top, kept, strict=True)], model
+
+
 def lowered(part) -> list:
     """The texts of a table, null as empty, with A-Z in lower case."""
     import pyarrow as pa
@@ -104,16 +239,19 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, depth
     texts have one token, the end. Repeated rows count each time. Other columns are not read. Token counts reach the
     documents by blocks: each block of documents sends its distinct tokens to their counts, and gets the counts back, so that
     no token gathers more rows than there are blocks. Tokens go by 64-bit names, of which 10^9 have two alike with a chance of 3 %.
+    Contexts are asked for in the same way.
     """
     spark = docs.sparkSession
     small_batches(spark)
     out = fold("doc_id", folds) == held_out
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out"))
     train = docs.where(~F.col("held_out"))
-    symbol, own = alphabet(train, joined)
+    symbol, rare = alphabet(train, joined)
     counts = checkpointed(gram_counts(train, joined, symbol, depth + 1))
-    model = spark.sparkContext.broadcast((symbol, own, *tree(counts, depth, least)))  # its size is bounded by least
     blocks = 2 * max(6, docs.rdd.getNumPartitions())
+    levels, model = shards_of_model(counts, depth, least, GAIN, blocks)
+    shorter = spark.sparkContext.broadcast(levels)  # bounded by the alphabet
+    near = len(levels)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
 
     def distinct(key, group):
@@ -137,13 +275,47 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, depth
     counted = seen.select("block", "word", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("block")).alias("turn"))
     total = counted.agg(F.sum(F.when(F.col("turn") == 1, F.col("c")).otherwise(0)).alias("train_tokens"), F.sum(F.when((F.col("turn") == 1) & (F.col("c") > 0), 1).otherwise(0)).alias("vocabulary"), F.max("block").alias("b"))
 
+    def wanted(key, group):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [np.unique(block_codes(group.slice(i, 500).combine_chunks(), symbol, depth)[0]) for i in range(0, group.num_rows, 500)]
+        codes = np.unique(np.concatenate(parts))
+        of = shard_of(codes, near, blocks)
+        order = np.argsort(of, kind="stable")
+        shards, first = np.unique(of[order], return_index=True)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(shards), pa.int32()), "shard": pa.array(shards, pa.int32()), "codes": pa.array([packed(x) for x in np.split(codes[order], first[1:])], pa.binary())})
+
+    def answered(key, left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        d, code, n = (left.column(c).to_numpy() for c in ("d", "code", "n"))
+        every = list(shorter.value)
+        for k in range(near, depth + 1):
+            codes, counts = code[d == k], n[d == k]
+            order = np.argsort(codes)
+            every.append(Level(codes[order], counts[order]))
+        logs = [np.log10(probability(unpacked(x.as_py()), every)).astype(np.float32).tobytes() for x in right.column("codes")]
+        return pa.table({"block": right.column("block"), "codes": right.column("codes"), "logs": pa.array(logs, pa.binary())})
+
+    asked = docs.groupBy("block").applyInArrow(wanted, "block int, shard int, codes binary")
+    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answered, "block int, codes binary, logs binary")
+
     def score(key, left, right):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        word = right.column("word").to_numpy().view(np.uint64)
+        ours = right.filter(pc.is_null(right.column("codes")))
+        word = ours.column("word").to_numpy().view(np.uint64)
         order = np.argsort(word)
-        word, count = word[order], right.column("c").to_numpy()[order]
+        word, count = word[order], ours.column("c").to_numpy()[order]
+        theirs = right.filter(pc.is_valid(right.column("codes")))
+        code = np.concatenate([np.zeros(0, np.int64), *(unpacked(x.as_py()) for x in theirs.column("codes"))])
+        log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_py(), np.float32) for x in theirs.column("logs"))])
+        order = np.argsort(code)
+        code, log = code[order], log[order]
         parts = []
         for i in range(0, left.num_rows, 500):
             part = left.slice(i, 500).combine_chunks()
@@ -154,10 +326,14 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, depth
             n = end - begin + 1
             known = np.bincount(text, c > 0, len(batch)).astype(np.int64)
             logs = np.bincount(text, np.log10(c + 1.0), len(batch))
-            parts.append(pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "score": pa.array(log10_of(batch, model.value, depth), pa.float64())}))
+            codes, ends, prepared = block_codes(part, symbol, depth)
+            scores = np.add.reduceat(log[np.searchsorted(code, codes)], np.r_[0, ends[:-1]], dtype=np.float64)
+            scores += [rare[np.frombuffer(t, np.uint8)].sum() for t in prepared]  # bytes that share a symbol
+            parts.append(pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "score": pa.array(scores, pa.float64())}))
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables([p.cast(schema) for p in parts]) if parts else schema.empty_table()
 
-    scored = docs.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
+    told = counted.select("block", "word", "c").unionByName(answers, allowMissingColumns=True)
+    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("vocabulary") + 1.0)
     return scored.crossJoin(F.broadcast(total)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")

@@ -290,6 +290,33 @@ def test_suffix_tree_brute(docs):
         assert suffix_tree.log10_of([t], (symbol, own, child, logp), 3)[0] == pytest.approx(total, rel=1e-5)
 
 
+def test_suffix_tree_shards(docs):
+    """The shards score texts as the whole tree in memory does."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    train = docs.where(~held)
+    symbol, own = symbols.alphabet(train, suffix_tree.joined)
+    model = suffix_tree.tree(symbols.gram_counts(train, suffix_tree.joined, symbol, suffix_tree.DEPTH + 1))
+    text = {r[0]: (r[1] or "").encode() for r in corpus()}
+    for r in suffix_tree.suffix_tree_scores(docs).collect():
+        assert r.score == pytest.approx(suffix_tree.log10_of([text[r.doc_id]], (symbol, own, *model), suffix_tree.DEPTH)[0], rel=1e-4)
+
+
+def test_suffix_tree_least(spark):
+    """Contexts of 6 symbols that stand 30 times are nodes however large the rest is, in memory and in shards."""
+    code = lambda *s: sum(x << 6 * i for i, x in enumerate(reversed(s)))
+    rows = [(code(2, 2, 2, 2, 2, 2, 2), 10**9), (code(3, 10, 11, 12, 13, 14, 20), 30), (code(4, 10, 11, 12, 13, 14, 21), 30), (code(5, 10, 11, 12, 13, 14, 22), 5)]
+    counts = spark.createDataFrame(rows, "code bigint, n bigint")
+    child, logp = suffix_tree.tree(counts, 6)
+    for first, after in ((3, 20), (4, 21)):
+        node = 0
+        for s in (14, 13, 12, 11, 10, first):
+            node = int(child[node, s])
+        assert node < len(logp) and logp[node, after] > -0.1
+    levels, model = suffix_tree.shards_of_model(counts, 6, suffix_tree.LEAST, suffix_tree.GAIN, 4)
+    assert {r.code for r in model.where("d = 6").collect()} == {rows[1][0], rows[2][0]}
+    assert sum(len(x.context) for x in levels) + model.select("d", F.expr("code >> 6")).distinct().count() == len(logp)
+
+
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(5, 12)] + [(15, 0, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
