@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fold, small_batches, stored, word_names
 from .symbols import SYMBOLS, alphabet, flat, gram_counts, grams, inside
 
-DEPTH = 5
+DEPTH = 6
 #: Times that a candidate stands in the training texts, whatever their size.
 LEAST = 20
 #: Symbols that name a context's shard. Shorter contexts have at most SYMBOLS^NEAR counts.

@@ -317,6 +317,17 @@ def test_suffix_tree_least(spark):
     assert sum(len(x.context) for x in levels) + model.select("d", F.expr("code >> 6")).distinct().count() == len(logp)
 
 
+def test_suffix_tree_depth(spark):
+    """Texts in which only the sixth symbol back tells the next one."""
+    code = lambda *s: sum(x << 6 * i for i, x in enumerate(reversed(s)))
+    counts = spark.createDataFrame([(code(3, 10, 11, 12, 13, 14, 20), 1000), (code(4, 10, 11, 12, 13, 14, 21), 1000)], "code bigint, n bigint")
+    child, logp = suffix_tree.tree(counts)
+    node = 0
+    for s in (14, 13, 12, 11, 10, 3):
+        node = int(child[node, s])
+    assert logp[node % len(logp), 20] > -0.1
+
+
 def test_quality(docs, empty, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(5, 12)] + [(15, 0, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
