@@ -1,7 +1,7 @@
 """Media columns by content-defined payload chunking.
 
 A text's bytes, padded to a multiple of 64, are the samples of an 8-bit mono WAV file. A rolling gear hash cuts the file into
-chunks where its content says so, so that equal passages give equal chunks. Chunks that stand once stay in their file's own row;
+chunks where its content says so, so that equal passages give equal chunks. Chunks that stand once stay in their file's own row, compressed together;
 chunks that may stand more than once go to a shared store, one row a digest. Ordered chunk lists rebuild every file, which is
 verified by its digest before its samples are read.
 """
@@ -15,10 +15,11 @@ from .common import small_batches, stored, texts
 
 UNIT = 64
 RATE = 8000
-#: Chunk sizes in bytes: none smaller but the last, none larger; cuts come about every 2^CUT_BITS bytes beyond the least.
-LEAST, MOST, CUT_BITS = 256, 16384, 11
+#: Chunk sizes in bytes: none smaller but the last, none larger; cuts come about every 2^CUT_BITS bytes beyond the least, so that
+#: a shared passage of 50 words (some 350 bytes) holds whole chunks.
+LEAST, MOST, CUT_BITS = 64, 8192, 7
 #: Bits of the filter of digests that stand more than once: a fixed size. If it fills up, more chunks go to the shared store, no more.
-FILTER_BITS = 24
+FILTER_BITS = 26
 #: Between the values of common letters.
 MIDDLE = 107
 GEAR_SEED = 0x6D656469
@@ -136,8 +137,9 @@ def repeated(docs: DataFrame) -> bytes:
 def media_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, shared): both written to the folder that the cluster shares.
 
-    files has doc_id, n_bytes, media_sha256, n_shared and list, the file's chunks in order: digest, and own, the chunk's compressed bytes
-    or null if it is in shared. shared has digest and own, one row a digest, by joining equal digests.
+    files has doc_id, n_bytes, media_sha256, n_chunks, n_shared, own, the compressed bytes of all chunks that aren't in shared, and list, the
+    file in order: the digest of a chunk in shared, or null and the size of a stretch of own. shared has digest and own, one row a digest,
+    by joining equal digests.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -151,25 +153,33 @@ def media_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def files(batches):
         import hashlib
 
-        import numpy as np
         import pyarrow as pa
 
-        table, bits = gear(), np.frombuffer(seen.value, np.uint64).tolist()
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("own", pa.binary())]))
+        table, bits = gear(), memoryview(seen.value).cast("Q")
+        kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int64())]))
         for batch in batches:
             rows = []
             for t in texts(batch):
                 media = wav(payload_of(t))
-                lists = [{"digest": d, "own": None if is_shared(bits, d) else packed(c)} for c in chunks(media, table) for d in (digest(c),)]
-                rows.append((len(t or b""), hashlib.sha256(media).hexdigest(), sum(x["own"] is None for x in lists), lists))
-            n, sha, k, lists = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(k, pa.int64()), pa.array(lists, kind)], ["doc_id", "n_bytes", "media_sha256", "n_shared", "list"])
+                parts, lists, own, k = chunks(media, table), [], [], 0
+                for c in parts:
+                    if is_shared(bits, d := digest(c)):
+                        lists.append({"digest": d, "size": None})
+                        k += 1
+                        continue
+                    own.append(c)
+                    if lists and lists[-1]["digest"] is None:
+                        lists[-1]["size"] += len(c)
+                    else:
+                        lists.append({"digest": None, "size": len(c)})
+                rows.append((len(t or b""), hashlib.sha256(media).hexdigest(), len(parts), k, packed(b"".join(own)), lists))
+            n, sha, m, k, own, lists = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(own, pa.binary()), pa.array(lists, kind)], ["doc_id", "n_bytes", "media_sha256", "n_chunks", "n_shared", "own", "list"])
 
     def shared(batches):
-        import numpy as np
         import pyarrow as pa
 
-        table, bits, own = gear(), np.frombuffer(seen.value, np.uint64).tolist(), {}
+        table, bits = gear(), memoryview(seen.value).cast("Q")
         for batch in batches:
             own = {}
             for t in texts(batch):
@@ -179,7 +189,7 @@ def media_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["digest", "own"])
 
     once = docs.select("text").mapInArrow(shared, "digest binary, own binary").groupBy("digest").agg(F.min("own").alias("own"))
-    kind = "doc_id bigint, n_bytes bigint, media_sha256 string, n_shared bigint, list array<struct<digest: binary, own: binary>>"
+    kind = "doc_id bigint, n_bytes bigint, media_sha256 string, n_chunks bigint, n_shared bigint, own binary, list array<struct<digest: binary, size: bigint>>"
     return stored(docs.mapInArrow(files, kind)), stored(once)
 
 
@@ -205,20 +215,26 @@ def read_back(files: DataFrame, shared: DataFrame) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 lent = {x["pos"]: x["own"] for x in r.get("lent") or ()}
-                parts = [unpack(x["own"] if x["own"] is not None else lent[i]) for i, x in enumerate(r["list"])]
+                own, at, parts = unpack(r["own"]), 0, []
+                for i, x in enumerate(r["list"]):
+                    if x["digest"] is not None:
+                        parts.append(unpack(lent[i]))
+                    else:
+                        parts.append(own[at : at + x["size"]])
+                        at += x["size"]
                 media = b"".join(parts)
-                if any(digest(c) != x["digest"] for c, x in zip(parts, r["list"], strict=True)) or hashlib.sha256(media).hexdigest() != r["media_sha256"]:
+                if any(x["digest"] is not None and digest(c) != x["digest"] for c, x in zip(parts, r["list"], strict=True)) or hashlib.sha256(media).hexdigest() != r["media_sha256"]:
                     raise ValueError(f"the stored form of document {r['doc_id']} is damaged")
                 samples = samples_of(media)
-                rows.append((r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), r["media_sha256"], features(samples), len(parts), r["n_shared"]))
+                rows.append((r["doc_id"], r["n_bytes"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), r["media_sha256"], features(samples), r["n_chunks"], r["n_shared"]))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     alone = files.where("n_shared = 0")
-    some = files.where("n_shared > 0").withColumn("key", F.struct("doc_id", "media_sha256"))
-    wanted = some.select("doc_id", "media_sha256", F.posexplode(F.transform("list", lambda x: F.struct(x["digest"].alias("digest"), x["own"].isNull().alias("lent")))).alias("pos", "x")).where("x.lent").select("doc_id", "media_sha256", "pos", "x.digest").distinct()
-    lent = wanted.join(shared, "digest").groupBy(F.col("doc_id").alias("__id"), F.col("media_sha256").alias("__sha")).agg(F.collect_list(F.struct("pos", "own")).alias("lent"))
-    some = some.join(lent, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("media_sha256") == F.col("__sha"))).select(*files.columns, "lent")
+    some = files.where("n_shared > 0").withColumn("sha", F.unhex(F.substring("media_sha256", 1, 32)))
+    wanted = some.select("doc_id", "sha", F.posexplode(F.transform("list", lambda x: F.struct(x["digest"].alias("digest")))).alias("pos", "x")).where("x.digest is not null").select("doc_id", "sha", "pos", "x.digest").distinct()
+    lent = wanted.join(shared, "digest").groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(F.collect_list(F.struct("pos", "own")).alias("lent"))
+    some = some.join(lent, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select(*files.columns, "lent")
     return alone.mapInArrow(rebuilt, kind).unionByName(some.mapInArrow(rebuilt, kind))
 
 

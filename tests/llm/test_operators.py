@@ -256,6 +256,17 @@ def test_media(docs, empty, spark):
     assert len(shifted & set(parts)) >= len(parts) - 2  # cuts follow the content
 
 
+def test_media_passages(spark):
+    """A passage of 50 words in two otherwise different texts is stored once, in part."""
+    rng = random.Random(11)
+    passages = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(50)) for _ in range(20)]
+    other = lambda: " ".join(f"v{rng.randrange(10**9)}" for _ in range(100))
+    rows = [(i, other() + " " + passages[i % 20] + " " + other()) for i in range(40)]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 40 and sum(r.n_shared > 0 for r in got) >= 20
+    assert all(r.media_sha256 == hashlib.sha256(media.wav(media.payload_of(t.encode()))).hexdigest() for i, t in rows for r in got if r.doc_id == i)
+
+
 def test_suffix_tree(docs, empty, spark):
     got = suffix_tree.suffix_tree_scores(docs, least=1e-3).collect()
     low = lambda t: [*(w for w in split("".join(c.lower() if c.isascii() else c for c in t or ""))), "\n"]
