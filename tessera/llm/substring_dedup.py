@@ -106,6 +106,8 @@ def anchors(names, begin, end, window: int, rounds: int):
     """
     import numpy as np
 
+    if not len(names):  # only null, empty and blank texts
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(begin)), end - begin)
     at = np.arange(len(names), dtype=np.int64)
     x = Level(names, at, at, at + 1, text)

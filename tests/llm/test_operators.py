@@ -95,6 +95,11 @@ def test_substring_null_ids(spark):
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0), (False, 0), (True, 0)]
 
 
+def test_substring_no_words(spark):
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(1, None), (2, ""), (3, " \t\n ")], "doc_id bigint, text string").coalesce(1)).collect()
+    assert sorted(got) == [(1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 0, "")]
+
+
 def brute_links(rows):
     sets = {}
     for i, t in rows:
