@@ -14,9 +14,10 @@ from tessera.llm.common import table
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without a letter go. A text of one language is never rejected for
-    another reason; lang takes the predicted language where it is null."""
+    another reason; lang takes the predicted language where it is null. If no text has a lang, there is no language to
+    learn: texts with a letter stay, and their lang is und."""
     model = language_id.fit(docs)
-    found = language_id.identified(docs, model).where("__lang_pred <> 'und'")
+    found = language_id.identified(docs, model).where("__lang_pred <> 'und'" if model[0] else language_id.has_letter("text"))
     return found.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 

@@ -192,6 +192,13 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS)
     return langs, vocabulary, np.stack([have.get(x, uniform) for x in langs], axis=1)
 
 
+def has_letter(text: str):
+    """Whether a text has a letter, as identified() sees it; false for null."""
+    from pyspark.sql.functions import udf
+
+    return F.coalesce(udf(lambda t: any(c.isalpha() for w in words((t or "").encode()) for c in w), "boolean")(text), F.lit(False))
+
+
 def identified(docs: DataFrame, model: tuple) -> DataFrame:
     """Per row of docs: all its columns, then __lang_pred and __score (the posterior under equal priors).
 

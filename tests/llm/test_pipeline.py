@@ -35,3 +35,12 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_identify_without_lang(spark, tmp_path):
+    """If no row has a lang, texts with a letter stay."""
+    rows = [(1, "some clean text", None), (2, "12 34 !!", None), (3, None, None), (4, "É", None)]
+    docs = spark.createDataFrame([(i, t, g, "s", 1, "x", "y", "z") for i, t, g in rows], SCHEMA)
+    got = corpus_pipeline.identify(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang) for r in got) == [(1, "und"), (4, "und")]
+    assert corpus_pipeline.identify(spark, docs, str(tmp_path)).columns == docs.columns
