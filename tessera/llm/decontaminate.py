@@ -89,7 +89,11 @@ class Patterns:
         return starts, which
 
 
-def compiled(items: list[tuple[int, list[bytes]]], window: int) -> tuple[dict, list[Patterns]]:
+def nulls_last(item: int | None) -> tuple:
+    return item is None, item or 0
+
+
+def compiled(items: list[tuple[int | None, list[bytes]]], window: int) -> tuple[dict, list[Patterns]]:
     """The vocabulary and the tables for items, a list of (item id, words)."""
     import numpy as np
 
@@ -100,13 +104,13 @@ def compiled(items: list[tuple[int, list[bytes]]], window: int) -> tuple[dict, l
         m = min(window, len(ids))
         for i in range(len(ids) - m + 1 if m else 0):
             grams.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(item)
-    return number, [Patterns(np.array(list(g), np.int64).reshape(len(g), m), [sorted(x) for x in g.values()]) for m, g in sorted(grams.items())]
+    return number, [Patterns(np.array(list(g), np.int64).reshape(len(g), m), [sorted(x, key=nulls_last) for x in g.values()]) for m, g in sorted(grams.items())]
 
 
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, list[bytes]]]]:
     """Items of the benchmark in lists of about block_words words; the driver holds one list at a time."""
     held, size = [], 0
-    for row in benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         ws = words((row.text or "").encode())
         if ws:
             held.append((row.item_id, ws))
@@ -154,7 +158,7 @@ def searched(docs: DataFrame, items: list, window: int) -> DataFrame:
                 batch.column("doc_id"),
                 pa.array(np.diff(offsets) - 1, pa.int64()),
                 pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.int64())),
+                pa.array([sorted(found.get(d, ()), key=nulls_last) for d in range(n)], pa.list_(pa.int64())),
             ], ["doc_id", "n_words", "spans", "item_ids"])
 
     return docs.select("doc_id", "text").mapInArrow(search, "doc_id bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, item_ids array<bigint>")
@@ -164,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """Per row of docs: doc_id, n_words, spans [start, end) of hit words, item_ids that occur.
 
     A window is `window` consecutive words of an item, or all words of a shorter item. Null and empty texts have
-    no words and no hits; items without words are ignored; repeated items and repeated rows all report. Other columns
+    no words and no hits; items without words are ignored; items without id count as one item, null, last in item_ids; repeated items and repeated rows all report. Other columns
     of either table are not read. A benchmark of up to block_words words is searched in one pass without a shuffle;
     a larger one block by block, each block's tables being bounded, and the blocks' findings are merged by doc_id
     (there, rows that repeat a doc_id become one).

@@ -173,6 +173,16 @@ def test_decontamination(docs, empty, spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, (_, _, f) in want.items() if not f} and clean.columns == docs.columns
 
 
+def test_decontamination_null_items(spark):
+    """Items without id hit words and count as one item, as in the SQL."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y z"), (3, "clean")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, "b c"), (None, "c d"), (7, "a b"), (None, "y")], "item_id bigint, text string")
+    for size in (1_000_000, 2):
+        got = {r.doc_id: (sum(s.end - s.start for s in r.spans), r.item_ids) for r in decontaminate.contamination(docs, bench, block_words=size).collect()}
+        assert got == {1: (4, [7, None]), 2: (1, [None]), 3: (0, [])}
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()] == [3]
+
+
 def test_lines(docs, empty, spark):
     rows = [(i, f" head \nbody {i}\n\n{'often' if i < 12 else 'rare'}\nhead", f"s{i % 11}" if i % 11 else None) for i in range(24)] + [(50, None, "s1"), (51, "", "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("__n_lines", F.lit("mine"))
