@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -25,15 +24,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, which survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    A temporary folder is used only where the session names none (tests on one machine).
+    Where the setting is missing, only a master on this one machine gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir, which survives lost executors."""
+    context, folder = df.sparkSession.sparkContext, shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -43,8 +53,7 @@ def stored(df: DataFrame) -> DataFrame:
     More compact than checkpoint(); it survives lost executors in the same way. The files stay until the folder is cleared.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stored-")
-    path = f"{folder.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,6 +97,11 @@ def split_join(many: DataFrame, one: DataFrame, keys: list[str], total: int) ->
     return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
+def text_names(text: str) -> tuple[Column, Column]:
+    """128 bits of hashes that, with doc_id, tell rows of a table apart where doc_ids are null or repeated."""
+    return F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2")
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, mod n; a null key is taken as the text 'null'."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")) % n
@@ -103,51 +117,39 @@ def texts(batch, name: str = "text") -> list:
 
 #: Bytes that end words, as bytes.split() has it.
 BLANKS = b" \t\n\r\x0b\x0c"
-#: Bytes whose words are named at once, so that the work stays in a core's cache.
-SLAB = 1 << 17
-BASE = 0xA0761D6478BD642F
-
-
-@functools.lru_cache(2)
-def base_powers(n: int):
-    """BASE^i and BASE^-i of 64 bits for i up to n."""
-    import numpy as np
-
-    out = []
-    for factor in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(n + 1, factor, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out
+#: Words of more bytes than this are named one by one.
+LONG_WORD = 4096
 
 
 def word_names(batch: list):
     """(names, begin, end): 64-bit hashes of the words of all texts in a row, text i's being [begin[i], end[i]).
 
-    A word's name is a polynomial in its bytes, from running sums over slabs of whole words; a word longer than a slab is a slab of its own.
+    A word's bytes are taken 8 at a time, each by a bijection of the hash so far, so that words of one length up to 8 bytes never share a
+    name, and others share one by chance alone.
     """
     import numpy as np
+    import xxhash
 
-    data = np.frombuffer(b" ".join(t or b"" for t in batch) + b" ", np.uint8)
+    joined = b" ".join(t or b"" for t in batch) + b" " * 9
+    data = np.frombuffer(joined, np.uint8)[:-8]
     blank = np.zeros(256, bool)
     blank[list(BLANKS)] = True
     edge = np.diff(np.r_[True, blank[data]].view(np.int8))
     start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     size = np.array([len(t or b"") + 1 for t in batch], np.int64)
     bounds = np.searchsorted(start, np.r_[0, np.cumsum(size)])
-    value = mixed(np.arange(1, 257, dtype=np.uint64))
-    names = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        low = start[i]
-        j = max(i + 1, int(np.searchsorted(stop, low + SLAB, "right")))
-        high = int(stop[j - 1] - low)
-        power, inverse = base_powers(max(SLAB, high))
-        total = np.zeros(high + 1, np.uint64)
-        np.cumsum(value[data[low : low + high]] * inverse[:high], out=total[1:])
-        a, b = start[i:j] - low, stop[i:j] - low
-        names[i:j] = mixed((total[b] - total[a]) * power[a] + mixed((b - a).astype(np.uint64)))
-        i = j
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))  # the 8 bytes from each place on
+    length = stop - start
+    names = mixed(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    at, rest, of = start, length, slice(None)
+    while len(at):
+        last = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.uint64(8) - np.minimum(rest, 8).astype(np.uint64) * np.uint64(8))
+        names[of] = mixed((names[of] ^ (eight[at] & last)) + np.uint64(0xD6E8FEB86659FD93))
+        more = np.flatnonzero((rest > 8) & (rest < LONG_WORD))
+        of = more if isinstance(of, slice) else of[more]
+        at, rest = at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(length >= LONG_WORD):
+        names[i] = xxhash.xxh3_64_intdigest(joined[start[i] : stop[i]])
     return names, bounds[:-1], bounds[1:]
 
 

@@ -11,6 +11,8 @@ by window.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,29 +76,62 @@ def merged_pairs(x: Level, begin, end, number: int) -> Level:
     return Level(name, x.first[start], low, high, x.text[start])
 
 
-def powers(n: int, factor: int):
+#: Stretches are hashed modulo this prime, 2^61 - 1.
+PRIME = (1 << 61) - 1
+
+
+def times(a, b):
+    """a * b modulo PRIME, of 64-bit values below it."""
+    import numpy as np
+
+    bits, half = np.uint64(31), np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> bits, a & half, b >> bits, b & half
+    middle = ah * bl + al * bh
+    total = np.uint64(2) * ah * bh + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << bits) + al * bl
+    return below(below(total))
+
+
+def below(x):
+    """x modulo PRIME; at most PRIME once, below it if done twice or if x is small."""
     import numpy as np
 
-    out = np.full(n, factor, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+@functools.lru_cache(8)
+def powers(bits: int, factor: int):
+    """factor^i modulo PRIME for i below 2^bits."""
+    import numpy as np
+
+    out, step = np.ones(1, np.uint64), factor % PRIME
+    for _ in range(bits):
+        out = np.concatenate([out, times(out, np.uint64(step))])
+        step = step * step % PRIME
+    return out
 
 
 class Hasher:
-    """Polynomial hashes of any stretches of an array of 64-bit values."""
+    """Polynomial hashes modulo a prime of any stretches of an array of 64-bit values: two different stretches of n values share one with a
+    chance of n / 2^61, whatever they are."""
 
-    FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    FACTORS = (0x1E3779B97F4A7C15, 0x16E8FEB86659FD93)
 
     def __init__(self, values, which: int):
         import numpy as np
 
-        factor = self.FACTORS[which]
-        self.power = powers(len(values) + 1, factor)
-        self.inverse = powers(len(values) + 1, pow(factor, -1, 1 << 64))
-        self.sum = np.r_[np.uint64(0), np.cumsum(mixed(values + np.uint64(which)) * self.inverse[:-1], dtype=np.uint64)]
+        n, factor = len(values), self.FACTORS[which]
+        bits = n.bit_length()
+        self.power = powers(bits, factor)
+        each = times(below(mixed(values + np.uint64(which))), powers(bits, pow(factor, -1, PRIME))[:n])
+        self.low = np.r_[np.uint64(0), np.cumsum(each & np.uint64(0xFFFFFFFF), dtype=np.uint64)]
+        self.high = np.r_[np.uint64(0), np.cumsum(each >> np.uint64(32), dtype=np.uint64)]
 
     def of(self, start, stop):
-        return mixed((self.sum[stop] - self.sum[start]) * self.power[start])
+        import numpy as np
+
+        high = times(below(self.high[stop] - self.high[start]), np.uint64(1 << 32))
+        return mixed(times(below(high + below(self.low[stop] - self.low[start])), self.power[start]))
 
 
 def anchors(names, begin, end, window: int, rounds: int):
