@@ -8,12 +8,13 @@ runs in numpy.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import small_batches, stored, text_names, texts
 
 #: A-Z to a-z; every other ASCII character that is neither a digit nor a small letter to a space.
 FOLDED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -22,6 +23,8 @@ WINDOW = 10
 BLOCK_WORDS = 1_000_000
 TABLE_BITS = 18
 LANES = 4096
+#: Blocks of items that one pass over the documents searches at most.
+CHAIN = 4
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -122,75 +125,98 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int |
         yield held
 
 
-def searched(docs: DataFrame, items: list, window: int) -> DataFrame:
-    """doc_id, n_words, the hit words as spans [start, end), item_ids; for one block of items."""
+def found_in(held: list, number: dict, patterns: list):
+    """For texts in bytes: their numbers of words, and by text the hit words as spans and the items found."""
+    import numpy as np
+
+    get = number.get
+    flat, offsets = [], [0]
+    for t in held:
+        flat += [get(w, 0) for w in words(t)]
+        flat.append(-1)
+        offsets.append(len(flat))
+    ids, offsets = np.array(flat, np.int64), np.array(offsets)
+    cover = np.zeros(len(ids) + 1, np.int64)
+    found: dict[int, set] = {}
+    for p in patterns:
+        starts, which = p.occurrences(ids)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + p.m, -1)
+        for d, w in set(zip((np.searchsorted(offsets, starts, "right") - 1).tolist(), which.tolist(), strict=True)):
+            found.setdefault(d, set()).update(p.owners[w])
+    hit = np.cumsum(cover)[:-1] > 0
+    edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2)
+    spans: dict[int, list] = {}
+    for d, (a, b) in zip((np.searchsorted(offsets, edge[:, 0], "right") - 1).tolist(), edge.tolist(), strict=True):
+        spans.setdefault(d, []).append({"start": a - int(offsets[d]), "end": b - int(offsets[d])})
+    return np.diff(offsets) - 1, spans, found
+
+
+def searched(docs: DataFrame, items: list, window: int, *carried: str) -> DataFrame:
+    """The carried columns, n_words, the hit words as spans [start, end), item_ids; for one block of items."""
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(compiled(items, window))
 
     def search(batches):
-        import numpy as np
         import pyarrow as pa
 
-        number, patterns = tables.value
-        get = number.get
         for batch in batches:
-            flat, offsets = [], [0]
-            for t in texts(batch):
-                flat += [get(w, 0) for w in words(t)]
-                flat.append(-1)
-                offsets.append(len(flat))
-            ids, offsets = np.array(flat, np.int64), np.array(offsets)
-            cover = np.zeros(len(ids) + 1, np.int64)
-            found: dict[int, set] = {}
-            for p in patterns:
-                starts, which = p.occurrences(ids)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + p.m, -1)
-                for d, w in set(zip((np.searchsorted(offsets, starts, "right") - 1).tolist(), which.tolist(), strict=True)):
-                    found.setdefault(d, set()).update(p.owners[w])
-            hit = np.cumsum(cover)[:-1] > 0
-            edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).reshape(-1, 2)
-            spans: dict[int, list] = {}
-            for d, (a, b) in zip((np.searchsorted(offsets, edge[:, 0], "right") - 1).tolist(), edge.tolist(), strict=True):
-                spans.setdefault(d, []).append({"start": a - int(offsets[d]), "end": b - int(offsets[d])})
-            n = len(offsets) - 1
+            n, spans, found = found_in(texts(batch), *tables.value)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"),
-                pa.array(np.diff(offsets) - 1, pa.int64()),
-                pa.array([spans.get(d, []) for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array([sorted(found.get(d, ()), key=nulls_last) for d in range(n)], pa.list_(pa.int64())),
-            ], ["doc_id", "n_words", "spans", "item_ids"])
+                *(batch.column(batch.schema.get_field_index(c)) for c in carried),
+                pa.array(n, pa.int64()),
+                pa.array([spans.get(d, []) for d in range(len(n))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                pa.array([sorted(found.get(d, ()), key=nulls_last) for d in range(len(n))], pa.list_(pa.int64())),
+            ], [*carried, "n_words", "spans", "item_ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(search, "doc_id bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, item_ids array<bigint>")
+    return docs.select(*carried, "text").mapInArrow(search, "".join(f"{c} bigint, " for c in carried) + "n_words bigint, spans array<struct<start: bigint, end: bigint>>, item_ids array<bigint>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_words, spans [start, end) of hit words, item_ids that occur.
 
     A window is `window` consecutive words of an item, or all words of a shorter item. Null and empty texts have
-    no words and no hits; items without words are ignored; items without id count as one item, null, last in item_ids; repeated items and repeated rows all report. Other columns
-    of either table are not read. A benchmark of up to block_words words is searched in one pass without a shuffle;
-    a larger one block by block, each block's tables being bounded, and the blocks' findings are merged by doc_id
-    (there, rows that repeat a doc_id become one).
+    no words and no hits; items without words are ignored; items without id count as one item, null, last in item_ids; repeated items and
+    repeated rows all report. Other columns of either table are not read. The benchmark is searched block by block, of block_words words each,
+    so that tables are bounded; where there are several blocks, their findings are merged by doc_id and text, and rows that repeat both
+    come out as often as they are.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    parts = [searched(docs, items, window) for items in blocks(benchmark, block_words)] or [searched(docs, [], window)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    parts = blocks(benchmark, block_words)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return searched(docs, first, window, "doc_id")
+    key = ["doc_id", "t1", "t2"]
+    docs = docs.select("doc_id", *text_names("text"), "text")
+    every, n = searched(docs, first, window, *key), 1
+    for items in itertools.chain([second], parts):
+        every, n = every.unionByName(searched(docs, items, window, *key)), n + 1
+    # what is found is a text's alone, so that equal rows have equal findings, as many times as there are blocks
+    merged = every.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"), (F.count("*") / n).cast("int").alias("n"))
     last = "if(size(acc) > 0 and element_at(acc, -1).end >= x.start, {}, {})"
     joined = "concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))"
-    return merged.withColumn("spans", F.expr(f"aggregate(array_sort(spans), cast(array() as array<struct<start: bigint, end: bigint>>), (acc, x) -> {last.format(joined, 'concat(acc, array(x))')})"))
+    spans = F.expr(f"aggregate(array_sort(spans), cast(array() as array<struct<start: bigint, end: bigint>>), (acc, x) -> {last.format(joined, 'concat(acc, array(x))')})")
+    return merged.select("doc_id", "n_words", spans.alias("spans"), F.array_sort("item_ids").alias("item_ids"), F.explode(F.sequence(F.lit(1), "n")).alias("n")).drop("n")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in whose text no benchmark window occurs, with all their columns.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs in whose text no benchmark window occurs, with all their columns; each row is judged by its own text.
 
-    Rows without doc_id can't be told apart and are judged together.
+    Each block of the benchmark passes on the rows that it finds clean, without a shuffle.
     """
-    hit = contamination(docs, benchmark, window).where(F.size("item_ids") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    for k, items in enumerate(blocks(benchmark, block_words)):
+        docs = stored(docs) if k % CHAIN == CHAIN - 1 else docs
+        tables = spark.sparkContext.broadcast(compiled(items, window))
+
+        def clean(batches, tables=tables):
+            import pyarrow as pa
+
+            for batch in batches:
+                n, spans, _ = found_in(texts(batch), *tables.value)
+                yield batch.filter(pa.array([d not in spans for d in range(len(n))], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
