@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from .common import fold, small_batches, texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pieces of more characters than this (with the mark of a word's start) are not used.
-LONGEST = 8
 #: Expected documents in the sample of each language.
 SAMPLE_DOCS = 250
 ROUNDS = 4
@@ -26,8 +24,8 @@ UNKNOWN = 1e-7
 START = "▁"
 #: Words are runs of letters.
 WORD = re.compile(r"[^\W\d_]+")
-#: Characters of a word that are scored in arrays; longer words are scored one by one, in whole.
-ARRAY_CHARS = 40
+#: Places after which sums are brought back to 1; characters of the words that are looked at at once.
+RESCALE, GROUP_CHARS = 16, 1 << 20
 
 
 def pieces(path: str = VOCABULARY) -> list[str]:
@@ -36,7 +34,7 @@ def pieces(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p.lower() for p in found if len(p) <= LONGEST and all(c.isalpha() or c == START for c in p)})
+    return sorted({p.lower() for p in found if all(c.isalpha() or c == START for c in p)})
 
 
 def words(text: bytes | None) -> list[str]:
@@ -49,104 +47,138 @@ class Lattice:
     def __init__(self, vocabulary: list[str]):
         import numpy as np
 
-        self.number = {p: i for i, p in enumerate(vocabulary)}
-        self.base = np.uint64(0x9E3779B97F4A7C15)
         self.size = len(vocabulary)
-        codes = [self.hashed(np.array([[ord(c) for c in p]], np.uint64))[0] for p in vocabulary]
-        codes = np.array(codes, np.uint64)
-        self.order = np.argsort(codes)
-        self.sorted = codes[self.order]
-
-    def hashed(self, chars):
+        self.longest = max(map(len, vocabulary), default=1)
+        # for each length, hashes of what pieces begin with, sorted, and the number of the piece that is no longer (or -1)
+        self.levels = []
+        for k in range(1, self.longest + 1):
+            begins = {p[:k]: -1 for p in vocabulary if len(p) >= k}
+            begins |= {p: i for i, p in enumerate(vocabulary) if len(p) == k}
+            codes = np.frombuffer("".join(begins).encode("utf-32-le"), np.uint32).reshape(-1, k).astype(np.uint64)
+            h = np.zeros(len(codes), np.uint64)
+            for j in range(k):
+                h = self.longer(h, codes[:, j])
+            order = np.argsort(h)
+            self.levels.append((h[order], np.array(list(begins.values()), np.int64)[order]))
+
+    @staticmethod
+    def longer(h, char):
         import numpy as np
 
-        h = np.zeros(len(chars), np.uint64)
-        for j in range(chars.shape[1]):
-            h = (h + chars[:, j] + np.uint64(1)) * self.base
-            h ^= h >> np.uint64(29)
-        return h
+        h = (h + char + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ h >> np.uint64(29)
 
-    def of(self, words: list[str]):
-        """For words of one length: [place][length - 1] -> piece numbers that end there; size is the unknown character, size + 1 none."""
+    def of(self, words: list[str]) -> list[list[tuple]]:
+        """For words of one length: [place - 1] -> the pieces that end there as (length, words, piece numbers), length by length; a character
+        that is no piece has the number size."""
         import numpy as np
 
         n, length = len(words), len(words[0]) + 1
         chars = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32).reshape(n, length).astype(np.uint64)
-        out = []
-        for i in range(1, length + 1):
-            row = []
-            for k in range(1, min(i, LONGEST) + 1):
-                h = self.hashed(chars[:, i - k : i])
-                at = np.minimum(np.searchsorted(self.sorted, h), self.size - 1)
-                row.append(np.where(self.sorted[at] == h, self.order[at], self.size if k == 1 else self.size + 1))
-            out.append(row)
+        out: list[list[tuple]] = [[] for _ in range(length)]
+        row, start, h = np.repeat(np.arange(n), length), np.tile(np.arange(length), n), np.zeros(n * length, np.uint64)
+        for k, (codes, numbers) in enumerate(self.levels[:length], 1):
+            h = self.longer(h, chars[row, start + k - 1])
+            at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+            begins = codes[at] == h
+            number = np.where(begins, numbers[at], -1)
+            if k == 1:
+                number[number < 0] = self.size
+            ends = np.flatnonzero(number >= 0)
+            ends = ends[np.argsort(start[ends], kind="stable")]
+            edge = np.searchsorted(start[ends], np.arange(length + 1))
+            for s in range(length - k + 1):
+                mine = ends[edge[s] : edge[s + 1]]
+                if len(mine):
+                    out[s + k - 1].append((k, row[mine], number[mine]))
+            going = begins & (start + k < length)  # what no piece begins with ends here
+            row, start, h = row[going], start[going], h[going]
+            if not len(row):
+                break
         return out
 
 
-def by_length(words: list[str]) -> list:
-    """Indices of the words that arrays can hold, in groups of one length."""
+def by_length(words: list[str]) -> list[list[int]]:
+    """Indices of the words in groups of one length, of some thousand characters."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        if len(w) <= ARRAY_CHARS:
-            groups.setdefault(len(w), []).append(i)
-    return list(groups.values())
+        groups.setdefault(len(w), []).append(i)
+    out = []
+    for length, g in groups.items():
+        step = max(1, GROUP_CHARS // (length + 1))
+        out += [g[i : i + step] for i in range(0, len(g), step)]
+    return out
+
+
+def longest_of(found: list) -> int:
+    """The length of the longest piece in a lattice."""
+    return max((k for pieces in found for k, _, _ in pieces), default=1)
+
+
+def summed(steps, table, n: int, longest: int, keep: list | None = None):
+    """The logs of the sums over all ways through a lattice, for n words and each language of the table; keep: gets them for every place.
+
+    steps: for each place the (places back, words, piece numbers) that lead to it. Sums are brought back to 1 every RESCALE places, so
+    that words may have any length.
+    """
+    import numpy as np
+
+    width = table.shape[1]
+    last, total = [np.ones((n, width))], np.zeros((n, width))
+    if keep is not None:
+        keep.append(total)
+    for i, pieces in enumerate(steps, 1):
+        now = np.zeros((n, width))
+        for k, row, ids in pieces:
+            now[row] += last[-k][row] * table[ids]
+        last = [*last[1 - longest :], now] if longest > 1 else [now]
+        if i % RESCALE == 0:
+            total = total + np.log(now)
+            last = [x / now for x in last]
+        if keep is not None:
+            keep.append(total + np.log(last[-1]))
+    return total + np.log(last[-1])
 
 
 def log_probabilities(lattice: Lattice, table, words: list[str]):
-    """log P of each word under each language; table: pieces x languages, with a row for unknown characters and a zero row."""
+    """log P of each word under each language; table: pieces x languages, with a row for unknown characters."""
     import numpy as np
 
     out = np.empty((len(words), table.shape[1]))
     for group in by_length(words):
         found = lattice.of([words[i] for i in group])
-        alpha = [np.ones((len(group), table.shape[1]))]
-        for i, row in enumerate(found, 1):
-            alpha.append(sum(alpha[i - k] * table[ids] for k, ids in enumerate(row, 1)))
-        out[group] = np.log(alpha[-1])
-    for i, w in enumerate(words):
-        if len(w) > ARRAY_CHARS:
-            out[i] = long_word(lattice, table, START + w)
+        out[group] = summed(found, table, len(group), longest_of(found))
     return out
 
 
-def long_word(lattice: Lattice, table, w: str):
-    """The same for one word of any length, scaled at each character."""
-    import numpy as np
-
-    last, total = [np.ones(table.shape[1])], np.zeros(table.shape[1])
-    for i in range(1, len(w) + 1):
-        now = np.zeros(table.shape[1])
-        for k in range(1, min(i, LONGEST) + 1):
-            piece = lattice.number.get(w[i - k : i], lattice.size if k == 1 else None)
-            if piece is not None:
-                now = now + last[-k] * table[piece]
-        total += np.log(now)
-        last = [x / now for x in last[1 - LONGEST :]] + [np.ones_like(now)]
-    return total
+def backwards(found: list) -> list:
+    """The same lattice from the words' ends: for each place back from the end, the pieces that begin there."""
+    length = len(found)
+    out: list[list[tuple]] = [[] for _ in range(length)]
+    for i, pieces in enumerate(found, 1):
+        for k, row, ids in pieces:
+            out[length - i + k - 1].append((k, row, ids))
+    return out
 
 
 def fitted(vocabulary: list[str], words: list[str], counts, rounds: int = ROUNDS):
-    """Piece probabilities (with the two rows for unknown and none) by expectation-maximisation on counted words."""
+    """Piece probabilities (with a row for unknown characters) by expectation-maximisation on counted words of any length."""
     import numpy as np
 
     lattice, size = Lattice(vocabulary), len(vocabulary)
-    groups = [(lattice.of([words[i] for i in g]), counts[g]) for g in by_length(words)]
-    p = np.full(size + 2, 1.0 / size)
-    p[size], p[size + 1] = UNKNOWN, 0.0
+    groups = [(found, backwards(found), longest_of(found), counts[g]) for g in by_length(words) for found in (lattice.of([words[i] for i in g]),)]
+    p = np.full(size + 1, 1.0 / size)
+    p[size] = UNKNOWN
     for _ in range(rounds):
         expected = np.full(size, 0.01)  # no piece becomes impossible
-        for found, n in groups:
-            length = len(found)
-            alpha = [np.ones(len(n))]
-            for i, row in enumerate(found, 1):
-                alpha.append(sum(alpha[i - k] * p[ids] for k, ids in enumerate(row, 1)))
-            beta = [np.zeros(len(n)) for _ in range(length)] + [np.ones(len(n))]
-            share = n / alpha[-1]
-            for i in range(length, 0, -1):
-                for k, ids in enumerate(found[i - 1], 1):
-                    way = p[ids] * beta[i]
-                    beta[i - k] += way
-                    expected += np.bincount(ids, alpha[i - k] * way * share, size + 2)[:size]
+        for found, back, longest, n in groups:
+            alpha, beta = [], []
+            every = summed(found, p[:, None], len(n), longest, alpha)
+            summed(back, p[:, None], len(n), longest, beta)
+            for i, pieces in enumerate(found, 1):
+                for k, row, ids in pieces:
+                    share = np.exp(alpha[i - k][row, 0] + beta[len(found) - i][row, 0] - every[row, 0]) * p[ids] * n[row]
+                    expected += np.bincount(ids, share, size + 1)[:size]
         p[:size] = expected / expected.sum()
     return p
 
@@ -165,7 +197,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS)
     n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     vocabulary = pieces(path)
     if not n:
-        return [], vocabulary, np.zeros((len(vocabulary) + 2, 0))
+        return [], vocabulary, np.zeros((len(vocabulary) + 1, 0))
     share = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, sample_docs / c))])
     sample = known.where(F.crc32(F.concat(F.lit("sample "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")) < share[F.col("lang")] * 2.0**32)
 
@@ -186,7 +218,7 @@ def fit(docs: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS)
 
     rows = sample.select("lang", "text").mapInArrow(counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang").applyInPandas(learn, "lang string, p binary").collect()
     rows = sorted(rows, key=lambda r: r["lang"])
-    uniform = np.r_[np.full(len(vocabulary), 1.0 / len(vocabulary)), UNKNOWN, 0.0]
+    uniform = np.r_[np.full(len(vocabulary), 1.0 / len(vocabulary)), UNKNOWN]
     langs = sorted(n)
     have = {r["lang"]: np.frombuffer(r["p"]) for r in rows}
     return langs, vocabulary, np.stack([have.get(x, uniform) for x in langs], axis=1)
