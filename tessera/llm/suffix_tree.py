@@ -1,339 +1,501 @@
-"""LM scoring by a probabilistic suffix tree.
+"""LM scoring by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of up to DEPTH symbols. A context is a candidate if it stands LEAST times, so that the tree grows with
-the input; it stays if its next-symbol counts diverge from its parent's by a likelihood-ratio test, or if a longer context that ends
-in it stays. Its distribution is smoothed towards its parent's. A text is scored by the longest context at each symbol.
+The tree's nodes are contexts of up to DEPTH words. A context is a candidate if it stands LEAST times in the training texts, whatever their
+size, so that the tree grows with the input. It stays if its next-word counts diverge from what its longest kept suffix predicts: each
+occurrence, predicted from the others, must gain GAIN nats in all. A kept context's distribution is smoothed towards that suffix's, and a
+token is scored by the longest kept context before it. The root is the smoothed unigram model.
 
-Contexts of NEAR and more symbols lie in shards, by the NEAR symbols next to the predicted one; only shorter ones, which are bounded by
-the alphabet, are broadcast. Blocks of documents send their distinct strings of DEPTH + 1 symbols to the shards, and get logs back.
+Texts lie in blocks, contexts in shards. Blocks ask shards for the counts of their distinct words, then send each token, with the words before
+it, to the shard of the last of these: there the whole subtree of that word is grown and its tokens are scored. A context that more
+tokens follow than a block holds is split: its next words are counted by shards of their own, and its tokens go on to the shards of
+contexts one word longer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pickle
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold, small_batches, stored, word_names
-from .symbols import SYMBOLS, alphabet, flat, gram_counts, grams, inside
+from .common import fold, mixed, small_batches, stored, texts, word_names
 
-DEPTH = 6
-#: Times that a candidate stands in the training texts, whatever their size.
-LEAST = 20
-#: Symbols that name a context's shard. Shorter contexts have at most SYMBOLS^NEAR counts.
-NEAR = 3
-#: Log likelihood (nats) a context must gain for each next symbol it has.
-GAIN = 1.0
-#: The name of the end, beside the 64-bit names of words.
-END_NAME = 0
+DEPTH = 4
+#: Times that a candidate stands in the training texts.
+LEAST = 2
+#: Nats that a context must gain over its longest kept suffix.
+GAIN = 2.0
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 16 << 20
+#: Names beside the 64-bit names of words: a text's end, what stands before its start, and a word too rare to be part of a context.
+END, START, NONE = 0, 1, 2
 
 
-def joined(text: bytes) -> bytes:
-    return b" ".join(text.lower().split())
+def pack(*arrays) -> bytes:
+    """Arrays as compressed byte planes; whole numbers are kept as small as they fit."""
+    import numpy as np
+    import zstandard
 
+    parts = []
+    for x in arrays:
+        if x.dtype.kind == "i" and len(x):
+            x = x.astype(np.min_scalar_type(int(x.max())) if x.min() >= 0 else np.int64)
+        parts.append((x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()))
+    return zstandard.compress(pickle.dumps(parts), 1)
 
-def tree(counts: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN):
-    """(child, logp) from counts of depth + 1 symbols: child[node, symbol before] -> node, logp[node, next symbol] in log10.
 
-    The whole tree in memory, for small inputs; suffix_tree_scores() gives the same from shards.
-    Nodes from the middle of child on are those that the search has left: they lead to themselves.
-    """
+def unpack(data: bytes) -> list:
+    """Only what pack() made in the same job; whole numbers come back as int64."""
     import numpy as np
+    import zstandard
 
-    masks = F.transform(F.array(*map(F.lit, range(depth + 1))), lambda d: F.struct(d.alias("d"), F.col("code").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), ((d + 1) * 6).cast("int")) - 1).alias("code")))
-    each = counts.select(F.explode(masks).alias("x"), "n").groupBy("x.d", "x.code").agg(F.sum("n").alias("n"))
-    each = each.select("d", "code", "n", F.shiftright("code", 6).alias("context"))
-    often = each.groupBy("d", "context").agg(F.sum("n").alias("m")).where((F.col("d") == 0) | (F.col("m") >= least)).select("d", "context")
-    rows = each.join(often, ["d", "context"]).select("d", "code", "n").toArrow()
-    depths, codes, ns = (rows.column(c).to_numpy() for c in ("d", "code", "n"))
-    if not len(codes):  # nothing to learn from
-        return np.repeat(np.array([[1], [1]], np.int32), SYMBOLS, axis=1), np.full((1, SYMBOLS), -np.log10(SYMBOLS), np.float32)
-    contexts, tables, parents, kept = [], [], [], []
-    for d in range(depth + 1):
-        code, n = codes[depths == d], ns[depths == d].astype(np.float32)
-        keys, row = np.unique(code >> 6, return_inverse=True)
-        table = np.zeros((len(keys), SYMBOLS), np.float32)
-        table[row, code & 63] = n
-        parent = np.searchsorted(contexts[-1], keys & ((1 << 6 * (d - 1)) - 1)) if d else None
-        base = tables[-1][parent] if d else np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
-        m, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True, dtype=np.float32)
-        gained = np.where(table > 0, table * np.log(np.maximum(table, 1) / m / base), 0).sum(axis=1)
-        contexts.append(keys)
-        tables.append((table + kinds * base) / (m + kinds))
-        parents.append(parent)
-        kept.append(gained >= gain * kinds[:, 0] if d else np.ones(1, bool))
-    for d in range(depth, 0, -1):
-        kept[d - 1][parents[d][kept[d]]] = True
-    before = np.cumsum([0, *(k.sum() for k in kept)])
-    number = [before[d] + np.cumsum(k) - 1 for d, k in enumerate(kept)]
-    size = int(before[-1])
-    child = np.tile(np.arange(2 * size, dtype=np.int32)[:, None] % size + size, (1, SYMBOLS))
-    for d in range(1, depth + 1):
-        k = kept[d]
-        child[number[d - 1][parents[d][k]], contexts[d][k] >> 6 * (d - 1)] = number[d][k]
-    return child.astype(np.int32), np.log10(np.concatenate([t[k] for t, k in zip(tables, kept, strict=True)])).astype(np.float32)
-
-
-def log10_of(batch: list, model: tuple, depth: int):
-    """log10 probability of each text, by the longest kept context at each symbol."""
+    out = []
+    for kind, planes in pickle.loads(zstandard.decompress(data)):
+        size = np.dtype(kind).itemsize
+        x = np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+        out.append(x.astype(np.int64) if x.dtype.kind in "iu" and kind != "<u8" else x)
+    return out
+
+
+def sorted_names(x):
+    """Sorted 64-bit names as differences, which are smaller; np.cumsum() restores them."""
     import numpy as np
 
-    symbol, own, child, logp = model
-    prepared = [joined(t or b"") for t in batch]
-    ids, ends = flat(prepared, bytes, symbol, depth)
-    size, out = len(logp), np.zeros(len(batch))
-    starts = np.r_[0, ends[:-1]]
-    node = np.zeros(len(ids), np.int32)
+    return np.diff(x, prepend=np.uint64(0))
+
+
+def extended(context, word):
+    """The name of a context and one more, later word; equally that of a context and its next word."""
+    import numpy as np
+
+    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + mixed(word + np.uint64(0x632BE59BD9B4E019)))
+
+
+def context_name(before: list, d: int):
+    """The name of the context of the last d words; before: arrays of the last word, the one before it and so on."""
+    import numpy as np
+
+    name = np.zeros(len(before[0]), np.uint64)
+    for w in reversed(before[:d]):
+        name = extended(name, w)
+    return name
+
+
+def tokens(batch: list, depth: int) -> tuple:
+    """(text number, token, the words before it) for all tokens of the texts, each text's words and then its end."""
+    import numpy as np
+
+    names, begin, end = word_names([t.lower() if t else b"" for t in batch])
+    n = end - begin + 1
+    text = np.repeat(np.arange(len(batch)), n)
+    token = np.zeros(len(text), np.uint64)
+    last = np.cumsum(n) - 1
+    inner = np.ones(len(text), bool)
+    inner[last] = False
+    token[inner] = names
+    before = []
+    place = np.arange(len(text)) - np.repeat(last - n + 1, n)
     for k in range(1, depth + 1):
-        node[k:] = child[node[k:], ids[:-k]]
-    each = logp[node % size, ids].astype(np.float64)
-    for j in range(depth):
-        each[starts + j] = 0.0
-    if len(ids):
-        out = np.add.reduceat(each, starts)
-    for i, t in enumerate(prepared):  # bytes that share a symbol
-        out[i] += own[np.frombuffer(t, np.uint8)].sum()
-    return out
+        w = np.full(len(text), START, np.uint64)
+        w[k:] = np.where(place[k:] >= k, token[:-k], w[k:])
+        before.append(w)
+    return text, token, before
 
 
-class Level:
-    """Counts of all next symbols of the contexts of one length: sorted codes of context and next symbol, and their counts."""
+def counts_of(keys, weight, shards: int):
+    """(shard, key, count, first place of it) of the distinct keys, by shard and key."""
+    import numpy as np
 
-    def __init__(self, code, n):
-        import numpy as np
+    key, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.bincount(at, weight, len(key)).astype(np.int64)
+    shard = shard_of(key, shards)
+    order = np.argsort(shard, kind="stable")
+    return shard[order], key[order], n[order], first[order]
 
-        self.code, self.n = code, n
-        self.context, self.of = np.unique(code >> 6, return_inverse=True)
-        self.m = np.bincount(self.of, n, len(self.context))
-        self.kinds = np.bincount(self.of, minlength=len(self.context))
 
-    def only(self, stays) -> Level:
-        """The level with the contexts for which stays is true."""
-        return Level(self.code[stays[self.of]], self.n[stays[self.of]])
+def shard_of(key, shards: int):
+    import numpy as np
 
-    def smoothed(self, code, p, going):
-        """p, by shorter contexts, smoothed by this level where it has the context, and where it has; only places that are going are looked at."""
-        import numpy as np
+    return (mixed(key + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
 
-        if not len(self.code):
-            return p, np.zeros(len(p), bool)
-        at = np.minimum(np.searchsorted(self.context, code >> 6), len(self.context) - 1)
-        place = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
-        going = going & (self.context[at] == code >> 6)
-        n = np.where(self.code[place] == code, self.n[place], 0)
-        return np.where(going, (n + self.kinds[at] * p) / (self.m[at] + self.kinds[at]), p), going
 
+def pieces(shard):
+    """(shard, slice) of each shard in a sorted array of shards."""
+    import numpy as np
 
-def lowest(code, d: int):
-    """The code of the last d + 1 symbols: a context of d symbols, and the next."""
-    return code & ((1 << 6 * (d + 1)) - 1)
+    edge = np.flatnonzero(np.r_[True, np.diff(shard) != 0, True]) if len(shard) else [0]
+    return [(int(shard[a]), slice(int(a), int(b))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def probability(code, levels: list):
-    """The probability of each code's last symbol after the longest context that levels, from depth 0 on, have."""
+def summed(messages: list) -> tuple:
+    """(key, count, which key each message's entries are) of messages (names, counts, ...)."""
     import numpy as np
 
-    p, going = np.full(len(code), 1 / SYMBOLS), np.ones(len(code), bool)
-    for d, level in enumerate(levels):
-        p, going = level.smoothed(lowest(code, d), p, going)
-    return p
+    names = [np.cumsum(m[0], dtype=np.uint64) for m in messages]
+    key, at = np.unique(np.concatenate(names), return_inverse=True)
+    n = np.bincount(at, np.concatenate([m[1] for m in messages]), len(key)).astype(np.int64)
+    return key, n, np.split(at, np.cumsum([len(x) for x in names])[:-1])
 
 
-def grown(code, n, shorter: list, depth: int, least: float, gain: float):
-    """(levels, kept): the candidates of len(shorter) to depth symbols from counts, and which of them stay."""
+def gained(n, p, m, kinds):
+    """Nats that occurrences gain if each is predicted from the others of its context; n, p: of the entry, m, kinds: of its context."""
     import numpy as np
 
-    levels, kept = [], []
-    for d in range(len(shorter), depth + 1):
-        codes, at = np.unique(lowest(code, d), return_inverse=True)
-        level = Level(codes, np.bincount(at, n, len(codes)).astype(np.int64))
-        if d:
-            level = level.only(level.m >= least)
-        base = probability(level.code, [*shorter, *levels])
-        gained = np.bincount(level.of, level.n * np.log(level.n / level.m[level.of] / base), len(level.context))
-        levels.append(level)
-        kept.append(gained >= gain * level.kinds if d else np.ones(len(level.context), bool))
-    for i in range(len(levels) - 1, 0, -1):
-        keep_parents(levels[i - 1], kept[i - 1], levels[i].context[kept[i]], len(shorter) + i)
-    return levels, kept
-
-
-def keep_parents(level: Level, kept, children, d: int) -> None:
-    """Marks the contexts of level in which children, kept contexts of d symbols, end."""
+    return n * np.log(((n - 1) + kinds * p) / (m - 1 + kinds) / p)
+
+
+class Model:
+    """What is known so far: totals, and by depth the contexts that are split: their sorted names, m, kinds and whether they stay."""
+
+    def __init__(self, shards: int, depth: int, least: int, gain: float):
+        self.shards, self.depth, self.least, self.gain = shards, depth, least, gain
+        self.total = self.vocabulary = 0
+        self.split: list[tuple] = []
+
+    def find(self, d: int, name):
+        """Whether contexts of d words are split, and their places."""
+        import numpy as np
+
+        names = self.split[d - 1][0]
+        at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        return names[at] == name, at
+
+    def known(self, token, before: list, answers: list) -> tuple:
+        """(level, p, count) of each token: how many words of context are split and accounted for in p; answers: by level, counts of the distinct entries."""
+        import numpy as np
+
+        def told(keys, counts):
+            _, key, _, _ = counts_of(keys, None, self.shards)
+            order = np.argsort(key)
+            return counts[order][np.searchsorted(key[order], keys)]
+
+        c = told(token, answers[0])
+        p = (c + 1.0) / (self.total + self.vocabulary + 1.0)
+        level, here = np.zeros(len(token), np.int64), np.arange(len(token))
+        for d in range(1, len(answers)):
+            name = context_name([w[here] for w in before], d)
+            found, at = self.find(d, name)
+            here, name, at = here[found], name[found], at[found]
+            n = told(extended(name, token[here]), answers[d])
+            _, m, kinds, stays = self.split[d - 1]
+            p[here] = np.where(stays[at], (n + kinds[at] * p[here]) / (m[at] + kinds[at]), p[here])
+            level[here] = d
+        return level, p, c
+
+
+def grown(train, level, p, token, before: list, model: Model):
+    """p of each token by the longest kept context; the tokens are all that follow these contexts."""
     import numpy as np
 
-    kept[np.searchsorted(level.context, np.unique(children & ((1 << 6 * (d - 1)) - 1)))] = True
+    p, alive = p.copy(), np.ones(len(token), bool)
+    for d in range(1, model.depth + 1):
+        alive &= (level >= d) | (before[d - 1] != NONE)
+        here = np.flatnonzero(alive & (level < d))
+        _, context = np.unique(context_name([w[here] for w in before], d), return_inverse=True)
+        m = np.bincount(context, train[here])
+        often = m[context] >= model.least
+        alive[here[~often]] = False
+        here, context = here[often], context[often]
+        if not len(here):
+            continue
+        _, context = np.unique(context, return_inverse=True)
+        m = np.bincount(context, train[here])
+        _, first, entry = np.unique(extended(context.astype(np.uint64), token[here]), return_index=True, return_inverse=True)
+        n, of, base = np.bincount(entry, train[here]), context[first], p[here][first]
+        seen = n > 0
+        kinds = np.bincount(of[seen], minlength=len(m))
+        gain = np.bincount(of[seen], gained(n[seen], base[seen], m[of[seen]], kinds[of[seen]]), len(m))
+        better = np.where(gain[of] >= model.gain, (n + kinds[of] * base) / (m[of] + kinds[of]), base)
+        p[here] = better[entry]
+    return p
+
+
+def packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, data): documents' ids, folds and texts in blocks; docs: doc_id, text, held_out."""
+
+    def pack_texts(batches):
+        import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
 
+        part, k = TaskContext.get().partitionId(), 0
+        ids, out, held, size = [], [], [], 0
 
-def shard_of(code, near: int, shards: int):
-    """The shards of an array of codes; shard_column() says the same of a column."""
-    return (((lowest(code, near) >> 6) * 2654435761 & 0xFFFFFFFF) >> 12) % shards
+        def block():
+            data = zstandard.compress(pickle.dumps((ids, out, held)), 3)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
 
+        for batch in batches:
+            for i, t, o in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("held_out").to_pylist(), strict=True):
+                ids.append(i)
+                held.append(t)
+                out.append(o)
+                size += len(t or b"")
+                if size >= block_bytes:
+                    yield block()
+                    ids, out, held, size, k = [], [], [], 0, k + 1
+        if ids:
+            yield block()
 
-def shard_column(code: str, near: int, shards: int):
-    return F.expr(f"cast(shiftright(((shiftright({code}, 6) & {(1 << 6 * near) - 1}) * 2654435761) & 4294967295, 12) % {shards} as int)")
+    return stored(docs.mapInArrow(pack_texts, "block bigint, data binary"))
 
 
-def packed(codes) -> bytes:
-    """Sorted codes as compressed differences."""
+def in_order(rows, level: int):
+    """The answers to a block at a level, by shard."""
     import numpy as np
-    import zstandard
 
-    return zstandard.compress(np.diff(codes, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+    found = sorted((r["shard"], r["data"]) for r in rows if r["level"] == level)
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for _, x in found)])
+
 
+ASK = "block bigint, shard bigint, level bigint, weight bigint, data binary"
+OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
+
+
+def table_of(rows: list, names: str = ASK):
+    """An Arrow table of rows, by the schema's names and types."""
+    import pyarrow as pa
 
-def unpacked(data: bytes):
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in names.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({n: pa.array(c, kinds[k]) for c, (n, k) in zip(columns, fields, strict=True)})
+
+
+def read_block(data: bytes, depth: int) -> tuple:
+    """(ids, held out, text number, token, the words before) of a block."""
     import numpy as np
     import zstandard
 
-    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0])
+    ids, out, held = pickle.loads(zstandard.decompress(data))
+    return ids, np.array(out, bool), *tokens(held, depth)
 
 
-def block_codes(part, symbol, depth: int):
-    """(codes of all symbols of the part's texts in a row, where each text's codes end, the texts' bytes)."""
+def in_order(rows: list, level: int):
+    """The answers to a block at a level, by shard."""
     import numpy as np
 
-    prepared = [joined(t) for t in lowered(part)]
-    ids, ends = flat(prepared, bytes, symbol, depth)
-    return grams(ids, depth + 1)[inside(ends, depth)], ends - depth * np.arange(1, len(ends) + 1), prepared
+    return np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for _, x in sorted((r["shard"], r["data"]) for r in rows if r["level"] == level))])
 
 
-def shards_of_model(counts: DataFrame, depth: int, least: float, gain: float, shards: int) -> tuple[list, DataFrame]:
-    """(levels, model): the kept contexts shorter than NEAR, and the counts of the others' next symbols as shard, d, code, n."""
-    near = min(NEAR, depth)
-    spark = counts.sparkSession
-    code = F.col("code")
-    rows = counts.groupBy(code.bitwiseAND((1 << 6 * near) - 1).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # at most SYMBOLS^NEAR rows
-    top, kept = grown(rows["code"].to_numpy(), rows["n"].to_numpy(), [], near - 1, least, gain)
-    shorter = spark.sparkContext.broadcast(top)
+def by_block(blocks: DataFrame, told: DataFrame | None, work) -> DataFrame:
+    """The rows that work(block, data, answers to it) gives for every block; told: the answers."""
 
-    def grow(key, group):
-        import numpy as np
-        import pyarrow as pa
+    def alone(batches):
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                yield from table_of(work(block, data, [])).to_batches()
 
-        levels, kept = grown(group["code"].to_numpy(), group["n"].to_numpy(), shorter.value, depth, least, gain)
-        stay = [level.only(k) for level, k in zip(levels, kept, strict=True)]
-        size = sum(len(x.code) for x in stay)
-        d = np.repeat(np.arange(near, depth + 1), [len(x.code) for x in stay])
-        return pa.table({"shard": pa.array(np.full(size, key[0].as_py()), pa.int32()), "d": pa.array(d, pa.int32()), "code": pa.array(np.concatenate([x.code for x in stay]), pa.int64()), "n": pa.array(np.concatenate([x.n for x in stay]), pa.int64())})
+    def both(left, right):
+        rows = right.select(["shard", "level", "data"]).to_pylist()
+        return table_of([x for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True) for x in work(block, data, rows)])
 
-    dealt = counts.select(shard_column("code", near, shards).alias("shard"), "code", "n")
-    model = stored(dealt.groupBy("shard").applyInArrow(grow, "shard int, d int, code bigint, n bigint"))
-    below = model.where(F.col("d") == near).select(F.shiftright("code", 6).alias("context")).distinct().toArrow()["context"].to_numpy()  # at most SYMBOLS^NEAR
-    for d in range(near, 0, -1):
-        keep_parents(top[d - 1], kept[d - 1], below, d)
-        below = top[d - 1].context[kept[d - 1]]
-    return [level.only(k) for level, k in zip(top, kept, strict=True)], model
+    return blocks.mapInArrow(alone, ASK) if told is None else blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(both, ASK)
 
 
-def lowered(part) -> list:
-    """The texts of a table, null as empty, with A-Z in lower case."""
-    import pyarrow as pa
+def asked(blocks: DataFrame, told: DataFrame | None, model: Model) -> DataFrame:
+    """Each block's distinct entries of the next level, by shard: at level 0 its words, then what follows the split contexts. weight: training tokens."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)  # as many split contexts a level as shards, at most
 
-    return [(t or b"").lower() for t in part.column("text").cast(pa.binary()).to_pylist()]
+    def ask(block, data, rows):
+        import numpy as np
 
+        model = shared.value
+        d = len(model.split)
+        _, out, text, token, before = read_block(data, max(1, d))
+        train = (~out[text]).astype(np.float64)
+        key, context, base = token, np.zeros(len(token), np.uint64), np.zeros(len(token))
+        if d:
+            _, p, _ = model.known(token, before, [in_order(rows, k) for k in range(d)])
+            name = context_name(before, d)
+            here = np.flatnonzero(model.find(d, name)[0])
+            key, context, base, train = extended(name[here], token[here]), name[here], p[here], train[here]
+        shard, key, n, first = counts_of(key, train, model.shards)
+        more = (context[first], base[first]) if d else ()
+        return [(block, s, d, int(n[x].sum()), pack(sorted_names(key[x]), n[x], *(y[x] for y in more))) for s, x in pieces(shard)]
 
-def suffix_tree_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH, least: float = LEAST) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
+    return stored(by_block(blocks, told, ask))
 
-    The tree and the token counts come from the rows whose crc32(doc_id) mod folds isn't held_out. Null and empty
-    texts have one token, the end. Repeated rows count each time. Other columns are not read. Token counts reach the
-    documents by blocks: each block of documents sends its distinct tokens to their counts, and gets the counts back, so that
-    no token gathers more rows than there are blocks. Tokens go by 64-bit names, of which 10^9 have two alike with a chance of 3 %.
-    Contexts are asked for in the same way.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    out = fold("doc_id", folds) == held_out
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out"))
-    train = docs.where(~F.col("held_out"))
-    symbol, rare = alphabet(train, joined)
-    counts = checkpointed(gram_counts(train, joined, symbol, depth + 1))
-    blocks = 2 * max(6, docs.rdd.getNumPartitions())
-    levels, model = shards_of_model(counts, depth, least, GAIN, blocks)
-    shorter = spark.sparkContext.broadcast(levels)  # bounded by the alphabet
-    near = len(levels)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-
-    def distinct(key, group):
+
+def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list]:
+    """(answers, summaries): counts for each block and shard in the order of its entries; from each shard the kinds of entries, the entries that
+    stand limit times or more and their counts, how often a text ends, and what split contexts gain."""
+    shared = ask.sparkSession.sparkContext.broadcast(model)
+
+    def answer(group):
         import numpy as np
-        import pyarrow as pa
 
-        names, counts = [], []
-        for i in range(0, group.num_rows, 500):
-            part = group.slice(i, 500).combine_chunks()
-            word, begin, end = word_names(lowered(part))
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            name, at = np.unique(np.r_[word, np.uint64(END_NAME)], return_inverse=True)
-            names.append(name)
-            counts.append(np.bincount(at, np.r_[np.repeat(train, end - begin), train.sum()], len(name)))
-        name, at = np.unique(np.concatenate(names), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts), len(name)).astype(np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()] * len(name), pa.int32()), "word": pa.array(name.view(np.int64)), "n": pa.array(n)})
-
-    seen = docs.groupBy("block").applyInArrow(distinct, "block int, word bigint, n bigint")
-    by_word = Window.partitionBy("word")
-    counted = seen.select("block", "word", F.sum("n").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("block")).alias("turn"))
-    total = counted.agg(F.sum(F.when(F.col("turn") == 1, F.col("c")).otherwise(0)).alias("train_tokens"), F.sum(F.when((F.col("turn") == 1) & (F.col("c") > 0), 1).otherwise(0)).alias("vocabulary"), F.max("block").alias("b"))
-
-    def wanted(key, group):
+        model = shared.value
+        shard, level = group.column("shard")[0].as_py(), group.column("level")[0].as_py()
+        messages = [unpack(x.as_py()) for x in group.column("data")]
+        key, n, at = summed(messages)
+        gain = None
+        if level:
+            names, m, kinds, _ = model.split[level - 1]
+            context, base = (np.zeros(len(key), messages[0][i].dtype) for i in (2, 3))
+            for x, message in zip(at, messages, strict=True):
+                context[x], base[x] = message[2], message[3]
+            seen = n > 0
+            of = np.searchsorted(names, context[seen])
+            gain = np.bincount(of, gained(n[seen], base[seen], m[of], kinds[of]), len(names))
+        often = n >= limit
+        rows = [(b.as_py(), shard, level, 0, pack(n[x])) for b, x in zip(group.column("block"), at, strict=True)]
+        return table_of([*rows, (-1, shard, level, 0, pickle.dumps((int((n > 0).sum()), key[often], n[often], int(n[key == END].sum()), gain)))])
+
+    out = stored(ask.groupBy("shard").applyInArrow(answer, ASK))
+    return out.where("block <> -1"), [pickle.loads(r["data"]) for r in out.where("block = -1").select("data").collect()]
+
+
+def kinds_of(ask: DataFrame) -> dict[int, int]:
+    """How many different words follow each split context in training texts."""
+
+    def count(group):
         import numpy as np
-        import pyarrow as pa
 
-        parts = [np.unique(block_codes(group.slice(i, 500).combine_chunks(), symbol, depth)[0]) for i in range(0, group.num_rows, 500)]
-        codes = np.unique(np.concatenate(parts))
-        of = shard_of(codes, near, blocks)
-        order = np.argsort(of, kind="stable")
-        shards, first = np.unique(of[order], return_index=True)
-        return pa.table({"block": pa.array([key[0].as_py()] * len(shards), pa.int32()), "shard": pa.array(shards, pa.int32()), "codes": pa.array([packed(x) for x in np.split(codes[order], first[1:])], pa.binary())})
+        messages = [unpack(x.as_py()) for x in group.column("data")]
+        key, n, at = summed(messages)
+        context = np.zeros(len(key), np.uint64)
+        for x, message in zip(at, messages, strict=True):
+            context[x] = message[2]
+        name, kinds = np.unique(context[n > 0], return_counts=True)
+        return table_of(list(zip(name.view(np.int64).tolist(), kinds.tolist(), strict=True)), "context bigint, kinds bigint")
 
-    def answered(key, left, right):
-        import numpy as np
-        import pyarrow as pa
+    rows = ask.groupBy("shard").applyInArrow(count, "context bigint, kinds bigint").groupBy("context").agg(F.sum("kinds").alias("kinds")).collect()
+    return {r["context"]: r["kinds"] for r in rows}
 
-        d, code, n = (left.column(c).to_numpy() for c in ("d", "code", "n"))
-        every = list(shorter.value)
-        for k in range(near, depth + 1):
-            codes, counts = code[d == k], n[d == k]
-            order = np.argsort(codes)
-            every.append(Level(codes[order], counts[order]))
-        logs = [np.log10(probability(unpacked(x.as_py()), every)).astype(np.float32).tobytes() for x in right.column("codes")]
-        return pa.table({"block": right.column("block"), "codes": right.column("codes"), "logs": pa.array(logs, pa.binary())})
 
-    asked = docs.groupBy("block").applyInArrow(wanted, "block int, shard int, codes binary")
-    answers = model.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answered, "block int, codes binary, logs binary")
+def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
+    """Counts words, then, length by length, what follows contexts with more tokens than a shard has on average. Returns the answers to the blocks."""
+    import numpy as np
 
-    def score(key, left, right):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        ours = right.filter(pc.is_null(right.column("codes")))
-        word = ours.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        word, count = word[order], ours.column("c").to_numpy()[order]
-        theirs = right.filter(pc.is_valid(right.column("codes")))
-        code = np.concatenate([np.zeros(0, np.int64), *(unpacked(x.as_py()) for x in theirs.column("codes"))])
-        log = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x.as_py(), np.float32) for x in theirs.column("logs"))])
-        order = np.argsort(code)
-        code, log = code[order], log[order]
-        parts = []
-        for i in range(0, left.num_rows, 500):
-            part = left.slice(i, 500).combine_chunks()
-            batch = lowered(part)
-            own, begin, end = word_names(batch)
-            text = np.r_[np.repeat(np.arange(len(batch)), end - begin), np.arange(len(batch))]  # each text's words, then its end
-            c = count[np.searchsorted(word, np.r_[own, np.full(len(batch), END_NAME, np.uint64)])]
-            n = end - begin + 1
-            known = np.bincount(text, c > 0, len(batch)).astype(np.int64)
-            logs = np.bincount(text, np.log10(c + 1.0), len(batch))
-            codes, ends, prepared = block_codes(part, symbol, depth)
-            scores = np.add.reduceat(log[np.searchsorted(code, codes)], np.r_[0, ends[:-1]], dtype=np.float64)
-            scores += [rare[np.frombuffer(t, np.uint8)].sum() for t in prepared]  # bytes that share a symbol
-            parts.append(pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "logs": pa.array(logs, pa.float64()), "score": pa.array(scores, pa.float64())}))
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
-        return pa.concat_tables([p.cast(schema) for p in parts]) if parts else schema.empty_table()
-
-    told = counted.select("block", "word", "c").unionByName(answers, allowMissingColumns=True)
-    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("vocabulary") + 1.0)
-    return scored.crossJoin(F.broadcast(total)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    ask = asked(blocks, None, model)
+    model.total = ask.agg(F.sum("weight")).first()[0] or 0
+    limit = max(1, model.total // model.shards)
+    told, said = answered(ask, model, limit)
+    model.vocabulary, ends = sum(x[0] for x in said), sum(x[3] for x in said)
+    start = np.zeros(1, np.uint64)
+    for _ in range(model.depth):
+        name, m = (np.concatenate([np.zeros(0, k), *(x[i] for x in said)]) for i, k in ((1, np.uint64), (2, np.int64)))
+        if not model.split:
+            name, m = extended(np.zeros(len(name), np.uint64), name), m
+        start = extended(start, np.full(1, START, np.uint64))
+        if ends >= limit:
+            name, m = np.r_[name, start], np.r_[m, ends]
+        if not len(name):
+            break
+        order = np.argsort(name)
+        model.split.append((name[order], m[order], None, None))
+        ask = asked(blocks, told, model)
+        kinds = kinds_of(ask)
+        kinds = np.array([kinds.get(int(x), 0) for x in name[order].view(np.int64)], np.int64)
+        model.split[-1] = (name[order], m[order], kinds, None)
+        answers, said = answered(ask, model, limit)
+        gain = sum((x[4] for x in said), np.zeros(len(name)))
+        model.split[-1] = (name[order], m[order], kinds, gain >= model.gain)
+        told = told.unionByName(answers)
+    return told
+
+
+def sent(block: int, data: bytes, rows: list, model: Model) -> list:
+    """A block's tokens as messages to shards, and, with weight 1, what it knows of its texts itself."""
+    import numpy as np
+
+    ids, out, text, token, before = read_block(data, model.depth)
+    level, p, c = model.known(token, before, [in_order(rows, k) for k in range(len(model.split) + 1)])
+    frequent = c >= model.least
+    going = np.ones(len(token), bool)
+    for k, w in enumerate(before, 1):  # a context with a rare word isn't a candidate, nor is a longer one
+        ok = np.ones(len(token), bool)
+        ok[k:] = frequent[:-k]
+        going &= (w == START) | ok
+        w[~going] = NONE
+    after = np.full(len(token), NONE, np.uint64)
+    for d in range(model.depth):
+        after[level == d] = before[d][level == d]
+    here = np.flatnonzero(after != NONE)
+    there = np.flatnonzero(after == NONE)
+    final = np.bincount(text[there], np.log10(p[there]), len(ids)).astype(np.float64)
+    logs, n = np.bincount(text, np.log10(c + 1.0), len(ids)), np.bincount(text, minlength=len(ids))
+    known = np.bincount(text, c > 0, len(ids)).astype(np.int64)
+    found = [(block, block % model.shards, 0, 1, pickle.dumps((ids, out, n, known, logs, final)))]
+    shard = np.zeros(len(here), np.int64)
+    for d in range(model.depth):
+        mine = np.flatnonzero(level[here] == d)
+        shard[mine] = shard_of(context_name([w[here[mine]] for w in before], d + 1), model.shards)
+    order = np.argsort(shard, kind="stable")
+    here, shard = here[order], shard[order]
+    names, number = np.unique(np.concatenate([token[here], *(w[here] for w in before)]), return_inverse=True)
+    number = number.reshape(model.depth + 1, -1)
+    small = p[here].astype(np.float32)
+    pairs, pair = np.unique(number[0] << 32 | small.view(np.uint32), return_inverse=True)
+    for s, x in pieces(shard):
+        of, mine = np.unique(pair[x], return_inverse=True)
+        word = pairs[of] >> 32
+        used = np.zeros(len(names), bool)
+        used[word] = True
+        used[number[1:, x].ravel()] = True
+        place = np.cumsum(used) - 1
+        first = (pairs[of] & 0xFFFFFFFF).astype(np.uint32).view(np.float32)
+        who = text[here[x]]
+        told = pack(sorted_names(names[used]), place[word], first, np.diff(who, prepend=0), (~out[who]).astype(np.int64), level[here[x]], mine, *(place[w[x]] for w in number[1:]))
+        found.append((block, s, 0, 0, told))
+    return found
+
+
+def shard_scores(group, model: Model):
+    """The sums of log10 p by text for each message of a shard; rows with weight 1 pass."""
+    import numpy as np
+
+    rows, parts, held = [], [], []
+    for r in group.to_pylist():
+        if r["weight"]:
+            rows.append(tuple(r.values()))
+            continue
+        names, word, base, who, train, level, pair, *before = unpack(r["data"])
+        names = np.cumsum(names, dtype=np.uint64)
+        parts.append((train.astype(np.float64), level, base[pair].astype(np.float64), names[word[pair]], *(names[w] for w in before)))
+        held.append((r["block"], r["shard"], np.cumsum(who)))
+    if parts:
+        train, level, p, token, *before = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        log = np.log10(grown(train, level, p, token, before, model))
+        for (block, shard, who), mine in zip(held, np.split(log, np.cumsum([len(x[2]) for x in held])[:-1]), strict=True):
+            ids, at = np.unique(who, return_inverse=True)
+            rows.append((block, shard, 0, 0, pack(np.diff(ids, prepend=0), np.bincount(at, mine).astype(np.float32))))
+    return table_of([(r[0], r[1], r[2], r[3], r[4]) for r in rows])
+
+
+def added(group):
+    """The rows of a block's texts from the messages of all shards."""
+    import numpy as np
+
+    rows = group.to_pylist()
+    out = []
+    ids, held, n, known, logs, total = pickle.loads(next(r["data"] for r in rows if r["weight"]))
+    for r in sorted((r for r in rows if not r["weight"]), key=lambda r: r["shard"]):
+        who, score = unpack(r["data"])
+        total[np.cumsum(who)] += score
+    for row in zip(ids, held.tolist(), n.tolist(), known.tolist(), logs.tolist(), total.tolist(), strict=True):
+        out.append(row)
+    return table_of(out, OUT)
+
+
+def suffix_tree_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, block_bytes: int = BLOCK_BYTES, shards: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
+
+    The tree and the token counts come from the rows whose crc32(doc_id) mod folds isn't held_out (a null doc_id counts as the text 'null').
+    Null and empty texts have one token, the end. Repeated rows count each time. Other columns are not read. A word of any length is one token.
+    Without training texts every token has probability 1. Words and contexts go by 64-bit names.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    out = fold("doc_id", folds) == held_out
+    blocks = packed_blocks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out")), block_bytes)
+    model = Model(shards or max(8, 2 * blocks.count()), depth, least, gain)
+    told = split_contexts(blocks, model)
+    shared = spark.sparkContext.broadcast(model)
+    messages = by_block(blocks, told, lambda block, data, rows: sent(block, data, rows, shared.value))
+    sums = messages.groupBy("shard").applyInArrow(lambda group: shard_scores(group, shared.value), ASK)
+    scored = sums.groupBy("block").applyInArrow(added, OUT)
+    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(model.total + model.vocabulary + 1.0))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
