@@ -47,7 +47,13 @@ def split(t):
 
 
 def test_word_names():
-    """Equal words, and only they, have equal names, in slabs of any size; words end where bytes.split() ends them."""
+    """Equal words, and only they, have equal names, of any length; words end where bytes.split() ends them."""
+    flip = [b"a"]
+    for _ in range(9):  # Thue-Morse: polynomials of any odd base can't tell it from its complement
+        flip = [*flip, *(b"b" if x == b"a" else b"a" for x in flip)]
+    word = b"".join(flip)
+    got = common.word_names([word, word.translate(bytes.maketrans(b"ab", b"ba"))])[0]
+    assert len(word) == 512 and got[0] != got[1]
     rng = random.Random(1)
     batches = [[None if rng.random() < 0.1 else bytes(rng.choice(b" \t\n\x0b\x0c\r\x1c\x00\xc2\x85\xa0ab") for _ in range(rng.choice([0, 1, 3, 30, 300]))) for _ in range(k % 5)] for k in range(100)]
     names = {}
@@ -95,6 +101,19 @@ def test_substring_null_ids(spark):
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 0), (False, 0), (True, 0)]
 
 
+def test_substring_look_alikes(spark):
+    """Words and stretches that polynomial hashes modulo 2^64 can't tell apart."""
+    flip = "a"
+    for _ in range(11):
+        flip += flip.translate(str.maketrans("ab", "ba"))
+    back = flip.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(49))
+    long = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, f"{head} {flip[:512]}"), (2, f"{head} {back[:512]}"), (3, f"{long} {' '.join(flip)}"), (4, f"{long} {' '.join(back)}")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_substring(rows) and got[2][1] == 0
+
+
 def test_substring_no_words(spark):
     got = substring_dedup.substring_dedup(spark.createDataFrame([(1, None), (2, ""), (3, " \t\n ")], "doc_id bigint, text string").coalesce(1)).collect()
     assert sorted(got) == [(1, 0, 0, ""), (2, 0, 0, ""), (3, 0, 0, "")]
@@ -131,6 +150,44 @@ def test_jaccard(docs, empty, spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (c, _, _) in brute_links([(r[0], r[1]) for r in corpus()]).items() if c == i}
 
 
+def test_jaccard_repeats(spark):
+    """Rows that repeat a doc_id with another text are rows of their own; null ids are linked and kept once; repeated rows are copies."""
+    rng = random.Random(8)
+    w, v, u = (sentence(rng, 60) for _ in range(3))
+    df = spark.createDataFrame([(1, w, "p"), (1, v, "q"), (2, w + " more", "r"), (3, v + " more", "s"), (None, u, "t"), (None, u + " more", "t"), (7, u, "u"), (8, None, "a"), (8, None, "b"), (9, "", "c"), (1, w, "z")], "doc_id bigint, text string, h1 string")
+    got = sorted(((r.doc_id, r.class_id, r.copy_id, r.n_links) for r in near_duplicates.jaccard_join(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1, 2), (1, 1, 1, 2), (1, 1, 1, 1), (2, 1, 2, 2), (3, 1, 3, 1), (None, 7, 7, 2), (None, 7, None, 2), (7, 7, 7, 2), (8, 8, 8, 0), (8, 8, 8, 0), (9, 9, 9, 0)], key=str)
+    kept = near_duplicates.representatives(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, w), (1, v), (7, u), (8, None), (8, None), (9, "")], key=str)
+
+
+def test_forest_depth():
+    """The prefix is as long as the links found allow, and reaches the target recall."""
+    bands = lambda i, n: [n if k == i else 0 for k in range(near_duplicates.BANDS)]
+    assert near_duplicates.shorter(bands(19, 10**6), 8, 0.8, 0.9995) == 8
+    low = near_duplicates.shorter(bands(0, 1000), 8, 0.8, 0.9995)
+    assert low == 4 and near_duplicates.found_share(0.8, low) >= 0.9995 > near_duplicates.found_share(0.8, low + 1)
+    assert near_duplicates.shorter([0] * near_duplicates.BANDS, 8, 0.8, 0.9995) == 4  # no evidence
+    assert 4 < near_duplicates.shorter(bands(4, 1000), 8, 0.8, 0.9995) < 8
+
+
+def test_jaccard_recall(spark):
+    """Recall against brute force on texts with edits of all sizes; no false link."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(60):
+        base = sentence(rng, rng.randint(20, 200)).split()
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(WORDS) + "x"
+            rows.append((len(rows), " ".join(t)))
+    want = brute_links(rows)
+    got = {r.doc_id: r.n_links for r in near_duplicates.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    every = sum(n for _, _, n in want.values())
+    assert all(got[i] <= want[i][2] for i in want) and sum(got.values()) >= 0.995 * every > 100
+
+
 def test_components(spark, monkeypatch):
     from tessera.llm import common
 
@@ -183,6 +240,26 @@ def test_decontamination_null_items(spark):
     assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()] == [3]
 
 
+def test_decontamination_rows(spark):
+    """Rows are judged by their own text, whatever ids repeat or are null, and however the benchmark is split."""
+    rows = [(5, "a b c d"), (5, "q r s"), (5, "a b c d"), (None, "a b"), (None, "clean one"), (None, "a b"), (None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, item_ids string")
+    bench = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "r s"), (4, "zz yy")], "item_id bigint, text string")
+    want = sorted([(5, 4, 4, [1, 2]), (5, 3, 2, [3]), (5, 4, 4, [1, 2]), (None, 2, 2, [1]), (None, 2, 0, []), (None, 2, 2, [1]), (None, 0, 0, [])], key=str)
+    for size in (1_000_000, 2):
+        got = [(r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), r.item_ids) for r in decontaminate.contamination(df, bench, block_words=size).collect()]
+        assert sorted(got, key=str) == want
+        clean = decontaminate.decontaminated(df, bench, block_words=size)
+        assert clean.columns == df.columns and sorted(clean.collect(), key=str) == [(None, "clean one", "x"), (None, None, "x")]
+
+
+def test_lines_repeats(spark):
+    """A row with another text under the same id keeps its lines; repeated rows share one decision."""
+    rows = [(i, f"often\nown {i}", f"s{i}") for i in range(12)] + [(5, "unique first line\nother", "s5"), (6, "own\noften", "s6"), (6, "own\noften", "s6"), (None, "often\nx", "s1")]
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()), key=str)
+    assert got == sorted([(i, f"own {i}") for i in range(12)] + [(5, "unique first line\nother"), (6, "own"), (6, "own"), (None, "often\nx")], key=str)
+
+
 def test_lines(docs, empty, spark):
     rows = [(i, f" head \nbody {i}\n\n{'often' if i < 12 else 'rare'}\nhead", f"s{i % 11}" if i % 11 else None) for i in range(24)] + [(50, None, "s1"), (51, "", "s1")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("__n_lines", F.lit("mine"))
@@ -282,76 +359,75 @@ def test_media_passages(spark):
     assert all(r.media_sha256 == hashlib.sha256(media.wav(media.payload_of(t.encode()))).hexdigest() for i, t in rows for r in got if r.doc_id == i)
 
 
-def test_suffix_tree(docs, empty, spark):
-    got = suffix_tree.suffix_tree_scores(docs, least=1e-3).collect()
-    low = lambda t: [*(w for w in split("".join(c.lower() if c.isascii() else c for c in t or ""))), "\n"]
-    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for r in corpus() if not out(r[0]) for w in low(r[1]))
-    n, v = sum(c.values()), len(c)
-    text = {r[0]: r[1] for r in corpus()}
-    for r in got:
-        ws = low(text[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out(r.doc_id), len(ws), sum(w in c for w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
-    assert len(got) == docs.count() and suffix_tree.suffix_tree_scores(empty).count() == 0
-
+def tree_tokens(t):
+    return [*split("".join(c.lower() if c.isascii() else c for c in t or "")), "\n"]
 
-def test_suffix_tree_brute(docs):
-    """The tables give what a search for the longest kept context gives, and each context's distribution adds up to 1."""
-    import numpy as np
 
-    symbol, own = symbols.alphabet(docs, suffix_tree.joined)
-    child, logp = suffix_tree.tree(symbols.gram_counts(docs, suffix_tree.joined, symbol, 4), 3, 1e-3)
-    assert np.allclose((10.0**logp).sum(axis=1), 1, atol=1e-4)
-    for t in (b"", b"thor erat", "é ü zz".encode(), b"the end"):
-        s = [0, 0, 0, *(int(symbol[b]) for b in suffix_tree.joined(t)), 0]
-        total = sum(float(own[b]) for b in suffix_tree.joined(t))
-        for p in range(3, len(s)):
-            node = 0
-            for k in (1, 2, 3):
-                if (nxt := int(child[node, s[p - k]])) >= len(logp):
-                    break
-                node = nxt
-            total += float(logp[node, s[p]])
-        assert suffix_tree.log10_of([t], (symbol, own, child, logp), 3)[0] == pytest.approx(total, rel=1e-5)
-
-
-def test_suffix_tree_shards(docs):
-    """The shards score texts as the whole tree in memory does."""
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    train = docs.where(~held)
-    symbol, own = symbols.alphabet(train, suffix_tree.joined)
-    model = suffix_tree.tree(symbols.gram_counts(train, suffix_tree.joined, symbol, suffix_tree.DEPTH + 1))
-    text = {r[0]: (r[1] or "").encode() for r in corpus()}
-    for r in suffix_tree.suffix_tree_scores(docs).collect():
-        assert r.score == pytest.approx(suffix_tree.log10_of([text[r.doc_id]], (symbol, own, *model), suffix_tree.DEPTH)[0], rel=1e-4)
-
-
-def test_suffix_tree_least(spark):
-    """Contexts of 6 symbols that stand 30 times are nodes however large the rest is, in memory and in shards."""
-    code = lambda *s: sum(x << 6 * i for i, x in enumerate(reversed(s)))
-    rows = [(code(2, 2, 2, 2, 2, 2, 2), 10**9), (code(3, 10, 11, 12, 13, 14, 20), 30), (code(4, 10, 11, 12, 13, 14, 21), 30), (code(5, 10, 11, 12, 13, 14, 22), 5)]
-    counts = spark.createDataFrame(rows, "code bigint, n bigint")
-    child, logp = suffix_tree.tree(counts, 6)
-    for first, after in ((3, 20), (4, 21)):
-        node = 0
-        for s in (14, 13, 12, 11, 10, first):
-            node = int(child[node, s])
-        assert node < len(logp) and logp[node, after] > -0.1
-    levels, model = suffix_tree.shards_of_model(counts, 6, suffix_tree.LEAST, suffix_tree.GAIN, 4)
-    assert {r.code for r in model.where("d = 6").collect()} == {rows[1][0], rows[2][0]}
-    assert sum(len(x.context) for x in levels) + model.select("d", F.expr("code >> 6")).distinct().count() == len(logp)
-
-
-def test_suffix_tree_depth(spark):
-    """Texts in which only the sixth symbol back tells the next one."""
-    code = lambda *s: sum(x << 6 * i for i, x in enumerate(reversed(s)))
-    counts = spark.createDataFrame([(code(3, 10, 11, 12, 13, 14, 20), 1000), (code(4, 10, 11, 12, 13, 14, 21), 1000)], "code bigint, n bigint")
-    child, logp = suffix_tree.tree(counts)
-    node = 0
-    for s in (14, 13, 12, 11, 10, 3):
-        node = int(child[node, s])
-    assert logp[node % len(logp), 20] > -0.1
+def brute_tree(rows, depth, least, gain):
+    """Scores by a search for each token's longest kept context, over plain dictionaries."""
+    out = lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % 7 == 2
+    c, after = Counter(), defaultdict(Counter)
+    before = lambda ws, p, d: tuple(ws[p - k] if k <= p else None for k in range(d, 0, -1))
+    for i, t in rows:
+        if not out(i):
+            ws = tree_tokens(t)
+            c.update(ws)
+            for p, w in enumerate(ws):
+                for d in range(1, depth + 1):
+                    after[before(ws, p, d)][w] += 1
+    total, kinds = sum(c.values()), len(c)
+    kept = {}
+
+    def probability(w, context):
+        if not context:
+            return (c[w] + 1) / (total + kinds + 1)
+        p, own = probability(w, context[1:]), after.get(context, Counter())
+        m = sum(own.values())
+        if context not in kept:
+            base = {x: probability(x, context[1:]) for x in own}
+            kept[context] = m >= least and sum(n * math.log((n - 1 + len(own) * base[x]) / (m - 1 + len(own)) / base[x]) for x, n in own.items()) >= gain
+        return (own[w] + len(own) * p) / (m + len(own)) if kept[context] else p
+
+    got = {}
+    for i, t in rows:
+        ws = tree_tokens(t)
+        got[i] = (out(i), len(ws), sum(w in c for w in ws), total, sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in ws), sum(math.log10(probability(w, before(ws, p, depth))) for p, w in enumerate(ws)))
+    return got, kept
+
+
+def test_suffix_tree(docs, empty):
+    """Against brute force: without split contexts, and with many; in one block a partition, and in many."""
+    for depth, shards, size in ((3, 1, 1 << 20), (4, 40, 3000), (2, 300, 1)):
+        want, kept = brute_tree([(r[0], r[1]) for r in corpus()], depth, 2, 2.0)
+        assert 0 < sum(kept.values()) < len(kept)
+        got = suffix_tree.suffix_tree_scores(docs, depth=depth, shards=shards, block_bytes=size).collect()
+        assert len(got) == len(want)
+        for r in got:
+            h, n, known, total, base, score = want[r.doc_id]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (h, n, known, total)
+            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score, rel=1e-4)
+    assert suffix_tree.suffix_tree_scores(empty).count() == 0
+
+
+def test_suffix_tree_rows(spark):
+    """Null and repeated ids, nothing to learn from, columns that clash, and ties."""
+    df = spark.createDataFrame([(None, "a b a b", 1.0), (None, None, 1.0), (3, "a b", 2.0), (3, "a b", 2.0)], "doc_id bigint, text string, score double")
+    got = suffix_tree.suffix_tree_scores(df).collect()
+    assert sorted((r.doc_id is None, r.n_tokens) for r in got) == [(False, 3), (False, 3), (True, 1), (True, 5)]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    none = suffix_tree.suffix_tree_scores(spark.createDataFrame([(held[0], "a b")], "doc_id bigint, text string")).first()
+    assert (none.held_out, none.n_tokens, none.n_known, none.train_tokens, none.score, none.base_score) == (True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_suffix_tree_grows(spark):
+    """Contexts that stand twice are kept however large the rest is; a text that stands twice scores above its like that stands once."""
+    rng = random.Random(6)
+    fresh = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
+    learn = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    twice = fresh()
+    rows = [(i, twice if k < 2 else fresh()) for k, i in enumerate(learn)]
+    got = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert min(got[learn[0]], got[learn[1]]) > max(got[i] for i in learn[2:]) + 10
 
 
 def test_quality(docs, empty, spark):
@@ -372,7 +448,7 @@ def test_kneser_ney_sums(docs):
 def segmentations(w):
     if not w:
         yield []
-    for k in range(1, min(len(w), language_id.LONGEST) + 1):
+    for k in range(1, len(w) + 1):
         for rest in segmentations(w[k:]):
             yield [w[:k], *rest]
 
@@ -382,14 +458,51 @@ def test_segmentations():
 
     vocabulary = sorted({"▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab"})
     lattice = language_id.Lattice(vocabulary)
-    table = np.r_[np.random.default_rng(0).dirichlet(np.ones(len(vocabulary)), 2).T, [[1e-7, 1e-7]], [[0, 0]]]
+    number = {p: i for i, p in enumerate(vocabulary)}
+    table = np.r_[np.random.default_rng(0).dirichlet(np.ones(len(vocabulary)), 2).T, [[1e-7, 1e-7]]]
     for w in ("aba", "bazb", "abab" * 3):
         brute = np.zeros(2)
         for s in segmentations("▁" + w):
-            if all(p in lattice.number or len(p) == 1 for p in s):
-                brute += np.prod([table[lattice.number.get(p, len(vocabulary))] for p in s], axis=0)
+            if all(p in number or len(p) == 1 for p in s):
+                brute += np.prod([table[number.get(p, len(vocabulary))] for p in s], axis=0)
         assert language_id.log_probabilities(lattice, table, [w])[0] == pytest.approx(np.log(brute))
-        assert language_id.long_word(lattice, table, "▁" + w) == pytest.approx(np.log(brute))
+
+
+def test_long_words():
+    """Words of any length are scored in whole and learned from, and the vocabulary's longest pieces count."""
+    import numpy as np
+
+    vocabulary = sorted({"▁", "a", "b", "ab", "abababababababab", "z" * 16})
+    lattice = language_id.Lattice(vocabulary)
+    table = np.full((len(vocabulary) + 1, 1), 0.1)
+    table[-1] = 1e-7
+    for w in ("ab" * 500, "q" * 300, "z" * 33):
+        logs = [0.0]  # plain dynamic programming in logs
+        for i in range(1, len(w) + 2):
+            ways = [logs[i - k] + math.log(0.1 if ("▁" + w)[i - k : i] in vocabulary else 1e-7) for k in range(1, min(i, 16) + 1) if ("▁" + w)[i - k : i] in vocabulary or k == 1]
+            top = max(ways)
+            logs.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+        assert language_id.log_probabilities(lattice, table, [w])[0, 0] == pytest.approx(logs[-1])
+    p = language_id.fitted(vocabulary, ["z" * 64, "b" * 90], np.array([5.0, 1.0]))
+    assert p[vocabulary.index("z" * 16)] > 0.1 and p[vocabulary.index("b")] > 0.3 and p[:-1].sum() == pytest.approx(1)
+    assert max(map(len, language_id.pieces())) > 8
+
+
+def test_expectation(spark):
+    """One round of expectation-maximisation against all segmentations."""
+    import numpy as np
+
+    vocabulary = sorted({"▁", "▁a", "a", "b", "ab", "ba", "aba", "▁ab"})
+    words, n = ["aba", "abab", "b"], np.array([3.0, 1.0, 2.0])
+    p, expected = 1 / len(vocabulary), Counter()
+    for w, times in zip(words, n, strict=True):
+        ways = [s for s in segmentations("▁" + w) if all(x in vocabulary for x in s)]
+        every = sum(p ** len(s) for s in ways)
+        for s in ways:
+            for x in s:
+                expected[x] += times * p ** len(s) / every
+    want = np.array([expected[x] + 0.01 for x in vocabulary])
+    assert language_id.fitted(vocabulary, words, n, 1)[:-1] == pytest.approx(want / want.sum())
 
 
 def test_language(spark, docs, empty):
