@@ -1,9 +1,9 @@
 """Media columns by content-defined payload chunking.
 
 A text's bytes, padded to a multiple of 64, are the samples of an 8-bit mono WAV file. A rolling gear hash cuts the file into
-chunks where its content says so, so that equal passages give equal chunks. Chunks that stand once stay in their file's own row, compressed together;
-chunks that may stand more than once go to a shared store, one row a digest. Ordered chunk lists rebuild every file, which is
-verified by its digest before its samples are read.
+chunks where its content says so, so that equal passages give equal chunks. Chunks of one file alone stay in its own row, compressed together;
+chunks that different files may hold go to a shared store, one row a digest, and equal files have one body. Ordered chunk lists rebuild
+every file, which is verified by its digest before its samples are read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ RATE = 8000
 #: Chunk sizes in bytes: none smaller but the last, none larger; cuts come about every 2^CUT_BITS bytes beyond the least, so that
 #: a shared passage of 50 words (some 350 bytes) holds whole chunks.
 LEAST, MOST, CUT_BITS = 64, 8192, 7
-#: Bits of the filter of digests that stand more than once: a fixed size. If it fills up, more chunks go to the shared store, no more.
+#: Bits of the filters of files and of digests that stand more than once: a fixed size. If one fills up, more goes to the shared stores, no more.
 FILTER_BITS = 26
 #: Between the values of common letters.
 MIDDLE = 107
@@ -92,8 +92,9 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()[:16]
 
 
-def place(d: bytes) -> int:
-    return int.from_bytes(d[:8], "little") & ((1 << FILTER_BITS) - 1)
+def short(d: bytes) -> int:
+    """64 bits of a digest, as a signed number."""
+    return int.from_bytes(d[:8], "little", signed=True)
 
 
 def packed(chunk: bytes) -> bytes:
@@ -111,90 +112,131 @@ def features(samples: bytes) -> str:
     return f"mean={int(x.sum()) * 1000 // len(x)};power={int((x * x).sum()) // len(x)};crossings={int(np.count_nonzero(np.diff(x >= MIDDLE)))};band={band}"
 
 
-def repeated(docs: DataFrame) -> bytes:
-    """A filter of fixed size with a bit for each digest that stands more than once (and for what shares its bit)."""
+def bits_of(keys: DataFrame):
+    """A filter of fixed size with a bit for each of the one column of numbers (and for what shares its bit)."""
     import numpy as np
 
-    def found(batches):
-        from collections import Counter
+    at = F.col(keys.columns[0]).bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2^(FILTER_BITS - 6) rows
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
+def has(bits, key: int) -> bool:
+    place = key & ((1 << FILTER_BITS) - 1)
+    return bool(bits[place >> 6] >> (place & 63) & 1)
+
 
+def lent_chunks(docs: DataFrame) -> DataFrame:
+    """Short digests of the chunks that stand in two files or more; docs: text, file (a hash of the text)."""
+
+    def found(batches):
         import pyarrow as pa
 
         table = gear()
         for batch in batches:
-            c: Counter = Counter()
-            for t in texts(batch):
-                c.update(map(digest, chunks(wav(payload_of(t)), table)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64()), pa.array([place(d) for d in c], pa.int64())], ["digest", "n", "place"])
+            least: dict[int, int] = {}
+            most: dict[int, int] = {}
+            for t, f in dict(zip(texts(batch), batch.column("file").to_pylist(), strict=True)).items():
+                for c in chunks(wav(payload_of(t)), table):
+                    d = short(digest(c))
+                    least[d], most[d] = min(f, least.get(d, f)), max(f, most.get(d, f))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (least, least.values(), most.values())], ["digest", "least", "most"])
 
-    seen = docs.mapInArrow(found, "digest binary, n bigint, place bigint").groupBy("digest", "place").agg(F.sum("n").alias("n")).where("n > 1")
-    words = seen.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()  # at most 2^(FILTER_BITS - 6) rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.tobytes()
+    seen = docs.select("text", "file").mapInArrow(found, "digest bigint, least bigint, most bigint")
+    return seen.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("digest")
 
 
-def media_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, shared): both written to the folder that the cluster shares.
+BODY = "media_sha256 string, n_bytes bigint, n_chunks bigint, n_shared bigint, own binary, list array<struct<digest: binary, size: bigint>>"
 
-    files has doc_id, n_bytes, media_sha256, n_chunks, n_shared, own, the compressed bytes of all chunks that aren't in shared, and list, the
-    file in order: the digest of a chunk in shared, or null and the size of a stretch of own. shared has digest and own, one row a digest,
-    by joining equal digests.
+
+def media_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, bodies, shared): all written to the folder that the cluster shares.
+
+    files has a row for each row of docs: doc_id, n_bytes, media_sha256, and, if no other row may have the same text, the file's body; bodies has
+    the other bodies, one row a media_sha256. A body is n_chunks, n_shared, own, the compressed bytes of all chunks that aren't in shared, and
+    list, the file in order: the digest of a chunk in shared, or null and the size of a stretch of own. shared has digest and own, one row
+    a digest, by joining equal digests of chunks that different files hold.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    seen = spark.sparkContext.broadcast(repeated(docs.select("text")))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("file"))
+    copied = docs.groupBy("file").agg(F.count("*").alias("n")).where("n > 1").select("file")
+    both = spark.sparkContext.broadcast((bits_of(copied), bits_of(lent_chunks(docs))))
+
+    def filters():
+        return (memoryview(x).cast("Q") for x in both.value)
+
+    def body(media: bytes, table, lent) -> tuple:
+        parts, order, own, k = chunks(media, table), [], [], 0
+        for c in parts:
+            if has(lent, short(d := digest(c))):
+                order.append({"digest": d, "size": None})
+                k += 1
+                continue
+            own.append(c)
+            if order and order[-1]["digest"] is None:
+                order[-1]["size"] += len(c)
+            else:
+                order.append({"digest": None, "size": len(c)})
+        return len(parts), k, packed(b"".join(own)), order
+
+    def table_of(rows, first):
+        import pyarrow as pa
 
-    def is_shared(bits, d: bytes) -> bool:
-        p = place(d)
-        return bool(bits[p >> 6] >> (p & 63) & 1)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int64())]))]
+        names = [*first, "n_chunks", "n_shared", "own", "list"]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*first.values(), *kinds], strict=True)], names)
 
     def files(batches):
         import hashlib
 
         import pyarrow as pa
 
-        table, bits = gear(), memoryview(seen.value).cast("Q")
-        kind = pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int64())]))
+        table, (copies, lent) = gear(), filters()
         for batch in batches:
             rows = []
-            for t in texts(batch):
+            for i, f, t in zip(batch.column("doc_id").to_pylist(), batch.column("file").to_pylist(), texts(batch), strict=True):
                 media = wav(payload_of(t))
-                parts, lists, own, k = chunks(media, table), [], [], 0
-                for c in parts:
-                    if is_shared(bits, d := digest(c)):
-                        lists.append({"digest": d, "size": None})
-                        k += 1
-                        continue
-                    own.append(c)
-                    if lists and lists[-1]["digest"] is None:
-                        lists[-1]["size"] += len(c)
-                    else:
-                        lists.append({"digest": None, "size": len(c)})
-                rows.append((len(t or b""), hashlib.sha256(media).hexdigest(), len(parts), k, packed(b"".join(own)), lists))
-            n, sha, m, k, own, lists = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(m, pa.int64()), pa.array(k, pa.int64()), pa.array(own, pa.binary()), pa.array(lists, kind)], ["doc_id", "n_bytes", "media_sha256", "n_chunks", "n_shared", "own", "list"])
+                rows.append((i, len(t or b""), hashlib.sha256(media).hexdigest(), *((None,) * 4 if has(copies, f) else body(media, table, lent))))
+            yield table_of(rows, {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media_sha256": pa.string()})
+
+    def bodies(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        table, (copies, lent) = gear(), filters()
+        for batch in batches:
+            rows = []
+            for t, f in dict(zip(texts(batch), batch.column("file").to_pylist(), strict=True)).items():
+                if has(copies, f):
+                    media = wav(payload_of(t))
+                    rows.append((hashlib.sha256(media).hexdigest(), len(t or b""), *body(media, table, lent)))
+            yield table_of(rows, {"media_sha256": pa.string(), "n_bytes": pa.int64()})
 
     def shared(batches):
         import pyarrow as pa
 
-        table, bits = gear(), memoryview(seen.value).cast("Q")
+        table, (_, lent) = gear(), filters()
         for batch in batches:
             own = {}
-            for t in texts(batch):
+            for t in set(texts(batch)):
                 for c in chunks(wav(payload_of(t)), table):
-                    if is_shared(bits, d := digest(c)) and d not in own:
+                    if has(lent, short(d := digest(c))) and d not in own:
                         own[d] = packed(c)
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], ["digest", "own"])
 
     once = docs.select("text").mapInArrow(shared, "digest binary, own binary").groupBy("digest").agg(F.min("own").alias("own"))
-    kind = "doc_id bigint, n_bytes bigint, media_sha256 string, n_chunks bigint, n_shared bigint, own binary, list array<struct<digest: binary, size: bigint>>"
-    return stored(docs.mapInArrow(files, kind)), stored(once)
+    kept = docs.select("text", "file").mapInArrow(bodies, BODY).groupBy("media_sha256").agg(*[F.first(c).alias(c) for c in ("n_bytes", "n_chunks", "n_shared", "own", "list")])
+    return stored(docs.mapInArrow(files, f"doc_id bigint, n_bytes bigint, media_sha256 string, {BODY.split(", ", 2)[2]}")), stored(kept), stored(once)
 
 
-def read_back(files: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rebuilds each file from its chunk list, verifies it and reads its samples.
+def read_back(files: DataFrame, bodies: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rebuilds each file from its chunk list, verifies it and reads its samples; a body that several files share is rebuilt once.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_chunks, n_shared. A chunk or file that
     doesn't match its digest raises an error. Files without shared chunks are read where they lie, without a shuffle.
@@ -230,12 +272,16 @@ def read_back(files: DataFrame, shared: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    alone = files.where("n_shared = 0")
-    some = files.where("n_shared > 0").withColumn("sha", F.unhex(F.substring("media_sha256", 1, 32)))
-    wanted = some.select("doc_id", "sha", F.posexplode(F.transform("list", lambda x: F.struct(x["digest"].alias("digest")))).alias("pos", "x")).where("x.digest is not null").select("doc_id", "sha", "pos", "x.digest").distinct()
-    lent = wanted.join(shared, "digest").groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(F.collect_list(F.struct("pos", "own")).alias("lent"))
-    some = some.join(lent, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))).select(*files.columns, "lent")
-    return alone.mapInArrow(rebuilt, kind).unionByName(some.mapInArrow(rebuilt, kind))
+    def whole(rows: DataFrame) -> DataFrame:
+        """rows: doc_id and bodies, of which no two have one media_sha256."""
+        some = rows.where("n_shared > 0").withColumn("sha", F.unhex(F.substring("media_sha256", 1, 32)))
+        wanted = some.select("sha", F.posexplode("list").alias("pos", "x")).select("sha", "pos", "x.digest").where("digest is not null")
+        lent = wanted.join(shared, "digest").groupBy("sha").agg(F.collect_list(F.struct("pos", "own")).alias("lent"))
+        return rows.where("n_shared = 0").mapInArrow(rebuilt, kind).unionByName(some.join(lent, "sha").select(*rows.columns, "lent").mapInArrow(rebuilt, kind))
+
+    once = whole(bodies.withColumn("doc_id", F.lit(None).cast("bigint"))).drop("doc_id")
+    copies = files.where("list is null").select("doc_id", "media_sha256").join(once, "media_sha256")
+    return whole(files.where("list is not null")).unionByName(copies)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
