@@ -18,50 +18,27 @@ import pickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, mixed, small_batches, stored, texts, word_names
+from .blocks import ASK, BLOCK_BYTES, by_block, pack, packed_blocks, pieces, sorted_names, table_of, unpack, unpacked_block
+from .common import fold, mixed, stored, word_names
 
-DEPTH = 4
+DEPTH = 3
 #: Times that a candidate stands in the training texts.
 LEAST = 2
 #: Nats that a context must gain over its longest kept suffix.
 GAIN = 2.0
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 16 << 20
 #: Names beside the 64-bit names of words: a text's end, what stands before its start, and a word too rare to be part of a context.
 END, START, NONE = 0, 1, 2
+#: Numbers of words, where words go by numbers instead of names, begin after those.
+FIRST = 2
+#: A context that stands more often than this many times a shard's average number of tokens is split.
+HOT = 1
+#: Parts of a shard that are grown one after another; a power of 2.
+PARTS = 4
 
 
-def pack(*arrays) -> bytes:
-    """Arrays as compressed byte planes; whole numbers are kept as small as they fit."""
-    import numpy as np
-    import zstandard
-
-    parts = []
-    for x in arrays:
-        if x.dtype.kind == "i" and len(x):
-            x = x.astype(np.min_scalar_type(int(x.max())) if x.min() >= 0 else np.int64)
-        parts.append((x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()))
-    return zstandard.compress(pickle.dumps(parts), 1)
-
-
-def unpack(data: bytes) -> list:
-    """Only what pack() made in the same job; whole numbers come back as int64."""
-    import numpy as np
-    import zstandard
-
-    out = []
-    for kind, planes in pickle.loads(zstandard.decompress(data)):
-        size = np.dtype(kind).itemsize
-        x = np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-        out.append(x.astype(np.int64) if x.dtype.kind in "iu" and kind != "<u8" else x)
-    return out
-
-
-def sorted_names(x):
-    """Sorted 64-bit names as differences, which are smaller; np.cumsum() restores them."""
-    import numpy as np
-
-    return np.diff(x, prepend=np.uint64(0))
+def zigzag(x):
+    """Whole numbers of either sign as small ones of none; x >> 1 ^ -(x & 1) restores them."""
+    return x << 1 ^ x >> 63
 
 
 def extended(context, word):
@@ -102,39 +79,53 @@ def tokens(batch: list, depth: int) -> tuple:
     return text, token, before
 
 
-def counts_of(keys, weight, shards: int):
-    """(shard, key, count, first place of it) of the distinct keys, by shard and key."""
-    import numpy as np
+class Keys:
+    """The distinct keys of an array by shard and key: key, shard, and at, which of them each place has."""
 
-    key, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    n = np.bincount(at, weight, len(key)).astype(np.int64)
-    shard = shard_of(key, shards)
-    order = np.argsort(shard, kind="stable")
-    return shard[order], key[order], n[order], first[order]
+    def __init__(self, keys, shards: int):
+        import numpy as np
+        import pandas as pd
 
+        at, key = pd.factorize(keys)
+        shard = (mixed(key + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((key, shard))
+        place = np.empty(len(key), np.int64)
+        place[order] = np.arange(len(key))
+        self.key, self.shard, self.at = key[order], shard[order], place[at]
 
-def shard_of(key, shards: int):
-    import numpy as np
+    def sums(self, weight):
+        import numpy as np
 
-    return (mixed(key + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
+        return np.bincount(self.at, weight, len(self.key)).astype(np.int64)
 
+    def one(self, values):
+        """The value of each key, which is the same wherever the key stands."""
+        import numpy as np
+
+        out = np.zeros(len(self.key), values.dtype)
+        out[self.at] = values
+        return out
 
-def pieces(shard):
-    """(shard, slice) of each shard in a sorted array of shards."""
+
+def shard_of(name, shards: int):
     import numpy as np
 
-    edge = np.flatnonzero(np.r_[True, np.diff(shard) != 0, True]) if len(shard) else [0]
-    return [(int(shard[a]), slice(int(a), int(b))) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return (mixed(name + np.uint64(7)) % np.uint64(shards)).astype(np.int64)
 
 
 def summed(messages: list) -> tuple:
-    """(key, count, which key each message's entries are) of messages (names, counts, ...)."""
+    """(key, count, which key each message's entries are) of messages (names, counts, ...), keys in order."""
     import numpy as np
+    import pandas as pd
 
     names = [np.cumsum(m[0], dtype=np.uint64) for m in messages]
-    key, at = np.unique(np.concatenate(names), return_inverse=True)
+    at, key = pd.factorize(np.concatenate(names))
+    order = np.argsort(key)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    at = place[at]
     n = np.bincount(at, np.concatenate([m[1] for m in messages]), len(key)).astype(np.int64)
-    return key, n, np.split(at, np.cumsum([len(x) for x in names])[:-1])
+    return key[order], n, np.split(at, np.cumsum([len(x) for x in names])[:-1])
 
 
 def gained(n, p, m, kinds):
@@ -161,140 +152,89 @@ class Model:
         return names[at] == name, at
 
     def known(self, token, before: list, answers: list) -> tuple:
-        """(level, p, count) of each token: how many words of context are split and accounted for in p; answers: by level, counts of the distinct entries."""
+        """(level, p, count, number) of each token: how many words of context are split and accounted for in p, the word's count in training, and
+        its number among all words of training (0 for others); answers: by level, what shards say of the distinct entries."""
         import numpy as np
 
-        def told(keys, counts):
-            _, key, _, _ = counts_of(keys, None, self.shards)
-            order = np.argsort(key)
-            return counts[order][np.searchsorted(key[order], keys)]
-
-        c = told(token, answers[0])
+        words = Keys(token, self.shards)
+        c, rank = answers[0]
+        number = np.where(rank > 0, rank * self.shards + words.shard, 0)[words.at]
+        c = c[words.at]
         p = (c + 1.0) / (self.total + self.vocabulary + 1.0)
         level, here = np.zeros(len(token), np.int64), np.arange(len(token))
         for d in range(1, len(answers)):
             name = context_name([w[here] for w in before], d)
             found, at = self.find(d, name)
             here, name, at = here[found], name[found], at[found]
-            n = told(extended(name, token[here]), answers[d])
+            n = answers[d][0][Keys(extended(name, token[here]), self.shards).at]
             _, m, kinds, stays = self.split[d - 1]
             p[here] = np.where(stays[at], (n + kinds[at] * p[here]) / (m[at] + kinds[at]), p[here])
             level[here] = d
-        return level, p, c
+        return level, p, c, number
 
 
 def grown(train, level, p, token, before: list, model: Model):
-    """p of each token by the longest kept context; the tokens are all that follow these contexts."""
+    """p of each token by the longest kept context; the tokens are all that follow these contexts. Words go by numbers, NONE being one that stands
+    too rarely for a context, or, as a token, never in training."""
     import numpy as np
+    import pandas as pd
 
     p, alive = p.copy(), np.ones(len(token), bool)
     for d in range(1, model.depth + 1):
         alive &= (level >= d) | (before[d - 1] != NONE)
         here = np.flatnonzero(alive & (level < d))
-        _, context = np.unique(context_name([w[here] for w in before], d), return_inverse=True)
+        context, _ = pd.factorize(context_name([w[here] for w in before], d))
         m = np.bincount(context, train[here])
         often = m[context] >= model.least
         alive[here[~often]] = False
         here, context = here[often], context[often]
         if not len(here):
             continue
-        _, context = np.unique(context, return_inverse=True)
+        context, _ = pd.factorize(context)
         m = np.bincount(context, train[here])
-        _, first, entry = np.unique(extended(context.astype(np.uint64), token[here]), return_index=True, return_inverse=True)
-        n, of, base = np.bincount(entry, train[here]), context[first], p[here][first]
+        entry = extended(context.astype(np.uint64), token[here])
+        rare = token[here] == NONE  # an entry of its own each time
+        entry[rare] = mixed(np.arange(int(rare.sum()), dtype=np.uint64) + np.uint64(1 << 62))
+        entry, kinds_of = pd.factorize(entry)
+        size = len(kinds_of)
+        n = np.bincount(entry, train[here], size)
+        of, base = np.empty(size, np.int64), np.empty(size)
+        of[entry], base[entry] = context, p[here]
         seen = n > 0
         kinds = np.bincount(of[seen], minlength=len(m))
         gain = np.bincount(of[seen], gained(n[seen], base[seen], m[of[seen]], kinds[of[seen]]), len(m))
-        better = np.where(gain[of] >= model.gain, (n + kinds[of] * base) / (m[of] + kinds[of]), base)
-        p[here] = better[entry]
+        p[here] = np.where(gain[of] >= model.gain, (n + kinds[of] * base) / (m[of] + kinds[of]), base)[entry]
     return p
 
 
-def packed_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, data): documents' ids, folds and texts in blocks; docs: doc_id, text, held_out."""
-
-    def pack_texts(batches):
-        import pyarrow as pa
-        import zstandard
-        from pyspark import TaskContext
-
-        part, k = TaskContext.get().partitionId(), 0
-        ids, out, held, size = [], [], [], 0
-
-        def block():
-            data = zstandard.compress(pickle.dumps((ids, out, held)), 3)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([data], pa.binary())], ["block", "data"])
-
-        for batch in batches:
-            for i, t, o in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("held_out").to_pylist(), strict=True):
-                ids.append(i)
-                held.append(t)
-                out.append(o)
-                size += len(t or b"")
-                if size >= block_bytes:
-                    yield block()
-                    ids, out, held, size, k = [], [], [], 0, k + 1
-        if ids:
-            yield block()
-
-    return stored(docs.mapInArrow(pack_texts, "block bigint, data binary"))
-
-
-def in_order(rows, level: int):
-    """The answers to a block at a level, by shard."""
-    import numpy as np
-
-    found = sorted((r["shard"], r["data"]) for r in rows if r["level"] == level)
-    return np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for _, x in found)])
-
-
-ASK = "block bigint, shard bigint, level bigint, weight bigint, data binary"
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
 
 
-def table_of(rows: list, names: str = ASK):
-    """An Arrow table of rows, by the schema's names and types."""
-    import pyarrow as pa
-
-    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-    fields = [x.split() for x in names.split(", ")]
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.table({n: pa.array(c, kinds[k]) for c, (n, k) in zip(columns, fields, strict=True)})
-
-
 def read_block(data: bytes, depth: int) -> tuple:
     """(ids, held out, text number, token, the words before) of a block."""
     import numpy as np
-    import zstandard
 
-    ids, out, held = pickle.loads(zstandard.decompress(data))
-    return ids, np.array(out, bool), *tokens(held, depth)
+    columns, held = unpacked_block(data)
+    return columns["doc_id"], np.array(columns["held_out"], bool), *tokens(held, depth)
 
 
-def in_order(rows: list, level: int):
-    """The answers to a block at a level, by shard."""
+def training_tokens(columns: dict, held: list) -> int:
     import numpy as np
 
-    return np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for _, x in sorted((r["shard"], r["data"]) for r in rows if r["level"] == level))])
-
+    _, begin, end = word_names(held)
+    return int((end - begin + 1)[~np.array(columns["held_out"], bool)].sum())
 
-def by_block(blocks: DataFrame, told: DataFrame | None, work) -> DataFrame:
-    """The rows that work(block, data, answers to it) gives for every block; told: the answers."""
 
-    def alone(batches):
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                yield from table_of(work(block, data, [])).to_batches()
-
-    def both(left, right):
-        rows = right.select(["shard", "level", "data"]).to_pylist()
-        return table_of([x for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist(), strict=True) for x in work(block, data, rows)])
+def in_order(rows: list, level: int) -> list:
+    """The answers to a block at a level, by shard: counts, and at level 0 ranks."""
+    import numpy as np
 
-    return blocks.mapInArrow(alone, ASK) if told is None else blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(both, ASK)
+    found = [unpack(x) for _, x in sorted((r["shard"], r["data"]) for r in rows if r["level"] == level)]
+    return [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(1 if level else 2)]
 
 
 def asked(blocks: DataFrame, told: DataFrame | None, model: Model) -> DataFrame:
-    """Each block's distinct entries of the next level, by shard: at level 0 its words, then what follows the split contexts. weight: training tokens."""
+    """Each block's distinct entries of the next level, by shard: at level 0 its words, then what follows the split contexts."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)  # as many split contexts a level as shards, at most
 
     def ask(block, data, rows):
@@ -304,22 +244,23 @@ def asked(blocks: DataFrame, told: DataFrame | None, model: Model) -> DataFrame:
         d = len(model.split)
         _, out, text, token, before = read_block(data, max(1, d))
         train = (~out[text]).astype(np.float64)
-        key, context, base = token, np.zeros(len(token), np.uint64), np.zeros(len(token))
-        if d:
-            _, p, _ = model.known(token, before, [in_order(rows, k) for k in range(d)])
-            name = context_name(before, d)
-            here = np.flatnonzero(model.find(d, name)[0])
-            key, context, base, train = extended(name[here], token[here]), name[here], p[here], train[here]
-        shard, key, n, first = counts_of(key, train, model.shards)
-        more = (context[first], base[first]) if d else ()
-        return [(block, s, d, int(n[x].sum()), pack(sorted_names(key[x]), n[x], *(y[x] for y in more))) for s, x in pieces(shard)]
+        if not d:
+            keys = Keys(token, model.shards)
+            n = keys.sums(train)
+            return [(block, s, d, 0, pack(sorted_names(keys.key[x]), n[x])) for s, x in pieces(keys.shard)]
+        _, p, _, _ = model.known(token, before, [in_order(rows, k) for k in range(d)])
+        name = context_name(before, d)
+        here = np.flatnonzero(model.find(d, name)[0])
+        keys = Keys(extended(name[here], token[here]), model.shards)
+        n, context, base = keys.sums(train[here]), keys.one(name[here]), keys.one(p[here])
+        return [(block, s, d, 0, pack(sorted_names(keys.key[x]), n[x], context[x], base[x])) for s, x in pieces(keys.shard)]
 
-    return stored(by_block(blocks, told, ask))
+    return by_block(blocks, told, ask)
 
 
 def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list]:
-    """(answers, summaries): counts for each block and shard in the order of its entries; from each shard the kinds of entries, the entries that
-    stand limit times or more and their counts, how often a text ends, and what split contexts gain."""
+    """(answers, summaries): counts for each block and shard in the order of its entries, and at level 0 the ranks of words of training;
+    from each shard the kinds of entries, the entries that stand limit times or more and their counts, how often a text ends, and what split contexts gain."""
     shared = ask.sparkSession.sparkContext.broadcast(model)
 
     def answer(group):
@@ -329,7 +270,7 @@ def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list]
         shard, level = group.column("shard")[0].as_py(), group.column("level")[0].as_py()
         messages = [unpack(x.as_py()) for x in group.column("data")]
         key, n, at = summed(messages)
-        gain = None
+        gain, rank = None, np.zeros(len(key), np.int64)
         if level:
             names, m, kinds, _ = model.split[level - 1]
             context, base = (np.zeros(len(key), messages[0][i].dtype) for i in (2, 3))
@@ -338,8 +279,11 @@ def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list]
             seen = n > 0
             of = np.searchsorted(names, context[seen])
             gain = np.bincount(of, gained(n[seen], base[seen], m[of], kinds[of]), len(names))
+        else:
+            seen = np.flatnonzero(n > 0)
+            rank[seen] = np.arange(1, len(seen) + 1)
         often = n >= limit
-        rows = [(b.as_py(), shard, level, 0, pack(n[x])) for b, x in zip(group.column("block"), at, strict=True)]
+        rows = [(b.as_py(), shard, level, 0, pack(n[x], rank[x]) if not level else pack(n[x])) for b, x in zip(group.column("block"), at, strict=True)]
         return table_of([*rows, (-1, shard, level, 0, pickle.dumps((int((n > 0).sum()), key[often], n[often], int(n[key == END].sum()), gain)))])
 
     out = stored(ask.groupBy("shard").applyInArrow(answer, ASK))
@@ -365,104 +309,128 @@ def kinds_of(ask: DataFrame) -> dict[int, int]:
 
 
 def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
-    """Counts words, then, length by length, what follows contexts with more tokens than a shard has on average. Returns the answers to the blocks."""
+    """Counts words, then, length by length, what follows contexts with more than HOT times the tokens of a shard. Returns the answers to the blocks."""
     import numpy as np
 
-    ask = asked(blocks, None, model)
-    model.total = ask.agg(F.sum("weight")).first()[0] or 0
-    limit = max(1, model.total // model.shards)
-    told, said = answered(ask, model, limit)
+    model.total = blocks.agg(F.sum("weight")).first()[0] or 0
+    limit = max(1, HOT * model.total // model.shards)
+    told, said = answered(asked(blocks, None, model), model, limit)
     model.vocabulary, ends = sum(x[0] for x in said), sum(x[3] for x in said)
     start = np.zeros(1, np.uint64)
     for _ in range(model.depth):
         name, m = (np.concatenate([np.zeros(0, k), *(x[i] for x in said)]) for i, k in ((1, np.uint64), (2, np.int64)))
-        if not model.split:
-            name, m = extended(np.zeros(len(name), np.uint64), name), m
+        if not model.split:  # words, as contexts
+            name = extended(np.zeros(len(name), np.uint64), name)
         start = extended(start, np.full(1, START, np.uint64))
         if ends >= limit:
             name, m = np.r_[name, start], np.r_[m, ends]
         if not len(name):
             break
         order = np.argsort(name)
-        model.split.append((name[order], m[order], None, None))
-        ask = asked(blocks, told, model)
+        name, m = name[order], m[order]
+        model.split.append((name, m, None, None))
+        ask = stored(asked(blocks, told, model))
         kinds = kinds_of(ask)
-        kinds = np.array([kinds.get(int(x), 0) for x in name[order].view(np.int64)], np.int64)
-        model.split[-1] = (name[order], m[order], kinds, None)
+        kinds = np.array([kinds.get(int(x), 0) for x in name.view(np.int64)], np.int64)
+        model.split[-1] = (name, m, kinds, None)
         answers, said = answered(ask, model, limit)
         gain = sum((x[4] for x in said), np.zeros(len(name)))
-        model.split[-1] = (name[order], m[order], kinds, gain >= model.gain)
+        model.split[-1] = (name, m, kinds, gain >= model.gain)
         told = told.unionByName(answers)
     return told
 
 
 def sent(block: int, data: bytes, rows: list, model: Model) -> list:
-    """A block's tokens as messages to shards, and, with weight 1, what it knows of its texts itself."""
+    """A block's tokens as messages to shards, and, of kind 1, what it knows of its texts itself. Words go by numbers."""
     import numpy as np
-
-    ids, out, text, token, before = read_block(data, model.depth)
-    level, p, c = model.known(token, before, [in_order(rows, k) for k in range(len(model.split) + 1)])
-    frequent = c >= model.least
-    going = np.ones(len(token), bool)
-    for k, w in enumerate(before, 1):  # a context with a rare word isn't a candidate, nor is a longer one
-        ok = np.ones(len(token), bool)
-        ok[k:] = frequent[:-k]
-        going &= (w == START) | ok
-        w[~going] = NONE
-    after = np.full(len(token), NONE, np.uint64)
+    import pandas as pd
+
+    ids, out, text, token, names = read_block(data, model.depth)
+    level, p, c, number = model.known(token, names, [in_order(rows, k) for k in range(len(model.split) + 1)])
+    number = np.where(number > 0, number + FIRST, NONE)
+    number[token == END] = END
+    before, going = [], np.ones(len(token), bool)
+    for k, w in enumerate(names, 1):  # a context with a rare word isn't a candidate, nor is a longer one
+        x = np.full(len(token), NONE, np.int64)
+        x[k:] = np.where(c[:-k] >= model.least, number[:-k], NONE)
+        x[w == START] = START
+        going &= x != NONE
+        before.append(np.where(going, x, NONE))
+    following, to = np.full(len(token), NONE, np.int64), np.zeros(len(token), np.int64)
     for d in range(model.depth):
-        after[level == d] = before[d][level == d]
-    here = np.flatnonzero(after != NONE)
-    there = np.flatnonzero(after == NONE)
+        mine = np.flatnonzero(level == d)
+        following[mine] = before[d][mine]
+        to[mine] = shard_of(context_name([w[mine] for w in names], d + 1), model.shards)
+    there, here = np.flatnonzero(following == NONE), np.flatnonzero(following != NONE)
     final = np.bincount(text[there], np.log10(p[there]), len(ids)).astype(np.float64)
     logs, n = np.bincount(text, np.log10(c + 1.0), len(ids)), np.bincount(text, minlength=len(ids))
     known = np.bincount(text, c > 0, len(ids)).astype(np.int64)
     found = [(block, block % model.shards, 0, 1, pickle.dumps((ids, out, n, known, logs, final)))]
-    shard = np.zeros(len(here), np.int64)
-    for d in range(model.depth):
-        mine = np.flatnonzero(level[here] == d)
-        shard[mine] = shard_of(context_name([w[here[mine]] for w in before], d + 1), model.shards)
-    order = np.argsort(shard, kind="stable")
-    here, shard = here[order], shard[order]
-    names, number = np.unique(np.concatenate([token[here], *(w[here] for w in before)]), return_inverse=True)
-    number = number.reshape(model.depth + 1, -1)
-    small = p[here].astype(np.float32)
-    pairs, pair = np.unique(number[0] << 32 | small.view(np.uint32), return_inverse=True)
-    for s, x in pieces(shard):
-        of, mine = np.unique(pair[x], return_inverse=True)
-        word = pairs[of] >> 32
-        used = np.zeros(len(names), bool)
-        used[word] = True
-        used[number[1:, x].ravel()] = True
-        place = np.cumsum(used) - 1
-        first = (pairs[of] & 0xFFFFFFFF).astype(np.uint32).view(np.float32)
-        who = text[here[x]]
-        told = pack(sorted_names(names[used]), place[word], first, np.diff(who, prepend=0), (~out[who]).astype(np.int64), level[here[x]], mine, *(place[w[x]] for w in number[1:]))
-        found.append((block, s, 0, 0, told))
+    # by shard and last word, then as they stand
+    here = here[np.lexsort((before[0][here], to[here]))]
+    to, number, before, level, text = to[here], number[here], [w[here] for w in before], level[here], text[here]
+    # numbers of words as ranks among the block's, so that a message's words are found without sorting
+    ranks, words = pd.factorize(np.concatenate([number, *before]))
+    order = np.argsort(words)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    words, (token, *before) = words[order], place[ranks].reshape(model.depth + 1, -1)
+    # a token and its p, which follows from its count unless it comes from a split context
+    told = np.where(level > 0, p[here].astype(np.float32).view(np.uint32).astype(np.int64), 0)
+    pair, _ = pd.factorize(token << 32 | told)
+    first = np.zeros(int(pair.max(initial=-1)) + 1, np.int64)
+    first[pair] = np.arange(len(pair))
+    used_word, used_pair, at_word, at_pair = (np.zeros(n, k) for k in (bool, np.int64) for n in (len(words), len(first)))
+    for s, x in pieces(to):
+        used_pair[pair[x]] = True
+        mine = np.flatnonzero(used_pair)
+        at_pair[mine] = np.arange(len(mine))
+        at = first[mine]
+        for w in (token, *before):
+            used_word[w[x]] = True
+        own = np.flatnonzero(used_word)
+        at_word[own] = np.arange(len(own))
+        used_pair[mine] = used_word[own] = False
+        split = level[at] > 0
+        message = pack(
+            np.diff(words[own], prepend=0), at_word[token[at]], np.where(split, 0, c[here[at]]), split.astype(np.int64), told[at][split], zigzag(np.diff(text[x], prepend=0)),
+            np.packbits(~out[text[x]]), level[x], at_pair[pair[x]], np.diff(at_word[before[0][x]], prepend=0), *(at_word[w[x]] for w in before[1:]),
+        )
+        found.append((block, s, 0, 0, message))
     return found
 
 
 def shard_scores(group, model: Model):
-    """The sums of log10 p by text for each message of a shard; rows with weight 1 pass."""
+    """The sums of log10 p by text for each message of a shard; rows of kind 1 pass."""
     import numpy as np
 
     rows, parts, held = [], [], []
-    for r in group.to_pylist():
-        if r["weight"]:
-            rows.append(tuple(r.values()))
+    for block, shard, level, kind, data in zip(*(group.column(i).to_pylist() for i in range(5)), strict=True):
+        if kind:
+            rows.append((block, shard, level, kind, data))
             continue
-        names, word, base, who, train, level, pair, *before = unpack(r["data"])
-        names = np.cumsum(names, dtype=np.uint64)
-        parts.append((train.astype(np.float64), level, base[pair].astype(np.float64), names[word[pair]], *(names[w] for w in before)))
-        held.append((r["block"], r["shard"], np.cumsum(who)))
+        words, word, c, split, told, who, train, at, pair, last, *rest = unpack(data)
+        words = np.cumsum(words).astype(np.uint64)
+        p = (c + 1.0) / (model.total + model.vocabulary + 1.0)
+        p[split > 0] = told.astype(np.uint32).view(np.float32)
+        before = [np.cumsum(last), *rest]
+        parts.append((np.unpackbits(train.astype(np.uint8), count=len(who)).astype(bool), at.astype(np.int8), p[pair], words[word[pair]], *(words[w] for w in before)))
+        held.append((block, shard, np.cumsum(who >> 1 ^ -(who & 1)).astype(np.int32)))
     if parts:
         train, level, p, token, *before = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        log = np.log10(grown(train, level, p, token, before, model))
-        for (block, shard, who), mine in zip(held, np.split(log, np.cumsum([len(x[2]) for x in held])[:-1]), strict=True):
+        parts.clear()
+        # contexts that nothing but their shard has in common are grown one part after another
+        part = np.empty(len(token), np.int8)
+        for d in range(model.depth):
+            mine = np.flatnonzero(level == d)
+            part[mine] = context_name([w[mine] for w in before], d + 1) >> np.uint64(40) & np.uint64(PARTS - 1)
+        for k in range(PARTS):
+            x = np.flatnonzero(part == k)
+            p[x] = np.log10(grown(train[x], level[x], p[x], token[x], [w[x] for w in before], model))
+        for (block, shard, who), mine in zip(held, np.split(p, np.cumsum([len(x[2]) for x in held])[:-1]), strict=True):
             ids, at = np.unique(who, return_inverse=True)
-            rows.append((block, shard, 0, 0, pack(np.diff(ids, prepend=0), np.bincount(at, mine).astype(np.float32))))
-    return table_of([(r[0], r[1], r[2], r[3], r[4]) for r in rows])
+            rows.append((block, shard, 0, 0, pack(np.diff(ids.astype(np.int64), prepend=0), np.bincount(at, mine).astype(np.float32))))
+    return table_of(rows)
 
 
 def added(group):
@@ -471,8 +439,8 @@ def added(group):
 
     rows = group.to_pylist()
     out = []
-    ids, held, n, known, logs, total = pickle.loads(next(r["data"] for r in rows if r["weight"]))
-    for r in sorted((r for r in rows if not r["weight"]), key=lambda r: r["shard"]):
+    ids, held, n, known, logs, total = pickle.loads(next(r["data"] for r in rows if r["kind"]))
+    for r in sorted((r for r in rows if not r["kind"]), key=lambda r: r["shard"]):
         who, score = unpack(r["data"])
         total[np.cumsum(who)] += score
     for row in zip(ids, held.tolist(), n.tolist(), known.tolist(), logs.tolist(), total.tolist(), strict=True):
@@ -488,10 +456,9 @@ def suffix_tree_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, depth
     Without training texts every token has probability 1. Words and contexts go by 64-bit names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     out = fold("doc_id", folds) == held_out
-    blocks = packed_blocks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out")), block_bytes)
-    model = Model(shards or max(8, 2 * blocks.count()), depth, least, gain)
+    blocks = packed_blocks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out")), block_bytes, training_tokens)
+    model = Model(shards or max(8, blocks.count()), depth, least, gain)
     told = split_contexts(blocks, model)
     shared = spark.sparkContext.broadcast(model)
     messages = by_block(blocks, told, lambda block, data, rows: sent(block, data, rows, shared.value))
