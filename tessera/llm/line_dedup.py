@@ -57,8 +57,13 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     small_batches(docs.sparkSession)
     docs = docs.drop("__n_lines", "__n_removed")
     gone = boilerplate(docs, site, min_sites, bits).groupBy(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).agg(F.collect_set("pos").alias("__gone"))
+    gone = stored(gone)
     t1, t2 = text_names("text")
-    both = docs.join(gone, docs["doc_id"].cast("bigint").eqNullSafe(gone["__id"]) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left").select(*docs.columns, "__gone")
+    # the texts of documents that lose no line aren't shuffled
+    named = sieved(docs.withColumn("__a", t1).withColumn("__b", t2), "__a", sieve(gone.select("__t1")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__a") == F.col("__t1")) & (F.col("__b") == F.col("__t2"))
+    hit = named.where("__maybe").join(gone, same, "left").select(*docs.columns, "__gone")
+    rest = named.where("not __maybe").select(*docs.columns, F.lit(None).cast("array<int>").alias("__gone"))
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_removed", T.LongType())])
     names = docs.columns
 
@@ -80,4 +85,4 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
             columns[at] = pa.array(kept, pa.binary()).cast(pa.string()).cast(columns[at].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*names, "__n_lines", "__n_removed"])
 
-    return both.mapInArrow(cut, schema)
+    return hit.unionByName(rest).mapInArrow(cut, schema)
