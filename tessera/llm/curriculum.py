@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import text_names
+
 #: Weights by order of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -54,17 +56,17 @@ def position(supply: Column, target: Column, ramp: Column) -> Column:
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, ramps=RAMPS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken, positions (one a copy).
+    """Per row of docs: doc_id, t1, t2 (hashes of the text), source, size, source_size, target, copies, taken, positions (one a copy).
 
     Each source's documents are taken whole times in the order of md5(doc_id): as often as its target holds all of
     them, and once more those whose middle word falls below what is left, so that taken words are within half a document of
-    the target. Null doc_ids sort as the text 'null'; rows that repeat a doc_id are ordered by size. Texts without
+    the target. Null doc_ids sort by a hash of the text; rows that repeat a doc_id are ordered by size, then by a hash of the text. Texts without
     words are never taken. Other columns are not read. An empty table gives an empty one.
 
     A source's running sum is built from sums of slices of its order, so that no task holds all rows of a source.
     """
-    docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    docs = docs.select("doc_id", *text_names("text"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(" ", F.lit("null"), "t1", "t2")).cast("binary"))
     docs = docs.withColumn("key", key)
     # slices are the first hexadecimal digits of the key; more digits for more rows in the largest source
     digits = F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / slice_rows)) / 4))).cast("int")
@@ -80,22 +82,24 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     within_run = F.sum("words").over(Window.partitionBy("source", "run").orderBy("slice")) - F.col("words")
     start = slices.withColumn("ahead", within_run).join(runs, F.col("source").eqNullSafe(F.col("__r")) & (F.col("run") == F.col("__n"))).select(F.col("source").alias("__s"), F.col("slice").alias("__p"), (F.col("before") + F.col("ahead")).alias("start"))
     placed = named.join(start, F.col("source").eqNullSafe(F.col("__s")) & (F.col("slice") == F.col("__p"))).drop("__s", "__p")
-    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size", "t1", "t2").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("start") + F.sum("size").over(within) - F.col("size") / 2.0
     whole = F.floor(F.col("target") / F.col("source_size"))
     rest = F.col("target") - whole * F.col("source_size")
     copies = F.when((F.col("size") == 0) | (F.col("source_size") == 0), F.lit(0)).otherwise(whole + F.when(F.col("middle") < rest, 1).otherwise(0)).cast("int")
     out = placed.withColumn("middle", middle).withColumn("copies", copies)
     times = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: position(F.col("middle") + (k - 1) * F.col("source_size"), F.col("target"), F.col("ramp")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")).alias("positions"))
+    return out.select("doc_id", "t1", "t2", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")).alias("positions"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs, copy (1 or 2) and position, range-sorted by position.
 
-    Rows that repeat a doc_id are mixed once each by that id's first row.
+    Rows that repeat both doc_id and text are mixed once each, at the places of the first of them. Columns copy and position of docs are replaced.
     """
-    places = mixture(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by("positions", "size").alias("__at"))
-    taken = docs.drop("copy", "position").join(places, docs["doc_id"].eqNullSafe(F.col("__id"))).drop("__id")
+    places = mixture(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).agg(F.min(F.when(F.col("copies") > 0, F.col("positions"))).alias("__at")).where("__at is not null")
+    t1, t2 = text_names("text")
+    docs = docs.drop("copy", "position")
+    taken = docs.join(places, docs["doc_id"].eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))).select(*docs.columns, "__at")
     rows = taken.select(*[c for c in taken.columns if c != "__at"], F.posexplode("__at").alias("copy", "position")).withColumn("copy", F.col("copy") + 1)
     return rows.repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
