@@ -323,12 +323,23 @@ def test_mixture(docs, empty):
         taken[r.source] += r.taken
     for s in names:
         assert abs(taken[s] - goal[s]) <= max(r.size for r in got if r.source == s) / 2 + 1e-6
-    assert sorted(map(tuple, (r[:7] for r in curriculum.mixture(docs.repartition(5)).collect())), key=str) == sorted((tuple(r[:7]) for r in got), key=str)
+    assert sorted(map(tuple, (r[:9] for r in curriculum.mixture(docs.repartition(5)).collect())), key=str) == sorted((tuple(r[:9]) for r in got), key=str)
     assert curriculum.mixture(empty).count() == 0
     mixed = curriculum.mixed_documents(docs).collect()
     assert len(mixed) == sum(r.copies for r in got) and [r.position for r in mixed] == sorted(r.position for r in mixed)
 
 
+def test_mixture_rows(spark):
+    """Null and repeated ids with other texts are rows of their own, with places of their own; ties and repeated rows have defined places."""
+    rows = [(None, f"w{i} x{i}", "s") for i in range(6)] + [(7, "a b", "s"), (7, "c d", "s"), (8, "e f", "s"), (8, "e f", "s"), (9, None, None), (9, "", None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, source string, position int")
+    got = [curriculum.mixed_documents(df.repartition(k)).collect() for k in (1, 4)]
+    assert sorted(map(tuple, got[0]), key=str) == sorted(map(tuple, got[1]), key=str) and df.columns[:3] == got[0][0].__fields__[:3]
+    assert {(r.doc_id, r.text) for r in got[0]} == {r[:2] for r in rows if r[1]}
+    places = {(r.text, r.copy): r.position for r in got[0]}
+    assert len(set(places.values())) == len(places)
+
+
 def test_media(docs, empty, spark):
     extra = spark.createDataFrame([(100 + i, r[1], None, None, 1, "x", "y", "z") for i, r in enumerate(corpus())] + [(None, "no id", None, None, 1, "x", "y", "z")], SCHEMA)
     got = media.media_columns(docs.unionByName(extra)).collect()
@@ -430,19 +441,68 @@ def test_suffix_tree_grows(spark):
     assert min(got[learn[0]], got[learn[1]]) > max(got[i] for i in learn[2:]) + 10
 
 
-def test_quality(docs, empty, spark):
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(5, 12)] + [(15, 0, 0), (5, 1, 0)], "doc_id bigint, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
-    assert len(got) == docs.count() and not any(got[i].keep for i in (0, 1, 15)) and all(got[i].keep for i in range(5, 12))
-    assert quality.quality(empty, labels).count() == 0 and quality.quality(docs, labels.limit(0)).where("keep").count() == docs.count() - 2
-
-
-def test_kneser_ney_sums(docs):
+def brute_kneser_ney(rows, order):
+    """P(symbol | context) by the textbook's recursion over plain dictionaries of symbol strings."""
+    levels = [Counter()]
+    for ids in rows:
+        padded = (0,) * (order - 1) + tuple(ids) + (0,)
+        levels[0].update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    for _ in range(order - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    levels = levels[::-1]  # of 1 to order symbols; all but the last count the different symbols before
+    cuts = [quality.discounts(Counter(c.values())) for c in levels]
+
+    def p(gram):
+        if not gram:
+            return 1 / symbols.SYMBOLS
+        c, d = levels[len(gram) - 1], cuts[len(gram) - 1]
+        same = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        total = sum(same.values())
+        if not total:
+            return p(gram[1:])
+        n = c.get(gram, 0)
+        return max(n - d[min(n, 3)], 0) / total + sum(d[min(x, 3)] for x in same.values()) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney(spark):
+    """Perplexities, with characters that share a symbol, against brute force, in one block and in many; distributions add up to 1."""
     import numpy as np
 
-    symbol, _ = symbols.alphabet(docs, quality.as_is)
-    table = 2.0 ** quality.dense(quality.kneser_ney(symbols.gram_counts(docs, quality.as_is, symbol, 3), 3))
-    assert np.allclose(table.reshape(-1, 64).sum(axis=1), 1, atol=1e-3)
+    rng = random.Random(13)
+    learn = [(i, sentence(rng, 6) + rng.choice(["é!", "", "漢字 x", "zz"])) for i in range(12)]
+    score = [*learn[:4], (50, None), (51, ""), (52, "never seen Q 漢"), (53, "thor the")]
+    schema = "doc_id bigint, text string"
+    df, ids = spark.createDataFrame(learn, schema), spark.createDataFrame([(i,) for i, _ in learn], "doc_id bigint")
+    fitted = quality.fit(df, ids, order=3)
+    (symbol, own), _, model = fitted
+    p = brute_kneser_ney([[int(symbol[ord(c)]) for c in t] for _, t in learn], 3)
+    for shards, size in ((1, 1 << 20), (7, 1)):
+        got = {r.doc_id: r for r in quality.perplexities(spark.createDataFrame(score, schema), fitted, shards=shards, block_bytes=size).collect()}
+        for i, t in score:
+            s = (0, 0, *(int(symbol[ord(c)]) for c in t or ""), 0)
+            bits = sum(math.log2(p(s[k : k + 3])) for k in range(len(s) - 2)) + sum(float(own[ord(c)]) for c in t or "")
+            assert got[i].n_symbols == len(t or "") + 1 and got[i].perplexity == pytest.approx(2 ** (-bits / (len(t or "") + 1)), rel=1e-4)
+    code = np.arange(64**2)
+    assert np.allclose(model.shorter.reshape(-1, 64).sum(axis=1), 1) and model.shorter[code[70]] == pytest.approx(p((1, 6)))
+
+
+def test_quality(spark, docs, empty):
+    """Thresholds by language from their own fold; clashing columns, null languages and ids, empty texts, no labels."""
+    rng = random.Random(14)
+    rows = [(i, sentence(rng, 40), "en" if i % 2 else "fr", 9.9) for i in range(120)] + [(500, "#$%&* 0147 ~~ <<>> ^^^ 77 @@" * 4, "en", 9.9), (501, None, "en", 9.9), (502, "", None, 9.9), (None, sentence(rng, 40), None, 9.9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, perplexity double")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(5, 1, 0), (500, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality(df, labels).collect()}
+    assert len(got) == len(rows) and not any(got[i].keep for i in (500, 501, 502)) and got[None].keep
+    assert sum(got[i].keep for i in range(120)) >= 118
+    by_fold = lambda k: [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == k]
+    assert all(got[i].held_out == (i in by_fold(0)) for i in range(100))
+    for lang in ("en", "fr"):
+        own = sorted(got[i].perplexity for i in by_fold(1) if got[i].lang == lang)
+        assert got[by_fold(1)[0]].threshold > 0 and any(got[i].threshold == pytest.approx(own[-1] * 1.15) for i in range(120) if got[i].lang == lang)
+    assert quality.quality(empty, labels).count() == 0 and quality.quality(docs, labels.limit(0)).where("keep").count() == docs.count() - 2
 
 
 def segmentations(w):
@@ -534,7 +594,42 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_grammar():
-    s = toxicity.Scorer({"zorg*": 6.0}, -2.0)
+    s = toxicity.Scorer({"zorg*": 6.0})
     plain, aimed = s.matches("a zorgface thing.")[0], s.matches("you zorgface thing.")[0]
     assert s.matches("never a zorgface thing.")[0] < plain < aimed and s.matches("he said that a zorgface left.")[0] < plain + 0.5
     assert s.matches("fine words only.") == (0.0, 0) and s.matches("zorga. zorgb.")[1] == 2
+
+
+def test_composition():
+    """The composed machine marks what the three transducers mark one after the other."""
+    rng = random.Random(9)
+    parts, whole = toxicity.machines(), toxicity.grammar()
+    for _ in range(300):
+        states, state = [0, 0, 0], 0
+        for _ in range(12):
+            x = y = rng.randrange(6)
+            marks = 0
+            for k, machine in enumerate(parts):
+                states[k], y, m = machine.step(states[k], y)
+                marks |= m
+            state, z, got = whole.step(state, x)
+            assert (z, got) == (y, marks)
+
+
+def test_scores_by_hand():
+    """A document's score from its clauses' marks, weights and cap, and how labels move the weights."""
+    import numpy as np
+
+    s = toxicity.Scorer({"zorg*": 6.0, "blah": 3.0})
+    text = "you zorgface! it is not a blah, she said: zorg kill them. fine"
+    #        aimed insult; negated insult and a target met; the report ends at the colon; insult, threat and a target met
+    w = toxicity.START
+    want = (6 * w["insult"] + w["target"]) + (3 * w["insult"] * w["negated"] + w["target"]) + min(12.0, 6 * w["insult"] + w["threat"] + w["target"])
+    clauses = s.clauses(text)
+    assert len(clauses) == 3 and s.matches(text)[0] == pytest.approx(want)
+    assert s.score(text)[0] == pytest.approx(1 / (1 + math.exp(-w["constant"] - want)))
+    assert toxicity.features(clauses) == [12.0, 3.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 3.0]
+    x = np.array([[4.0] + [0.0] * 8, [0.0, 4.0] + [0.0] * 7, [0.0] * 9])
+    harmless = toxicity.fitted_weights(x, np.array([1, 0, 0]), np.array([500.0, 500.0, 5000.0]))
+    as_bad = toxicity.fitted_weights(x, np.array([1, 1, 0]), np.array([500.0, 500.0, 5000.0]))
+    assert harmless["negated"] < 0.2 < 0.6 < as_bad["negated"] and harmless["constant"] < -2
