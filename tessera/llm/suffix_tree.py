@@ -28,8 +28,10 @@ LEAST = 2
 GAIN = 2.0
 #: Names beside the 64-bit names of words: a text's end, what stands before its start, and a word too rare to be part of a context.
 END, START, NONE = 0, 1, 2
-#: Numbers of words, where words go by numbers instead of names, begin after those.
-FIRST = 2
+#: Numbers of words, where words go by numbers instead of names, begin after those. Powers of 2 that counts may have.
+FIRST, POWERS = 3, 50
+#: Logs are sent in steps of 1 / STEPS.
+STEPS = 2048
 #: A context that stands more often than this many times a shard's average number of tokens is split.
 HOT = 1
 #: Parts of a shard that are grown one after another; a power of 2.
@@ -135,6 +137,13 @@ def gained(n, p, m, kinds):
     return n * np.log(((n - 1) + kinds * p) / (m - 1 + kinds) / p)
 
 
+def power_of(n):
+    """The power of 2 at or below each count; 0 for 0."""
+    import numpy as np
+
+    return np.frexp(np.maximum(n, 1).astype(np.float64))[1].astype(np.int64) - 1
+
+
 class Model:
     """What is known so far: totals, and by depth the contexts that are split: their sorted names, m, kinds and whether they stay."""
 
@@ -142,6 +151,23 @@ class Model:
         self.shards, self.depth, self.least, self.gain = shards, depth, least, gain
         self.total = self.vocabulary = 0
         self.split: list[tuple] = []
+        self.begin = self.bound = None
+
+    def number_words(self, sizes) -> None:
+        """Numbers words by the power of 2 below their count, frequent ones first, then by shard; sizes: words of each shard and power."""
+        import numpy as np
+
+        each = np.array(sizes, np.int64).reshape(-1, POWERS)[:, ::-1].T  # by falling power, then by shard
+        begin = np.cumsum(each.ravel()).reshape(each.shape) - each + FIRST
+        self.begin = begin[::-1]  # of each power and shard the first number
+        self.bound = np.append(begin[:, 0], FIRST + each.sum())  # of each falling power the first number
+
+    def counts(self, number, rest):
+        """Words' counts from their numbers and what their counts exceed the power of 2 by; 0 for NONE."""
+        import numpy as np
+
+        power = POWERS - np.searchsorted(self.bound, number, "right")
+        return np.where(number >= FIRST, (1 << np.clip(power, 0, POWERS - 1)) + rest, 0)
 
     def find(self, d: int, name):
         """Whether contexts of d words are split, and their places."""
@@ -153,12 +179,12 @@ class Model:
 
     def known(self, token, before: list, answers: list) -> tuple:
         """(level, p, count, number) of each token: how many words of context are split and accounted for in p, the word's count in training, and
-        its number among all words of training (0 for others); answers: by level, what shards say of the distinct entries."""
+        its number (NONE if it has none); answers: by level, what shards say of the distinct entries."""
         import numpy as np
 
         words = Keys(token, self.shards)
-        c, rank = answers[0]
-        number = np.where(rank > 0, rank * self.shards + words.shard, 0)[words.at]
+        c, place = answers[0]
+        number = np.where(c > 0, self.begin[power_of(c), words.shard] + place, NONE)[words.at] if self.begin is not None else None
         c = c[words.at]
         p = (c + 1.0) / (self.total + self.vocabulary + 1.0)
         level, here = np.zeros(len(token), np.int64), np.arange(len(token))
@@ -258,9 +284,9 @@ def asked(blocks: DataFrame, told: DataFrame | None, model: Model) -> DataFrame:
     return by_block(blocks, told, ask)
 
 
-def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list]:
-    """(answers, summaries): counts for each block and shard in the order of its entries, and at level 0 the ranks of words of training;
-    from each shard the kinds of entries, the entries that stand limit times or more and their counts, how often a text ends, and what split contexts gain."""
+def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list[tuple]]:
+    """(answers, summaries): counts for each block and shard in the order of its entries, and at level 0 words' places among those of their shard and power;
+    from each shard the kinds of entries (at level 0 by power), the entries that stand limit times or more and their counts, how often a text ends, and what split contexts gain."""
     shared = ask.sparkSession.sparkContext.broadcast(model)
 
     def answer(group):
@@ -270,24 +296,26 @@ def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list]
         shard, level = group.column("shard")[0].as_py(), group.column("level")[0].as_py()
         messages = [unpack(x.as_py()) for x in group.column("data")]
         key, n, at = summed(messages)
-        gain, rank = None, np.zeros(len(key), np.int64)
+        gain, place, kinds = None, np.zeros(len(key), np.int64), int((n > 0).sum())
         if level:
-            names, m, kinds, _ = model.split[level - 1]
+            names, m, of_context, _ = model.split[level - 1]
             context, base = (np.zeros(len(key), messages[0][i].dtype) for i in (2, 3))
             for x, message in zip(at, messages, strict=True):
                 context[x], base[x] = message[2], message[3]
             seen = n > 0
             of = np.searchsorted(names, context[seen])
-            gain = np.bincount(of, gained(n[seen], base[seen], m[of], kinds[of]), len(names))
+            gain = np.bincount(of, gained(n[seen], base[seen], m[of], of_context[of]), len(names))
         else:
-            seen = np.flatnonzero(n > 0)
-            rank[seen] = np.arange(1, len(seen) + 1)
+            power = np.where(n > 0, power_of(n), POWERS)
+            kinds = np.bincount(power, minlength=POWERS + 1)[:POWERS]
+            order = np.argsort(power, kind="stable")
+            place[order] = np.arange(len(key)) - np.searchsorted(power[order], power[order])
         often = n >= limit
-        rows = [(b.as_py(), shard, level, 0, pack(n[x], rank[x]) if not level else pack(n[x])) for b, x in zip(group.column("block"), at, strict=True)]
-        return table_of([*rows, (-1, shard, level, 0, pickle.dumps((int((n > 0).sum()), key[often], n[often], int(n[key == END].sum()), gain)))])
+        rows = [(b.as_py(), shard, level, 0, pack(n[x], place[x]) if not level else pack(n[x])) for b, x in zip(group.column("block"), at, strict=True)]
+        return table_of([*rows, (-1, shard, level, 0, pickle.dumps((kinds, key[often], n[often], int(n[key == END].sum()), gain)))])
 
     out = stored(ask.groupBy("shard").applyInArrow(answer, ASK))
-    return out.where("block <> -1"), [pickle.loads(r["data"]) for r in out.where("block = -1").select("data").collect()]
+    return out.where("block <> -1"), [(r["shard"], pickle.loads(r["data"])) for r in out.where("block = -1").select("shard", "data").collect()]
 
 
 def kinds_of(ask: DataFrame) -> dict[int, int]:
@@ -315,7 +343,10 @@ def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
     model.total = blocks.agg(F.sum("weight")).first()[0] or 0
     limit = max(1, HOT * model.total // model.shards)
     told, said = answered(asked(blocks, None, model), model, limit)
-    model.vocabulary, ends = sum(x[0] for x in said), sum(x[3] for x in said)
+    sizes = {s: x[0] for s, x in said}
+    said = [x for _, x in said]
+    model.number_words([sizes.get(s, [0] * POWERS) for s in range(model.shards)])
+    model.vocabulary, ends = int(sum(x[0].sum() for x in said)), sum(x[3] for x in said)
     start = np.zeros(1, np.uint64)
     for _ in range(model.depth):
         name, m = (np.concatenate([np.zeros(0, k), *(x[i] for x in said)]) for i, k in ((1, np.uint64), (2, np.int64)))
@@ -334,6 +365,7 @@ def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
         kinds = np.array([kinds.get(int(x), 0) for x in name.view(np.int64)], np.int64)
         model.split[-1] = (name, m, kinds, None)
         answers, said = answered(ask, model, limit)
+        said = [x for _, x in said]
         gain = sum((x[4] for x in said), np.zeros(len(name)))
         model.split[-1] = (name, m, kinds, gain >= model.gain)
         told = told.unionByName(answers)
@@ -343,12 +375,9 @@ def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
 def sent(block: int, data: bytes, rows: list, model: Model) -> list:
     """A block's tokens as messages to shards, and, of kind 1, what it knows of its texts itself. Words go by numbers."""
     import numpy as np
-    import pandas as pd
 
     ids, out, text, token, names = read_block(data, model.depth)
     level, p, c, number = model.known(token, names, [in_order(rows, k) for k in range(len(model.split) + 1)])
-    number = np.where(number > 0, number + FIRST, NONE)
-    number[token == END] = END
     before, going = [], np.ones(len(token), bool)
     for k, w in enumerate(names, 1):  # a context with a rare word isn't a candidate, nor is a longer one
         x = np.full(len(token), NONE, np.int64)
@@ -369,34 +398,12 @@ def sent(block: int, data: bytes, rows: list, model: Model) -> list:
     # by shard and last word, then as they stand
     here = here[np.lexsort((before[0][here], to[here]))]
     to, number, before, level, text = to[here], number[here], [w[here] for w in before], level[here], text[here]
-    # numbers of words as ranks among the block's, so that a message's words are found without sorting
-    ranks, words = pd.factorize(np.concatenate([number, *before]))
-    order = np.argsort(words)
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
-    words, (token, *before) = words[order], place[ranks].reshape(model.depth + 1, -1)
-    # a token and its p, which follows from its count unless it comes from a split context
-    told = np.where(level > 0, p[here].astype(np.float32).view(np.uint32).astype(np.int64), 0)
-    pair, _ = pd.factorize(token << 32 | told)
-    first = np.zeros(int(pair.max(initial=-1)) + 1, np.int64)
-    first[pair] = np.arange(len(pair))
-    used_word, used_pair, at_word, at_pair = (np.zeros(n, k) for k in (bool, np.int64) for n in (len(words), len(first)))
+    # what the count exceeds its power of 2 by, or p, if that comes from a split context
+    more = np.where(level > 0, np.rint(-np.log2(p[here]) * STEPS).astype(np.int64), np.where(c[here] > 0, c[here] - (1 << power_of(c[here])), 0))
     for s, x in pieces(to):
-        used_pair[pair[x]] = True
-        mine = np.flatnonzero(used_pair)
-        at_pair[mine] = np.arange(len(mine))
-        at = first[mine]
-        for w in (token, *before):
-            used_word[w[x]] = True
-        own = np.flatnonzero(used_word)
-        at_word[own] = np.arange(len(own))
-        used_pair[mine] = used_word[own] = False
-        split = level[at] > 0
-        message = pack(
-            np.diff(words[own], prepend=0), at_word[token[at]], np.where(split, 0, c[here[at]]), split.astype(np.int64), told[at][split], zigzag(np.diff(text[x], prepend=0)),
-            np.packbits(~out[text[x]]), level[x], at_pair[pair[x]], np.diff(at_word[before[0][x]], prepend=0), *(at_word[w[x]] for w in before[1:]),
-        )
-        found.append((block, s, 0, 0, message))
+        who = text[x]
+        last, *rest = (w[x] for w in before)
+        found.append((block, s, 0, 0, pack(zigzag(np.diff(who, prepend=0)), np.packbits(~out[who]), level[x], number[x], more[x], np.diff(last, prepend=0), *rest)))
     return found
 
 
@@ -409,12 +416,10 @@ def shard_scores(group, model: Model):
         if kind:
             rows.append((block, shard, level, kind, data))
             continue
-        words, word, c, split, told, who, train, at, pair, last, *rest = unpack(data)
-        words = np.cumsum(words).astype(np.uint64)
-        p = (c + 1.0) / (model.total + model.vocabulary + 1.0)
-        p[split > 0] = told.astype(np.uint32).view(np.float32)
+        who, train, at, token, more, last, *rest = unpack(data)
+        p = np.where(at > 0, 2.0 ** (-more / STEPS), (model.counts(token, more) + 1.0) / (model.total + model.vocabulary + 1.0))
         before = [np.cumsum(last), *rest]
-        parts.append((np.unpackbits(train.astype(np.uint8), count=len(who)).astype(bool), at.astype(np.int8), p[pair], words[word[pair]], *(words[w] for w in before)))
+        parts.append((np.unpackbits(train.astype(np.uint8), count=len(who)).astype(bool), at.astype(np.int8), p, token.astype(np.uint64), *(w.astype(np.uint64) for w in before)))
         held.append((block, shard, np.cumsum(who >> 1 ^ -(who & 1)).astype(np.int32)))
     if parts:
         train, level, p, token, *before = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -429,7 +434,7 @@ def shard_scores(group, model: Model):
             p[x] = np.log10(grown(train[x], level[x], p[x], token[x], [w[x] for w in before], model))
         for (block, shard, who), mine in zip(held, np.split(p, np.cumsum([len(x[2]) for x in held])[:-1]), strict=True):
             ids, at = np.unique(who, return_inverse=True)
-            rows.append((block, shard, 0, 0, pack(np.diff(ids.astype(np.int64), prepend=0), np.bincount(at, mine).astype(np.float32))))
+            rows.append((block, shard, 0, 0, pack(np.diff(ids.astype(np.int64), prepend=0), np.rint(-np.bincount(at, mine) * STEPS).astype(np.int64))))
     return table_of(rows)
 
 
@@ -442,7 +447,7 @@ def added(group):
     ids, held, n, known, logs, total = pickle.loads(next(r["data"] for r in rows if r["kind"]))
     for r in sorted((r for r in rows if not r["kind"]), key=lambda r: r["shard"]):
         who, score = unpack(r["data"])
-        total[np.cumsum(who)] += score
+        total[np.cumsum(who)] -= score / STEPS
     for row in zip(ids, held.tolist(), n.tolist(), known.tolist(), logs.tolist(), total.tolist(), strict=True):
         out.append(row)
     return table_of(out, OUT)
