@@ -99,14 +99,30 @@ def transliterate(table: dict[str, str]):
     return run
 
 
-def transcribed(text: Column, code: Column, tables: dict[str, dict[str, str]]) -> Column:
-    """struct(text, status): the text in the table of its language code; status is ok, unchanged, or no map."""
-    out, known = F.lit(None).cast("string"), F.lit(False)
-    for name, table in tables.items():
-        out = F.when(code == name, transliterate(table)(text)).otherwise(out)
-        known = known | (code == name)
-    status = F.when(~F.coalesce(known, F.lit(False)), "no map").when(out == text, "unchanged").otherwise("ok")
-    return F.struct(out.alias("text"), status.alias("status"))
+def transcribed(text: Column, code: Column, tables: dict) -> Column:
+    """struct(text, status): the text by the transcriber of its language code.
+
+    tables: code to a character table or any function of a text. status: ok; no map (no code); not installed (no transcriber of that code);
+    unchanged (the text came back as it was, or blank); error (the transcriber raised). text is null unless status is ok.
+    """
+    codes = {k: str.maketrans(t) if isinstance(t, dict) else t for k, t in tables.items()}
+
+    def one(t: str, c: str | None) -> tuple[str | None, str]:
+        if c is None:
+            return None, "no map"
+        if c not in codes:
+            return None, "not installed"
+        try:
+            out = codes[c](t) if callable(codes[c]) else t.translate(codes[c])
+        except Exception:  # of a pluggable function
+            return None, "error"
+        return (None, "unchanged") if out.strip() in ("", t.strip()) else (out, "ok")
+
+    @F.pandas_udf("text string, status string")
+    def run(t: pd.Series, c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x or "", y) for x, y in zip(t, c, strict=True)], columns=["text", "status"])
+
+    return run(text, code)
 
 
 def asjp_tokens(form: Column) -> Column:

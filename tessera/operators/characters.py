@@ -38,6 +38,13 @@ def single_linkage(words: DataFrame, threshold: float = 0.5) -> DataFrame:
     return words.join(found, ["concept", "form"]).select("leaf", "concept", "cogid")
 
 
+def word_rows(words: DataFrame) -> DataFrame:
+    """leaf, concept, position, token, ipa: the rows of a word list (leaf, concept, tokens) for cognate detection, one a token, from position 0;
+    ipa is the word's tokens joined by a space. Empty tokens, and words without any, are left out."""
+    t = words.withColumn("tokens", F.filter("tokens", lambda x: x.isNotNull() & (x != ""))).where(F.size("tokens") > 0)
+    return t.select("leaf", F.col("concept").cast("string").alias("concept"), F.posexplode("tokens").alias("position", "token"), F.array_join("tokens", " ").alias("ipa"))
+
+
 def informative(classes: DataFrame, least: int = 2) -> DataFrame:
     """concept, cogid, size of classes with `least` leaves or more, in concepts with as many."""
     concept = classes.groupBy("concept").agg(F.countDistinct("leaf").alias("n")).where(F.col("n") >= least).select("concept")
@@ -45,10 +52,10 @@ def informative(classes: DataFrame, least: int = 2) -> DataFrame:
 
 
 def binary_matrix(classes: DataFrame, least: int = 2) -> DataFrame:
-    """leaf, bits: a 0/1 string over the informative classes by (concept, cogid); a class that a leaf lacks is 0."""
+    """leaf, bits: a 0/1 string over the informative classes by (concept, cogid); a class that a leaf lacks is 0. The matrix itself has a cell for each leaf and class."""
     chars = informative(classes, least).select("concept", "cogid")
     leaves = classes.select("leaf").distinct()
-    bit = leaves.join(F.broadcast(chars)).join(classes.select("leaf", "concept", "cogid").distinct().withColumn("bit", F.lit("1")), ["leaf", "concept", "cogid"], "left")
+    bit = leaves.crossJoin(chars).join(classes.select("leaf", "concept", "cogid").distinct().withColumn("bit", F.lit("1")), ["leaf", "concept", "cogid"], "left")
     ordered = F.array_sort(F.collect_list(F.struct("concept", "cogid", F.coalesce("bit", F.lit("0")).alias("bit"))))
     return bit.groupBy("leaf").agg(F.array_join(F.transform(ordered, lambda x: x["bit"]), "").alias("bits"))
 

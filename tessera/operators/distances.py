@@ -110,6 +110,11 @@ def cognates(classes: DataFrame) -> DataFrame:
     return pairs(classes.select("leaf")).join(both, ["i", "j"], "left").select("i", "j", F.coalesce("d", F.lit(1.0)).alias("d"), F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
+def shared_summary(dist: DataFrame) -> DataFrame:
+    """mean, least: how many concepts pairs (i, j, shared) share."""
+    return dist.agg(F.avg("shared").alias("mean"), F.min("shared").alias("least"))
+
+
 def blocks(groups: DataFrame) -> DataFrame:
     """0 for leaves of one group, 1 for others, from (leaf, group)."""
     g = lambda x: groups.select(F.col("leaf").alias(x), F.col("group").alias(f"g{x}"))

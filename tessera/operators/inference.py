@@ -1,36 +1,36 @@
-"""Permutation tests and bootstraps. Index tables come from a seeded generator, so that results don't depend on partitions."""
+"""Permutation tests and bootstraps. Draws follow from hashes of (seed, replicate, place), so that results don't depend on partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distances import js, symmetric
-from .neighbors import purity
+from ..functions.text import ngrams
+from .distances import half, overlap, symmetric
+from .profiles import draws
 from .trees import build, splits
 
 
-def permutations(spark, leaves: list[str], reps: int, seed: int = 0) -> DataFrame:
-    """rep, leaf, other: rep 0 leaves all in place, reps 1 to reps permute them."""
-    import numpy as np
-    import pandas as pd
+def permutations(leaves: DataFrame, reps: int, seed: int = 0) -> DataFrame:
+    """rep, leaf, other: rep 0 leaves all of the one column of leaves in place, reps 1 to reps permute them.
 
-    def run(batches):
-        for g in batches:
-            for r in g["id"]:
-                order = np.random.default_rng([seed, int(r)]).permutation(len(leaves)) if r else range(len(leaves))
-                yield pd.DataFrame({"rep": r, "leaf": leaves, "other": [leaves[k] for k in order]})
-
-    return spark.range(reps + 1).mapInPandas(run, "rep bigint, leaf string, other string")
+    A permutation is the order of md5(seed:rep:leaf), so that it is the same in every partitioning and in any engine that has md5.
+    """
+    name = leaves.select(F.col(leaves.columns[0]).alias("leaf")).distinct()
+    each = name.select("leaf", F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
+    key = F.when(F.col("rep") > 0, F.md5(F.concat_ws(":", F.lit(seed), "rep", "leaf").cast("binary"))).otherwise("")
+    at = lambda *by: F.row_number().over(Window.partitionBy("rep").orderBy(*by))
+    placed = each.withColumn("key", key).select("rep", "leaf", at("leaf").alias("place"), at("key", "leaf").alias("drawn"))
+    other = placed.select("rep", F.col("drawn").alias("place"), F.col("leaf").alias("other"))
+    return placed.select("rep", "place", "leaf").join(other, ["rep", "place"]).select(F.col("rep").cast("bigint").alias("rep"), "leaf", "other")
 
 
 def _permuted(d2: DataFrame, reps: int, seed: int) -> DataFrame:
     """rep, i, j, y: the second matrix with permuted leaves, i < j."""
-    names = sorted(r[0] for r in d2.select("i").union(d2.select("j")).distinct().collect())  # the matrix's own leaves
-    perm = permutations(d2.sparkSession, names, reps, seed)
+    perm = permutations(d2.select("i").union(d2.select("j")), reps, seed)  # the matrix's own leaves
     full = symmetric(d2).withColumnRenamed("d", "y")
     a, b = (perm.select("rep", F.col("leaf").alias(x), F.col("other").alias(f"o{x}")) for x in "ij")
-    return a.join(b, "rep").where("i < j").join(F.broadcast(full.select(F.col("i").alias("oi"), F.col("j").alias("oj"), "y")), ["oi", "oj"]).select("rep", "i", "j", "y")
+    return a.join(b, "rep").where("i < j").join(full.select(F.col("i").alias("oi"), F.col("j").alias("oj"), "y"), ["oi", "oj"]).select("rep", "i", "j", "y")
 
 
 def _verdict(per_rep: DataFrame, reps: int) -> DataFrame:
@@ -57,18 +57,30 @@ def partial_mantel(d1: DataFrame, d2: DataFrame, control: DataFrame, perms: int
     return _verdict(r, perms)
 
 
-def unit_weights(spark, units: list, reps: int, seed: int = 0) -> DataFrame:
-    """rep, unit_id, w: how often each unit is drawn in a resample of as many units as there are."""
-    import numpy as np
-    import pandas as pd
+#: Hexadecimal digits of the slices in which units are numbered.
+SLICE_DIGITS = 3
+
 
-    def run(batches):
-        for g in batches:
-            for r in g["id"]:
-                w = np.bincount(np.random.default_rng([seed, int(r)]).integers(0, len(units), len(units)), minlength=len(units))
-                yield pd.DataFrame({"rep": r, "unit_id": units, "w": w})[w > 0]
+def numbered(units: DataFrame) -> DataFrame:
+    """unit_id, k: the distinct unit_ids, numbered from 0 in the order of md5(unit_id), slice by slice, so that no task orders them all."""
+    each = units.select("unit_id").distinct().withColumn("key", F.md5(F.col("unit_id").cast("string").cast("binary")))
+    each = each.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    size = each.groupBy("slice").agg(F.count("*").alias("n"))
+    start = size.select("slice", (F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))  # at most 16^SLICE_DIGITS rows
+    place = F.row_number().over(Window.partitionBy("slice").orderBy("key", "unit_id")) - 1
+    return each.join(F.broadcast(start), "slice").select("unit_id", (F.col("start") + place).alias("k"))
 
-    return spark.range(reps).mapInPandas(run, "rep bigint, unit_id bigint, w bigint")
+
+def unit_weights(units: DataFrame, reps: int, seed: int = 0) -> DataFrame:
+    """rep, unit_id, w: how often each unit_id of units, of any type, is drawn in a resample of as many units as there are.
+
+    Draw k of a replicate takes the unit whose number is md5(seed:rep:k) modulo the number of units.
+    """
+    known = numbered(units)
+    number = known.agg(F.count("*").alias("n"))
+    each = known.select("k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).crossJoin(F.broadcast(number))  # one row
+    drawn = each.select(F.col("rep").cast("bigint").alias("rep"), draws(F.concat_ws(":", F.lit(seed), "rep", "k"), F.col("n")).alias("k")).groupBy("rep", "k").agg(F.count("*").alias("w"))
+    return drawn.join(known, "k").select("rep", "unit_id", "w")
 
 
 def block_replicates(units: DataFrame, reps: int, n: int = 3, seed: int = 0) -> DataFrame:
@@ -76,11 +88,8 @@ def block_replicates(units: DataFrame, reps: int, n: int = 3, seed: int = 0) ->
 
     Units are counted once; a replicate is a weighted sum of their counts.
     """
-    from ..functions.text import ngrams
-
-    ids = sorted(r[0] for r in units.select("unit_id").distinct().collect())
     counts = units.select("leaf", "unit_id", F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy("leaf", "unit_id", "gram").agg(F.count("*").alias("c"))
-    weighted = counts.join(unit_weights(units.sparkSession, ids, reps, seed), "unit_id").groupBy("rep", "leaf", "gram").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
+    weighted = counts.join(unit_weights(units, reps, seed), "unit_id").groupBy("rep", "leaf", "gram").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
     return _js_by(weighted)
 
 
@@ -91,27 +100,38 @@ def _js_by(profiles: DataFrame) -> DataFrame:
     leaves = named.select("leaf").distinct()
     a, b = (leaves.select(rep.cast("bigint").alias("rep"), F.col("leaf").alias(x)) for x in "ij")
     shares = named.join(named.groupBy("leaf").agg(F.sum("c").alias("n")), "leaf").select("leaf", "gram", (F.col("c") / F.col("n")).alias("p"))
-    from .distances import half, overlap
-
     div = overlap(shares, shares, "gram").groupBy("i", "j").agg(F.sum(half(F.col("p_i"), F.col("p_j")) - (F.col("p_i") + F.col("p_j")) / 2).alias("s"))
     every = a.join(b, "rep").where("i < j").join(div, ["i", "j"], "left")
     return every.select("rep", F.split("i", "\t")[1].alias("i"), F.split("j", "\t")[1].alias("j"), F.sqrt(F.greatest(F.lit(0.0), 1.0 + F.coalesce("s", F.lit(0.0)))).alias("d"))
 
 
-def token_replicates(profiles: DataFrame, reps: int, seed: int = 0) -> DataFrame:
-    """rep, i, j, d: JS distances of multinomial resamples of each leaf's n-grams."""
+def token_draw(profiles: DataFrame, reps: int, seed: int = 0) -> DataFrame:
+    """rep, leaf, gram, c: multinomial resamples of each leaf's n-grams, one task's work being one leaf in one replicate."""
+    import hashlib
+
     import numpy as np
     import pandas as pd
 
     def draw(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("gram")
-        n, p = int(g["c"].sum()), g["c"].to_numpy() / g["c"].sum()
-        key = sum(map(ord, g["leaf"].iloc[0]))
-        out = [pd.DataFrame({"rep": r, "leaf": g["leaf"], "gram": g["gram"], "c": np.random.default_rng([seed, key, r]).multinomial(n, p)}) for r in range(reps)]
-        t = pd.concat(out)
-        return t[t["c"] > 0]
+        name, n = g["leaf"].iloc[0], int(g["c"].sum())
+        key = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest())  # names alike in their letters differ
+        c = np.random.default_rng([seed, key, int(g["rep"].iloc[0])]).multinomial(n, g["c"].to_numpy() / n)
+        return g.assign(c=c)[c > 0][["rep", "leaf", "gram", "c"]]
+
+    each = profiles.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep"), "leaf", "gram", "c")
+    return each.groupBy("rep", "leaf").applyInPandas(draw, "rep bigint, leaf string, gram string, c bigint")
+
+
+def token_replicates(profiles: DataFrame, reps: int, seed: int = 0) -> DataFrame:
+    """rep, i, j, d: JS distances of multinomial resamples of each leaf's n-grams."""
+    return _js_by(token_draw(profiles, reps, seed))
 
-    return _js_by(profiles.groupBy("leaf").applyInPandas(draw, "rep bigint, leaf string, gram string, c bigint"))
+
+def leaf_replicates(units: DataFrame, leaf: str, reps: int, n: int = 3, seed: int = 0) -> DataFrame:
+    """rep, gram, c: resamples of one leaf's units by the draws that all leaves of units share."""
+    own = units.where(F.col("leaf") == leaf).select("unit_id", F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy("unit_id", "gram").agg(F.count("*").alias("c"))
+    return own.join(unit_weights(units, reps, seed), "unit_id").groupBy("rep", "gram").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
 
 
 def support(reference: DataFrame, replicates: DataFrame, reps: int, method: str = "upgma") -> DataFrame:
@@ -122,13 +142,30 @@ def support(reference: DataFrame, replicates: DataFrame, reps: int, method: str
     return ref.join(n, "split", "left").select("split", (F.coalesce("n", F.lit(0)) / reps).alias("support")).orderBy(-F.size("split"), "split")
 
 
-def purity_interval(replicates: DataFrame, groups: DataFrame, reps: int) -> DataFrame:
-    """lo, med, hi of the replicates' purities, by linear interpolation."""
-    g = lambda x: F.broadcast(groups.select(F.col("leaf").alias(x), F.col("group").alias(f"g{x}")))
+def interval(values: DataFrame, name: str) -> DataFrame:
+    """lo, med, hi of a column: percentiles 2.5, 50 and 97.5 by linear interpolation."""
+    q = values.agg(F.percentile(name, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    return q.select(*[F.col("q")[k].alias(x) for k, x in enumerate(("lo", "med", "hi"))])
+
+
+def purity_interval(replicates: DataFrame, groups: DataFrame) -> DataFrame:
+    """lo, med, hi of the replicates' purities."""
+    g = lambda x: groups.select(F.col("leaf").alias(x), F.col("group").alias(f"g{x}"))
     both = replicates.select("rep", "i", "j", "d").unionByName(replicates.select("rep", F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     near = both.groupBy("rep", "i").agg(F.min(F.struct(F.round("d", 9).alias("d"), "j")).alias("x")).select("rep", "i", "x.j").join(g("i"), "i").join(g("j"), "j")
-    p = near.groupBy("rep").agg(F.avg(F.when(F.col("gi") == F.col("gj"), 1.0).otherwise(0.0)).alias("p"))
-    return p.agg(F.percentile("p", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")).select(*[F.col("q")[k].alias(x) for k, x in enumerate(("lo", "med", "hi"))])
+    return interval(near.groupBy("rep").agg(F.avg(F.when(F.col("gi") == F.col("gj"), 1.0).otherwise(0.0)).alias("p")), "p")
+
+
+def rf_replicates(replicates: DataFrame, gold: DataFrame, method: str = "upgma") -> DataFrame:
+    """rep, rf: the Robinson-Foulds distance of each replicate's tree from the splits of gold, over the number of both trees' splits."""
+    trees = build(replicates, method, "rep").withColumnRenamed("rep", "tree")
+    own = splits(trees)
+    want = gold.select("split").distinct()
+    shared = own.join(want.withColumn("in", F.lit(1)), "split", "left").groupBy("tree").agg(F.count("*").alias("n"), F.count("in").alias("both"))
+    t = trees.select("tree").join(shared, "tree", "left").fillna(0).crossJoin(F.broadcast(want.agg(F.count("*").alias("m"))))  # one row
+    return t.select(F.col("tree").alias("rep"), F.coalesce((F.col("n") + F.col("m") - 2 * F.col("both")) / F.nullif(F.col("n") + F.col("m"), F.lit(0)), F.lit(0.0)).alias("rf"))
 
 
-__all__ = ["block_replicates", "js", "mantel", "partial_mantel", "permutations", "purity", "purity_interval", "support", "token_replicates", "unit_weights"]
+def rf_interval(replicates: DataFrame, gold: DataFrame, method: str = "upgma") -> DataFrame:
+    """lo, med, hi of the replicates' Robinson-Foulds distances from gold."""
+    return interval(rf_replicates(replicates, gold, method), "rf")

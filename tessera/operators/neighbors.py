@@ -18,6 +18,12 @@ def nearest(dist: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return near.groupBy("i").agg(F.min("j").alias("j"), F.first("least").alias("d"), F.count("*").alias("ties"))
 
 
+def judged(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """near with hit: 1 if a leaf's nearest leaf is of its group, else 0; leaves without a row in groups (leaf, group) go."""
+    g = lambda x: groups.select(F.col("leaf").alias(x), F.col("group").alias(f"g{x}"))
+    return near.join(g("i"), "i").join(g("j"), "j").withColumn("hit", F.when(F.col("gi") == F.col("gj"), 1.0).otherwise(0.0))
+
+
 def purity(dist: DataFrame, groups: DataFrame, tie: str = "first") -> DataFrame:
     """purity, n, n_ties over leaves with (leaf, group): the share whose nearest leaf is of their group.
 
@@ -25,20 +31,14 @@ def purity(dist: DataFrame, groups: DataFrame, tie: str = "first") -> DataFrame:
     """
     if tie not in ("first", "miss", "drop"):
         raise ValueError(f"unknown tie policy: {tie}")
-    g = lambda x: F.broadcast(groups.select(F.col("leaf").alias(x), F.col("group").alias(f"g{x}")))
-    near = nearest(dist).join(g("i"), "i").join(g("j"), "j")
-    hit = F.when(F.col("gi") == F.col("gj"), 1.0).otherwise(0.0)
-    if tie == "miss":
-        hit = F.when(F.col("ties") > 1, 0.0).otherwise(hit)
-    if tie == "drop":
-        hit = F.when(F.col("ties") == 1, hit)
-    return near.agg(F.avg(hit).alias("purity"), F.count(hit).alias("n"), F.sum(F.when(F.col("ties") > 1, 1).otherwise(0)).alias("n_ties"))
+    hit = {"first": F.col("hit"), "miss": F.when(F.col("ties") > 1, 0.0).otherwise(F.col("hit")), "drop": F.when(F.col("ties") == 1, F.col("hit"))}[tie]
+    return judged(nearest(dist), groups).agg(F.avg(hit).alias("purity"), F.count(hit).alias("n"), F.count_if(F.col("ties") > 1).alias("n_ties"))
 
 
 def diagnostics(dist: DataFrame, groups: DataFrame) -> DataFrame:
-    """purity, purity_tiemiss, n_ties, n and chance as one row."""
-    first, miss = purity(dist, groups), purity(dist, groups, "miss").select(F.col("purity").alias("purity_tiemiss"))
-    return first.crossJoin(miss).crossJoin(chance_floor(groups)).select("purity", "purity_tiemiss", "n_ties", "n", "chance")
+    """purity, purity_tiemiss, n_ties, n and chance as one row, from one search for neighbours."""
+    near = judged(nearest(dist), groups).agg(F.avg("hit").alias("purity"), F.avg(F.when(F.col("ties") > 1, 0.0).otherwise(F.col("hit"))).alias("purity_tiemiss"), F.count_if(F.col("ties") > 1).alias("n_ties"), F.count("*").alias("n"))
+    return near.crossJoin(F.broadcast(chance_floor(groups)))  # two rows of one each
 
 
 def chance_floor(groups: DataFrame) -> DataFrame:

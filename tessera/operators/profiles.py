@@ -21,10 +21,45 @@ def profile(units: DataFrame, n: int = 3) -> DataFrame:
     return spread(units).select("leaf", F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy("leaf", "gram").agg(F.count("*").alias("c"))
 
 
+def joined_profile(units: DataFrame, n: int = 3) -> DataFrame:
+    """leaf, gram, c of each leaf's units (leaf, unit_id, text) joined by one space in the order of unit_id, without ever holding a leaf's text.
+
+    Units without text are left out. Grams inside a unit are counted where it lies; those that hold the space between two units come from the
+    last n - 1 characters before it and the first n - 1 after it, which alone are put in order.
+    """
+    t = spread(units.where("text <> ''"))
+    inside = t.select("leaf", F.explode(ngrams(F.col("text"), n)).alias("gram"))
+    if n == 1:
+        edges = t.groupBy("leaf").agg((F.count("*") - 1).alias("c")).where("c > 0").select("leaf", F.lit(" ").alias("gram"), "c")
+        own = inside.groupBy("leaf", "gram").agg(F.count("*").alias("c"))
+        return own.unionByName(edges).groupBy("leaf", "gram").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy("leaf").orderBy("unit_id")
+    slim = t.select("leaf", "unit_id", F.right("text", F.lit(n - 1)).alias("tail"), F.left("text", F.lit(n - 1)).alias("head"))
+    before = F.right(F.concat_ws(" ", *[F.lag("tail", k).over(order) for k in range(n - 1, 0, -1)]), F.lit(n - 1))
+    edges = slim.select("leaf", before.alias("before"), "head", F.row_number().over(order).alias("k")).where("k > 1")
+    across = edges.select("leaf", F.explode(ngrams(F.concat("before", F.lit(" "), "head"), n)).alias("gram"))
+    return inside.unionByName(across).groupBy("leaf", "gram").agg(F.count("*").alias("c"))
+
+
+def capped_units(units: DataFrame, cap: int) -> DataFrame:
+    """Units (leaf, unit_id, text) of which the texts, joined by one space in the order of unit_id, are each leaf's first cap characters.
+
+    Lengths alone are summed in order. A space at the very end is cut, and so is a unit of which only the space before it fits.
+    """
+    t = units.where("text <> ''")
+    order = Window.partitionBy("leaf").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, -1)
+    start = t.select("leaf", "unit_id", F.length("text").alias("n")).select("leaf", "unit_id", F.coalesce(F.sum(F.col("n") + 1).over(order), F.lit(0)).alias("start")).where(F.col("start") < cap)
+    return t.join(start, ["leaf", "unit_id"]).select("leaf", "unit_id", F.rtrim(F.substr("text", F.lit(1), F.least(F.length("text"), cap - F.col("start")).cast("int"))).alias("text"))
+
+
 def joined_units(units: DataFrame, cap: int | None = None) -> DataFrame:
-    """leaf, text: units (leaf, unit_id, text) joined by one space in the order of unit_id, cut to cap characters."""
+    """leaf, text: units (leaf, unit_id, text) joined by one space in the order of unit_id, cut to cap characters.
+
+    A leaf's text is one row, for what needs it whole, such as compression; the cap is applied before texts are put together.
+    """
+    t = units.where("text <> ''") if cap is None else capped_units(units, cap)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", "text"))), lambda x: x["text"]), " ")
-    return units.groupBy("leaf").agg((text if cap is None else F.substring(text, 1, cap)).alias("text"))
+    return t.groupBy("leaf").agg(text.alias("text"))
 
 
 def equalized(texts: DataFrame) -> DataFrame:
@@ -68,39 +103,47 @@ def grassberger_g(c: Column) -> Column:
     return digamma(c.cast("double")) + 0.5 * sign * (digamma((c + 1) / 2.0) - digamma(c / 2.0))
 
 
-def block_entropy(profiles: DataFrame, estimator: str = "plugin") -> DataFrame:
-    """leaf, h: the entropy in bits of a leaf's blocks by plugin, mm (Miller-Madow) or grassberger.
+def block_entropy(profiles: DataFrame, estimator: str = "plugin", by: tuple[str, ...] = ("leaf",)) -> DataFrame:
+    """The columns of by, h: the entropy in bits of a leaf's blocks by plugin, mm (Miller-Madow) or grassberger.
 
     Sums run over how many grams have each count, so that equal counts are one term.
     """
     if estimator not in ("plugin", "mm", "grassberger"):
         raise ValueError(f"unknown estimator: {estimator}")
-    of_counts = profiles.groupBy("leaf", "c").agg(F.count("*").alias("m"))
+    of_counts = profiles.groupBy(*by, "c").agg(F.count("*").alias("m"))
     log = grassberger_g(F.col("c")) / math.log(2) if estimator == "grassberger" else F.log2(F.col("c").cast("double"))
-    sums = of_counts.groupBy("leaf").agg(F.sum(F.col("m") * F.col("c")).alias("n"), F.sum("m").alias("k"), F.sum(F.col("m") * F.col("c") * log).alias("s"))
-    h = F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")
+    sums = of_counts.groupBy(*by).agg(F.sum(F.col("m") * F.col("c")).alias("__n"), F.sum("m").alias("__k"), F.sum(F.col("m") * F.col("c") * log).alias("__s"))
+    h = F.log2(F.col("__n").cast("double")) - F.col("__s") / F.col("__n")
     if estimator == "mm":
-        h = h + (F.col("k") - 1) / (2 * F.col("n") * math.log(2))
-    return sums.select("leaf", F.when(F.col("n") > 0, h).otherwise(0.0).alias("h"))
+        h = h + (F.col("__k") - 1) / (2 * F.col("__n") * math.log(2))
+    return sums.select(*by, F.when(F.col("__n") > 0, h).otherwise(0.0).alias("h"))
 
 
 def ladder(units: DataFrame, most: int = 4, estimator: str = "plugin") -> DataFrame:
-    """leaf, n, h, f: block entropies and their differences f_n = h_n - h_(n-1), h_0 being 0."""
-    steps = None
-    for n in range(1, most + 1):
-        one = block_entropy(profile(units, n), estimator).withColumn("n", F.lit(n))
-        steps = one if steps is None else steps.unionByName(one)
+    """leaf, n, h, f: block entropies and their differences f_n = h_n - h_(n-1), h_0 being 0.
+
+    Texts are expanded once, to the longest grams, with marks after their ends; shorter grams are what those begin with.
+    """
+    marked = units.select("leaf", F.concat("text", F.lit("\0" * (most - 1))).alias("text")).where("text is not null")
+    counts = profile(marked, most)
+    begins = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.struct(n.alias("n"), F.substring("gram", F.lit(1), n).alias("gram")))
+    each = counts.select("leaf", "c", F.explode(begins).alias("x")).where(~F.contains("x.gram", F.lit("\0"))).groupBy("leaf", "x.n", "x.gram").agg(F.sum("c").alias("c"))
+    steps = block_entropy(each, estimator, ("leaf", "n"))
     f = F.col("h") - F.lag("h", 1, 0.0).over(Window.partitionBy("leaf").orderBy("n"))
     return steps.select("leaf", "n", "h", f.alias("f"))
 
 
+def draws(key: Column, n: Column) -> Column:
+    """A number below n by the first 60 bits of the key's md5: the same in every partitioning, and in any engine that has md5."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint"), n)
+
+
 def entropy_simulation(spark, k: int = 64, sizes=(128, 1024, 16384), reps: int = 200, seed: int = 0) -> DataFrame:
     """n, estimator, h: mean estimates over reps samples of n uniform symbols out of k, whose entropy is log2 k."""
     out = None
     for n in sizes:
-        # a hash of (seed, n, draw), so that the sample doesn't depend on partitions
-        draws = spark.range(n * reps).select(F.concat(F.lit("r"), F.floor(F.col("id") / n)).alias("leaf"), F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "id"), F.lit(k)).cast("string").alias("gram"))
-        counts = draws.groupBy("leaf", "gram").agg(F.count("*").alias("c"))
+        at = spark.range(n * reps).select(F.floor(F.col("id") / n).cast("string").alias("leaf"), draws(F.concat_ws(":", F.lit(seed), F.lit(n), "id"), F.lit(k)).cast("string").alias("gram"))
+        counts = at.groupBy("leaf", "gram").agg(F.count("*").alias("c"))
         for e in ("plugin", "mm", "grassberger"):
             one = block_entropy(counts, e).agg(F.avg("h").alias("h")).select(F.lit(n).alias("n"), F.lit(e).alias("estimator"), "h")
             out = one if out is None else out.unionByName(one)

@@ -9,14 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def quartets(leaves: DataFrame, max_full: int = 70, n_sample: int = 200_000, seed: int = 0) -> DataFrame:
-    """a < b < c < e: all quartets of up to max_full leaves, else a seeded sample with repeats."""
-    spark, names = leaves.sparkSession, sorted(r[0] for r in leaves.distinct().collect())
-    if len(names) <= max_full:
-        col = lambda n: leaves.select(F.col(leaves.columns[0]).alias(n)).distinct()
-        return col("a").join(F.broadcast(col("b")), F.col("a") < F.col("b")).join(F.broadcast(col("c")), F.col("b") < F.col("c")).join(F.broadcast(col("e")), F.col("c") < F.col("e"))
+#: Quartets drawn where there are too many to take all: for the quartet distance, and for the delta score.
+GQD_SAMPLE, DELTA_SAMPLE = 400_000, 200_000
+
+
+def quartets(leaves: DataFrame, max_full: int = 70, n_sample: int = GQD_SAMPLE, seed: int = 0) -> DataFrame:
+    """a < b < c < e, approx: all quartets of up to max_full leaves, else a seeded sample with repeats, of which approx is true."""
+    spark = leaves.sparkSession
+    one = leaves.select(F.col(leaves.columns[0]).alias("leaf")).distinct()
+    if one.count() <= max_full:
+        col = lambda n: one.select(F.col("leaf").alias(n))
+        q = col("a").join(F.broadcast(col("b")), F.col("a") < F.col("b")).join(F.broadcast(col("c")), F.col("b") < F.col("c")).join(F.broadcast(col("e")), F.col("c") < F.col("e"))
+        return q.withColumn("approx", F.lit(False))
+    names = sorted(r["leaf"] for r in one.collect())
     rng = random.Random(seed)
-    return spark.createDataFrame([tuple(sorted(rng.sample(names, 4))) for _ in range(n_sample)], "a string, b string, c string, e string")
+    return spark.createDataFrame([tuple(sorted(rng.sample(names, 4))) for _ in range(n_sample)], "a string, b string, c string, e string").withColumn("approx", F.lit(True))
 
 
 def topology(quads: DataFrame, splits: DataFrame, name: str) -> DataFrame:
@@ -29,10 +36,10 @@ def topology(quads: DataFrame, splits: DataFrame, name: str) -> DataFrame:
 
 
 def gqd(quads: DataFrame, inferred: DataFrame, gold: DataFrame) -> DataFrame:
-    """gqd, resolved_in_gold, n: among quartets that gold resolves, the share that inferred resolves otherwise or not at all."""
+    """gqd, resolved_in_gold, n, approx (whether quads are a sample): among quartets that gold resolves, the share that inferred resolves otherwise or not at all."""
     t = topology(topology(quads, gold, "g"), inferred, "x")
     wrong = F.when(F.col("g").isNotNull(), F.when(F.col("x").eqNullSafe(F.col("g")), 0.0).otherwise(1.0))
-    return t.agg(F.coalesce(F.avg(wrong), F.lit(0.0)).alias("gqd"), F.count("g").alias("resolved_in_gold"), F.count("*").alias("n"))
+    return t.agg(F.coalesce(F.avg(wrong), F.lit(0.0)).alias("gqd"), F.count("g").alias("resolved_in_gold"), F.count("*").alias("n"), F.coalesce(F.bool_or("approx"), F.lit(False)).alias("approx"))
 
 
 def delta(quads: DataFrame, dist: DataFrame) -> DataFrame:

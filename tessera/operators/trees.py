@@ -123,6 +123,25 @@ def linkage(dist: DataFrame, k: int = 4) -> tuple[DataFrame, DataFrame, DataFram
     return rows.applyInPandas(merges, "step int, left_id int, right_id int, height double, size int"), rows.applyInPandas(flat, "leaf string, cluster int"), rows.applyInPandas(meet, "i string, j string, d double, c double")
 
 
+def layout(merges: DataFrame) -> DataFrame:
+    """step, x_left, x_right, y_left, y_right, y of each merge of linkage(): a dendrogram's bars, leaves being 10 apart from 5 on, as they hang."""
+
+    def place(g: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(g[["step", "left_id", "right_id", "height"]].itertuples(index=False))
+        n = len(rows) + 1
+        order, x, y = [n + len(rows) - 1], {}, dict.fromkeys(range(n), 0.0)
+        while any(k >= n for k in order):
+            order = [c for k in order for c in ((rows[k - n].left_id, rows[k - n].right_id) if k >= n else (k,))]
+        x = {leaf: 5.0 + 10.0 * k for k, leaf in enumerate(order)}
+        out = []
+        for step, a, b, h in rows:
+            x[n + step], y[n + step] = (x[a] + x[b]) / 2, h
+            out.append((step, x[a], x[b], y[a], y[b], h))
+        return pd.DataFrame(out, columns=["step", "x_left", "x_right", "y_left", "y_right", "y"])
+
+    return merges.withColumn("tree", F.lit("all")).groupBy("tree").applyInPandas(place, "step int, x_left double, x_right double, y_left double, y_right double, y double")
+
+
 def cophenetic_corr(dist: DataFrame) -> DataFrame:
     return linkage(dist)[2].agg(F.corr("d", "c").alias("r"))
 
@@ -172,6 +191,46 @@ def splits(trees: DataFrame) -> DataFrame:
     return trees.select("tree", F.explode(run("newick")).alias("split"))
 
 
+def internal_bipartitions(splits: DataFrame) -> DataFrame:
+    """n: how many different splits of 2 leaves or more on each side there are, a basal bifurcation's two branches being one."""
+    return splits.select("split").distinct().agg(F.count("*").alias("n"))
+
+
+def smaller_sides(sides: DataFrame, every: DataFrame) -> DataFrame:
+    """split: the smaller sides (of equal ones the first) of the splits that side cuts off from every, one row; each once, trivial ones left out."""
+    t = sides.crossJoin(F.broadcast(every)).withColumn("other", F.array_sort(F.array_except("every", "side")))
+    t = t.where((F.size("side") >= 2) & (F.size("other") >= 2))
+    smaller = F.when(F.size("side") < F.size("other"), F.col("side")).when(F.size("side") > F.size("other"), F.col("other")).otherwise(F.least("side", "other"))
+    return t.select(smaller.alias("split")).distinct()
+
+
+def lineage_splits(lineages: DataFrame) -> DataFrame:
+    """split: the smaller sides of the splits that the ancestors of (leaf, depth, ancestor) imply, each once; depth 0 is the leaf itself."""
+    every = lineages.agg(F.array_sort(F.collect_set("leaf")).alias("every"))
+    sides = lineages.where("depth > 0").groupBy("ancestor").agg(F.array_sort(F.collect_set("leaf")).alias("side")).select("side")
+    return smaller_sides(sides, every)
+
+
+def lineage_newick(lineages: DataFrame, labels: dict[str, str] | None = None) -> str:
+    """The nested tree of (leaf, depth, ancestor), ancestors of one child collapsing; labels: names to give leaves. One path a leaf is held."""
+    rows = lineages.where("depth > 0").groupBy("leaf").agg(F.reverse(F.transform(F.array_sort(F.collect_list(F.struct("depth", "ancestor"))), lambda x: x["ancestor"])).alias("path")).collect()
+    alone = {r["leaf"] for r in lineages.select("leaf").distinct().collect()}
+    paths = {name: [] for name in alone} | {r["leaf"]: r["path"] for r in rows}
+
+    def nest(part: dict[str, list[str]], depth: int) -> str:
+        groups: dict[str, dict] = {}
+        out = []
+        for leaf, path in sorted(part.items()):
+            if len(path) == depth:
+                out.append((labels or {}).get(leaf, leaf))
+            else:
+                groups.setdefault(path[depth], {})[leaf] = path
+        out += [nest(g, depth + 1) for _, g in sorted(groups.items())]
+        return out[0] if len(out) == 1 else f"({','.join(out)})"
+
+    return nest(paths, 0) + ";"
+
+
 def gold_splits(groups: DataFrame, *levels: str) -> DataFrame:
     """split: the smaller sides of the splits that the levels of a taxonomy (leaf, *levels) imply, each once.
 
@@ -182,10 +241,7 @@ def gold_splits(groups: DataFrame, *levels: str) -> DataFrame:
     for k in range(len(levels)):
         one = groups.groupBy(*levels[: k + 1]).agg(F.array_sort(F.collect_set("leaf")).alias("side")).select("side")
         sides = one if sides is None else sides.unionByName(one)
-    t = sides.crossJoin(F.broadcast(every)).withColumn("other", F.array_sort(F.array_except("every", "side")))
-    t = t.where((F.size("side") >= 2) & (F.size("other") >= 2))
-    smaller = F.when(F.size("side") < F.size("other"), F.col("side")).when(F.size("side") > F.size("other"), F.col("other")).otherwise(F.least("side", "other"))
-    return t.select(smaller.alias("split")).distinct()
+    return smaller_sides(sides, every)
 
 
 def containing_clade(groups: DataFrame, clades: DataFrame) -> DataFrame:
@@ -249,6 +305,36 @@ def random_null(spark, names: list[str], gold: str, n: int = 500, seed: int = 0)
     return spark.range(n).mapInPandas(run, "rep bigint, rf double")
 
 
+def label_shuffle_null(spark, tree: str, gold: str, n: int = 500, seed: int = 0) -> DataFrame:
+    """rep, rf of a tree with shuffled labels against a gold tree, over 2 (leaves - 3), n times."""
+    import re
+
+    names = sorted(max(parsed(tree), key=len))
+
+    def run(batches):
+        want = splits_of(gold)
+        for g in batches:
+            out = []
+            for r in g["id"]:
+                drawn = list(names)
+                random.Random(seed * 1_000_003 + int(r)).shuffle(drawn)
+                other = dict(zip(names, drawn, strict=True))
+                out.append(len(splits_of(re.sub(r"[^(),;]+", lambda m: other.get(m[0], m[0]), tree)) ^ want) / max(1, 2 * (len(names) - 3)))
+            yield pd.DataFrame({"rep": g["id"], "rf": out})
+
+    return spark.range(n).mapInPandas(run, "rep bigint, rf double")
+
+
+def tree_comparison(spark, inferred: str, gold: str, n_null: int = 300, seed: int = 0) -> DataFrame:
+    """rf_triple() and the quartet distance of an imported tree, such as a sampler's summary tree, against gold, as one row."""
+    from .quartets import gqd, quartets
+
+    names = sorted(max(parsed(gold), key=len))
+    table = lambda t: spark.createDataFrame([(sorted(x),) for x in splits_of(t)], "split array<string>")
+    leaves = spark.createDataFrame([(x,) for x in names], "leaf string")
+    return rf_triple(spark, inferred, gold, names, n_null, seed).crossJoin(gqd(quartets(leaves), table(inferred), table(gold)))
+
+
 def null_summary(null: DataFrame, n: int) -> DataFrame:
     """p05, p50, p95 by place in the sorted values (not interpolated), and the least."""
     s = F.array_sort(F.collect_list("rf"))

@@ -87,6 +87,36 @@ def ngram_counts(spark, d):
     return grams(spark, d)
 
 
+JU = "ju AS (SELECT leaf, string_agg(t, ' ' ORDER BY doc_id) AS t FROM u WHERE t <> '' GROUP BY leaf), "
+JC = "ch AS (SELECT leaf AS doc_id, leaf, unnest(range(len(cs))) AS i, unnest(cs) AS c FROM (SELECT leaf, string_split(t, '') AS cs FROM ju)), "
+
+
+@query(f"WITH {U}{JU}{JC}{gram_sql(3)}x AS (SELECT 1) SELECT leaf, gram, c FROM p")
+def joined_ngram_counts(spark, d):
+    return profiles.joined_profile(units(spark, d))
+
+
+@query(f"WITH {U}{JU}{JC}{gram_sql(1)}x AS (SELECT 1) SELECT leaf, gram, c FROM p")
+def joined_unigram_counts(spark, d):
+    return profiles.joined_profile(units(spark, d), 1)
+
+
+@query(f"WITH {U}{JU.replace('string_agg(t, ' + chr(39) + ' ' + chr(39) + ' ORDER BY doc_id)', 'rtrim(left(string_agg(t, ' + chr(39) + ' ' + chr(39) + ' ORDER BY doc_id), 30000))')}{JC}{gram_sql(3)}x AS (SELECT 1) SELECT leaf, gram, c FROM p")
+def capped_ngram_counts(spark, d):
+    return profiles.joined_profile(profiles.capped_units(units(spark, d), 30_000))
+
+
+@query(f"WITH {U}{JU}x AS (SELECT min(length(t)) AS n FROM ju) SELECT leaf, md5(left(t, n)) AS text FROM ju, x")
+def equalized_texts(spark, d):
+    return profiles.equalized(profiles.joined_units(units(spark, d))).select("leaf", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(f"WITH {U}{CH}{gram_sql(1)}x AS (SELECT 1) SELECT leaf, gram, c FROM p")
+def shuffled_unigram_counts(spark, d):
+    """A permutation of characters leaves their counts as they are."""
+    return profiles.profile(units(spark, d).withColumn("text", tx.shuffle_chars(0)(F.col("text"))), 1)
+
+
 @query(f"WITH {U}{CH}{gram_sql(1)}x AS (SELECT 1) SELECT leaf, gram, c FROM p")
 def unigram_counts(spark, d):
     return grams(spark, d, 1)
@@ -139,9 +169,15 @@ def conditional_ladder(spark, d):
     return rounded(profiles.ladder(units(spark, d)))
 
 
-@query()
+ES = f"""WITH x AS (SELECT n, unnest(range(n * 200)) AS id FROM (SELECT unnest([128, 1024, 16384]) AS n)),
+p AS (SELECT n, id // n AS rep, ('0x' || substr(md5('0:' || n || ':' || id), 1, 15))::BIGINT % 64 AS g, count(*) AS c FROM x GROUP BY ALL), {GR},
+e AS (SELECT n, rep, {H} AS a, {H} + (count(*) - 1) / (2 * sum(c) * ln(2)) AS b, (ln(sum(c)) - sum(c * (s - 0.5772156649015329 - ln(2))) / sum(c)) / ln(2) AS g FROM p JOIN t ON m = c // 2 GROUP BY n, rep)
+SELECT n::INT AS n, estimator, round(avg(h), 6) AS h FROM (SELECT n, 'plugin' AS estimator, a AS h FROM e UNION ALL SELECT n, 'mm', b FROM e UNION ALL SELECT n, 'grassberger', g FROM e) GROUP BY n, estimator"""
+
+
+@query(ES)
 def entropy_simulation(spark, d):
-    return rounded(profiles.entropy_simulation(spark, reps=50))
+    return rounded(profiles.entropy_simulation(spark))
 
 
 @query(f"{D3}x AS (SELECT 1) SELECT i, j, round(d, 6) AS d FROM d")
@@ -149,6 +185,11 @@ def js_trigram(spark, d):
     return rounded(distances.js(grams(spark, d)))
 
 
+@query(f"WITH {U}{JU}{JC}{gram_sql(3)}{PAIRS}{JS}x AS (SELECT 1) SELECT i, j, round(d, 6) AS d FROM d")
+def js_trigram_joined(spark, d):
+    return rounded(distances.js(profiles.joined_profile(units(spark, d))))
+
+
 @query(f"WITH {U}{CH}{gram_sql(1)}{PAIRS}{JS}x AS (SELECT 1) SELECT i, j, round(d, 6) AS d FROM d")
 def js_unigram(spark, d):
     return rounded(distances.js(grams(spark, d, 1)))
@@ -285,7 +326,7 @@ def rf_from_splits(spark, d):
 GQ = """, q AS (SELECT a.leaf AS a, b.leaf AS b, c.leaf AS c, e.leaf AS e FROM t a JOIN t b ON a.leaf < b.leaf JOIN t c ON b.leaf < c.leaf JOIN t e ON c.leaf < e.leaf),
 x AS (SELECT a, b, c, e, lv, min(CASE WHEN ia = ib THEN b WHEN ia = ic THEN c ELSE e END) AS p FROM (SELECT q.*, lv, list_contains(split, a) AS ia, list_contains(split, b) AS ib, list_contains(split, c) AS ic, list_contains(split, e) AS ie FROM q, gs) WHERE ia::INT + ib::INT + ic::INT + ie::INT = 2 GROUP BY ALL),
 y AS (SELECT q.*, g.p AS g, i.p AS i FROM q LEFT JOIN x g ON g.lv = 'family' AND (g.a, g.b, g.c, g.e) = (q.a, q.b, q.c, q.e) LEFT JOIN x i ON i.lv = 'initial' AND (i.a, i.b, i.c, i.e) = (q.a, q.b, q.c, q.e))
-SELECT round(avg((g IS DISTINCT FROM i)::INT) FILTER (WHERE g IS NOT NULL), 6) AS gqd, count(g) AS resolved_in_gold, count(*) AS n FROM y"""
+SELECT round(avg((g IS DISTINCT FROM i)::INT) FILTER (WHERE g IS NOT NULL), 6) AS gqd, count(g) AS resolved_in_gold, count(*) AS n, false AS approx FROM y"""
 
 
 @query(f"WITH {GS}{GQ}")
@@ -318,18 +359,26 @@ def mantel_r(spark, d):
     return rounded(a.join(b, ["i", "j"]).agg(F.corr("d", "e").alias("r")))
 
 
-@query()
+MANTEL = SQL["mantel_r"].partition("x AS (SELECT 1) SELECT")[0]
+PERM = """m AS (SELECT i, j, d.d AS x, d1.d AS y FROM d JOIN d1 USING (i, j)),
+pm AS (SELECT rep, leaf, row_number() OVER (PARTITION BY rep ORDER BY leaf) AS place, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep > 0 THEN md5('0:' || rep || ':' || leaf) ELSE '' END, leaf) AS drawn FROM lv, (SELECT unnest(range(1000)) AS rep)),
+po AS (SELECT a.rep, a.leaf, b.leaf AS other FROM pm a JOIN pm b ON a.rep = b.rep AND a.place = b.drawn), fy AS (SELECT i, j, y FROM m UNION ALL SELECT j, i, y FROM m),
+k AS (SELECT leaf, count(*) AS k FROM p GROUP BY leaf), z AS (SELECT i, j, x, abs(a.k - b.k)::DOUBLE AS z FROM m JOIN k a ON a.leaf = i JOIN k b ON b.leaf = j), f AS (SELECT regr_slope(x, z) AS b, regr_intercept(x, z) AS a FROM z),
+t AS (SELECT a.rep, z.x, z.z, x - f.a - f.b * z.z AS ex, fy.y FROM po a JOIN po b ON a.rep = b.rep JOIN z ON z.i = a.leaf AND z.j = b.leaf JOIN fy ON fy.i = a.other AND fy.j = b.other, f), """
+P_OF = "SELECT round(max(r0), 6) AS r, round((count(*) FILTER (abs(r) >= abs(r0) - 1e-12) + 1) / 1000, 6) AS p FROM rr, (SELECT r AS r0 FROM rr WHERE rep = 0) WHERE rep > 0"
+
+
+@query(f"{MANTEL}{PERM}rr AS (SELECT rep, corr(x, y) AS r FROM t GROUP BY rep) {P_OF}")
 def mantel_p(spark, d):
-    return rounded(inference.mantel(distances.word_lists(brands(spark, d)), distances.ncd(brand_texts(spark, d)), 99))
+    return rounded(inference.mantel(distances.js(grams(spark, d)), distances.js(grams(spark, d, 1))))
 
 
-@query()
+@query(f"{MANTEL}{PERM}og AS (SELECT rep, regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM t GROUP BY rep), rr AS (SELECT rep, corr(ex, y - a - b * z) AS r FROM t JOIN og USING (rep) GROUP BY rep) {P_OF}")
 def partial_mantel(spark, d):
-    w = brands(spark, d)
-    lengths = w.groupBy("leaf").agg(F.sum(F.length("form")).alias("k"))
-    k = lambda x: lengths.select(F.col("leaf").alias(x), F.col("k").alias(f"k{x}"))
+    p = grams(spark, d)
+    k = lambda x: profiles.sizes(p).select(F.col("leaf").alias(x), F.col("k").alias(f"k{x}"))
     control = k("i").join(k("j"), F.col("i") < F.col("j")).select("i", "j", F.abs(F.col("ki") - F.col("kj")).cast("double").alias("d"))
-    return rounded(inference.partial_mantel(distances.word_lists(w), distances.ncd(brand_texts(spark, d)), control, 99))
+    return rounded(inference.partial_mantel(distances.js(p), distances.js(grams(spark, d, 1)), control))
 
 
 @query(f"WITH {U}{G}x AS (SELECT 1) SELECT a.leaf AS i, b.leaf AS j, CASE WHEN a.grp = b.grp THEN 0.0 ELSE 1.0 END AS d FROM g a JOIN g b ON a.leaf < b.leaf")
@@ -369,7 +418,7 @@ def informative_characters(spark, d):
     return t.groupBy("concept").agg(F.count("*").alias("classes"), F.sum("size").alias("leaves"))
 
 
-@query()
+@query(f"{CG}z AS (SELECT concept, root FROM c GROUP BY 1, 2 HAVING count(DISTINCT leaf) >= 2), o AS (SELECT DISTINCT leaf, concept, root FROM c) SELECT l.leaf, string_agg(CASE WHEN o.leaf IS NULL THEN '0' ELSE '1' END, '' ORDER BY z.concept, z.root) AS bits FROM (SELECT DISTINCT leaf FROM w) l CROSS JOIN z LEFT JOIN o ON o.leaf = l.leaf AND o.concept = z.concept AND o.root = z.root GROUP BY l.leaf")
 def binary_matrix(spark, d):
     return characters.binary_matrix(characters.single_linkage(brands(spark, d)))
 
@@ -379,6 +428,16 @@ def matrix_fill(spark, d):
     return rounded(characters.fill(characters.binary_matrix(characters.single_linkage(brands(spark, d)))))
 
 
+@query(f"WITH {W}{WP}{WD}SELECT round(avg(shared), 6) AS mean, min(shared) AS least FROM d")
+def shared_concepts(spark, d):
+    return rounded(distances.shared_summary(distances.word_lists(brands(spark, d))))
+
+
+@query(f"WITH {W}k AS (SELECT leaf, concept, string_split(form, ' ') AS ts FROM w) SELECT leaf, concept::VARCHAR AS concept, unnest(range(len(ts)))::INT AS position, unnest(ts) AS token, array_to_string(ts, ' ') AS ipa FROM k")
+def word_list_rows(spark, d):
+    return characters.word_rows(brands(spark, d).withColumn("tokens", F.split("form", " ")))
+
+
 EXCLUDED = ("the", "he ", " th", "ion", "ent")
 SQL_EXCLUDED = ", ".join(f"'{g}'" for g in EXCLUDED)
 
@@ -409,10 +468,10 @@ def devowel_js(spark, d):
     return rounded(distances.js(profiles.profile(units(spark, d).withColumn("text", tx.devowel(F.col("text"))))))
 
 
-@query(f"WITH {U}x AS (SELECT 1) SELECT leaf, length(string_agg(t, ' ' ORDER BY doc_id)) AS chars, md5(left(string_agg(t, ' ' ORDER BY doc_id), 1000)) AS head FROM u GROUP BY leaf")
+@query(f"WITH {U}x AS (SELECT 1) SELECT leaf, length(string_agg(t, ' ' ORDER BY doc_id)) AS chars, md5(string_agg(t, ' ' ORDER BY doc_id)) AS text FROM u WHERE t <> '' GROUP BY leaf")
 def leaf_texts(spark, d):
     t = profiles.joined_units(units(spark, d))
-    return t.select("leaf", F.length("text").cast("bigint").alias("chars"), F.md5(tx.char_cap(F.col("text"), 1000).cast("binary")).alias("head"))
+    return t.select("leaf", F.length("text").cast("bigint").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 @query(f"WITH {U}x AS (SELECT DISTINCT leaf FROM u) SELECT leaf, trim(regexp_replace(leaf, '[^\\p{{L}}\\p{{N}}]+', '_', 'g'), '_') AS safe, replace(leaf, '_', '-') AS dashed, split_part(leaf, '_', 1) AS base FROM x")
@@ -431,20 +490,26 @@ def shuffle_control(spark, d):
     return rounded(distances.js(profiles.profile(t)))
 
 
-@query()
+@query(f"SELECT doc_id, length({CLEAN.replace('lower(text)', 'nfc_normalize(lower(text))')}) AS n, length({CLEAN.replace('lower(text)', 'strip_accents(lower(text))')}) AS plain FROM documents")
 def clean_exact(spark, d):
     t = profiles.spread(table(spark, d, "documents").select("doc_id", "text"))
     return t.select("doc_id", F.length(tx.clean()("text")).cast("bigint").alias("n"), F.length(tx.clean(False)("text")).cast("bigint").alias("plain"))
 
 
+@query()
+def ncd_basic(spark, d):
+    return rounded(distances.ncd(brand_texts(spark, d), "basic"))
+
+
 @query()
 def ncd_v2(spark, d):
-    return rounded(distances.ncd(brand_texts(spark, d)))
+    """Over the leaves' own texts; the cap of 30,000 bytes is the distance's own."""
+    return rounded(distances.ncd(profiles.joined_units(units(spark, d), 30_000)))
 
 
 @query()
 def ncd_fixed(spark, d):
-    return rounded(distances.ncd(brand_texts(spark, d), "fixed"))
+    return rounded(distances.ncd(profiles.joined_units(units(spark, d), 30_000), "fixed"))
 
 
 @query()
@@ -473,38 +538,224 @@ def tree_rf_gold(spark, d):
     return rounded(trees.rf(trees.splits(tree), trees.gold_splits(leaves(spark, d).withColumnRenamed("group", "family"), "family")))
 
 
+@query(f"WITH {GS} SELECT round(((SELECT count(*) FROM (SELECT split FROM gs WHERE lv = 'family' EXCEPT SELECT split FROM gs WHERE lv = 'initial')) + (SELECT count(*) FROM (SELECT split FROM gs WHERE lv = 'initial' EXCEPT SELECT split FROM gs WHERE lv = 'family'))) / (2 * ((SELECT n FROM n) - 3)), 6) AS rf")
+def rf_legacy(spark, d):
+    n = nations(spark, d)
+    return rounded(trees.rf(trees.gold_splits(n, "family"), trees.gold_splits(n, "initial"), n.count()))
+
+
+@query(f"WITH {GS} SELECT count(*) AS n FROM (SELECT DISTINCT split FROM gs)")
+def internal_bipartitions(spark, d):
+    n = nations(spark, d)
+    return trees.internal_bipartitions(trees.gold_splits(n, "family").unionByName(trees.gold_splits(n, "initial")))
+
+
+def genealogy(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers with codes below nations below regions, as languoids (id, parent_id, iso)."""
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("string").alias("iso"))
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.lit(None).cast("string").alias("iso"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("parent_id"), F.col("s_name").alias("iso"))
+    return r.unionByName(n).unionByName(s)
+
+
+LN = """l AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS iso FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, NULL FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
+up(leaf, node, depth) AS (SELECT iso, min(id), 0 FROM l WHERE iso IS NOT NULL GROUP BY iso UNION ALL SELECT up.leaf, l.parent_id, up.depth + 1 FROM up JOIN l ON l.id = up.node WHERE l.parent_id IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {LN} SELECT leaf, depth, node AS ancestor FROM up")
+def lineages(spark, d):
+    return readers.lineages(spark, genealogy(spark, d))
+
+
+@query(f"""WITH RECURSIVE {LN}, e AS (SELECT list(DISTINCT leaf ORDER BY leaf) AS every FROM up), g AS (SELECT list(DISTINCT leaf ORDER BY leaf) AS side FROM up WHERE depth > 0 GROUP BY node),
+o AS (SELECT side, list_sort(list_filter(every, lambda x: NOT list_contains(side, x))) AS other FROM g, e)
+SELECT DISTINCT array_to_string(CASE WHEN len(side) < len(other) THEN side WHEN len(side) > len(other) THEN other ELSE least(side, other) END, '|') AS split FROM o WHERE len(side) >= 2 AND len(other) >= 2""")
+def genealogy_splits(spark, d):
+    return trees.lineage_splits(readers.lineages(spark, genealogy(spark, d))).select(F.array_join("split", "|").alias("split"))
+
+
+@query()
+def label_shuffle_null(spark, d):
+    n = nations(spark, d).orderBy("leaf").collect()  # 25 nations
+    gold, other = (trees.gold_newick([(r["leaf"], r[level]) for r in n]) for level in ("family", "initial"))
+    return rounded(trees.label_shuffle_null(spark, other, gold))
+
+
+@query()
+def dendrogram_layout(spark, d):
+    return rounded(trees.layout(trees.linkage(js9(spark, d))[0]))
+
+
 @query()
 def random_tree_null(spark, d):
     n = nations(spark, d).select("leaf", "family").orderBy("leaf").collect()  # 25 nations
-    return rounded(trees.random_null(spark, [r["leaf"] for r in n], trees.gold_newick([(r["leaf"], r["family"]) for r in n]), 100))
+    return rounded(trees.random_null(spark, [r["leaf"] for r in n], trees.gold_newick([(r["leaf"], r["family"]) for r in n])))
 
 
 @query()
 def rf_triple(spark, d):
     n = nations(spark, d).orderBy("leaf").collect()  # 25 nations
     gold, other = (trees.gold_newick([(r["leaf"], r[level]) for r in n]) for level in ("family", "initial"))
-    return rounded(trees.rf_triple(spark, other, gold, [r["leaf"] for r in n], 100))
+    return rounded(trees.rf_triple(spark, other, gold, [r["leaf"] for r in n]))
 
 
 def role_units(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations").where("text is not null")
-    return t.select(F.concat_ws("_", "role", F.col("turn").cast("string")).alias("leaf"), F.pmod("conv_id", F.lit(20)).cast("bigint").alias("unit_id"), tx.clean_sql(F.col("text")).alias("text"))
+    return t.select(F.concat_ws("_", "role", F.col("turn").cast("string")).alias("leaf"), F.col("conv_id").cast("string").alias("unit_id"), tx.clean_sql(F.col("text")).alias("text"))
 
 
-@query()
+def role_groups(spark: SparkSession, d: str) -> DataFrame:
+    return role_units(spark, d).select("leaf", F.split("leaf", "_")[0].alias("group")).distinct()
+
+
+#: Replicates of the bootstraps.
+REPS = 50
+BOOT = f"""WITH u AS (SELECT conv_id::VARCHAR AS unit_id, role || '_' || turn AS leaf, {CLEAN} AS t FROM conversations WHERE text IS NOT NULL),
+ch AS (SELECT unit_id, leaf, unnest(range(len(cs))) AS i, unnest(cs) AS c FROM (SELECT unit_id, leaf, string_split(t, '') AS cs FROM u WHERE t <> '')),
+g AS (SELECT leaf, unit_id, gram, count(*) AS c FROM (SELECT leaf, unit_id, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM ch WINDOW w AS (PARTITION BY leaf, unit_id ORDER BY i)) WHERE gram IS NOT NULL GROUP BY ALL),
+un AS (SELECT unit_id, row_number() OVER (ORDER BY md5(unit_id), unit_id) - 1 AS k FROM (SELECT DISTINCT unit_id FROM u)),
+dr AS (SELECT rep, ('0x' || substr(md5('0:' || rep || ':' || k), 1, 15))::BIGINT % (SELECT count(*) FROM un) AS k FROM un, (SELECT unnest(range({REPS})) AS rep)),
+wt AS (SELECT rep, unit_id, count(*) AS w FROM dr JOIN un USING (k) GROUP BY ALL),
+p AS (SELECT rep, leaf, gram, sum(c * w) AS c FROM g JOIN wt USING (unit_id) GROUP BY ALL), s AS (SELECT rep, leaf, gram, c / sum(c) OVER (PARTITION BY rep, leaf) AS p FROM p), lv AS (SELECT DISTINCT rep, leaf FROM p),
+o AS (SELECT a.rep, a.leaf AS i, b.leaf AS j, sum(0.5 * a.p * log2(a.p / ((a.p + b.p) / 2)) + 0.5 * b.p * log2(b.p / ((a.p + b.p) / 2)) - (a.p + b.p) / 2) AS s FROM s a JOIN s b ON a.rep = b.rep AND a.gram = b.gram AND a.leaf < b.leaf GROUP BY ALL),
+d AS (SELECT a.rep, a.leaf AS i, b.leaf AS j, sqrt(greatest(0.0, 1.0 + coalesce(s, 0.0))) AS d FROM lv a JOIN lv b ON a.rep = b.rep AND a.leaf < b.leaf LEFT JOIN o ON o.rep = a.rep AND o.i = a.leaf AND o.j = b.leaf), """
+
+
+@query(f"{BOOT}x AS (SELECT 1) SELECT rep, i, j, round(d, 6) AS d FROM d")
+def block_replicates(spark, d):
+    return rounded(inference.block_replicates(role_units(spark, d), REPS))
+
+
+@query(f"{BOOT}sy AS (SELECT rep, i, j, round(d, 9) AS d FROM d UNION ALL SELECT rep, j, i, round(d, 9) FROM d), nn AS (SELECT rep, i, arg_min(j, (d, j)) AS j FROM sy GROUP BY rep, i), pu AS (SELECT rep, avg((split_part(i, '_', 1) = split_part(j, '_', 1))::INT) AS p FROM nn GROUP BY rep), q AS (SELECT quantile_cont(p, [0.025, 0.5, 0.975]) AS q FROM pu) SELECT round(q[1], 6) AS lo, round(q[2], 6) AS med, round(q[3], 6) AS hi FROM q")
 def block_bootstrap(spark, d):
-    t = role_units(spark, d)
-    groups = t.select("leaf", F.split("leaf", "_")[0].alias("group")).distinct()
-    return rounded(inference.purity_interval(inference.block_replicates(t, 10), groups, 10))
+    return rounded(inference.purity_interval(inference.block_replicates(role_units(spark, d), REPS), role_groups(spark, d)))
+
+
+@query()
+def block_bootstrap_rf(spark, d):
+    gold = trees.gold_splits(role_groups(spark, d).withColumnRenamed("group", "family"), "family")
+    return rounded(inference.rf_interval(inference.block_replicates(role_units(spark, d), REPS), gold))
+
+
+@query(f"{BOOT}x AS (SELECT rep, gram, sum(c)::BIGINT AS c FROM p WHERE leaf = 'user_0' GROUP BY ALL) SELECT * FROM x")
+def leaf_bootstrap(spark, d):
+    return inference.leaf_replicates(role_units(spark, d), "user_0", REPS)
 
 
 @query()
 def branch_support(spark, d):
     t = role_units(spark, d)
-    return inference.support(distances.js(profiles.profile(t)), inference.block_replicates(t, 10), 10)
+    return inference.support(distances.js(profiles.profile(t)), inference.block_replicates(t, REPS), REPS)
+
+
+@query()
+def branch_support_nj(spark, d):
+    t = role_units(spark, d)
+    return inference.support(distances.js(profiles.profile(t)), inference.block_replicates(t, REPS), REPS, "nj")
 
 
 @query()
 def token_bootstrap(spark, d):
     p = profiles.profile(role_units(spark, d))
-    return inference.support(distances.js(p), inference.token_replicates(p, 10), 10)
+    return inference.support(distances.js(p), inference.token_replicates(p, REPS), REPS)
+
+
+@query()
+def token_bootstrap_ci(spark, d):
+    """Purity and Robinson-Foulds intervals of one set of token replicates."""
+    groups = role_groups(spark, d)
+    reps = inference.token_replicates(profiles.profile(role_units(spark, d)), REPS)
+    gold = trees.gold_splits(groups.withColumnRenamed("group", "family"), "family")
+    return rounded(inference.purity_interval(reps, groups).withColumn("of", F.lit("purity")).unionByName(inference.rf_interval(reps, gold).withColumn("of", F.lit("rf"))))
+
+
+@query(f"WITH {W}{WP}{WD}, lf AS (SELECT DISTINCT leaf, left(leaf, 7) AS clade FROM w), q AS (SELECT a.clade, a.leaf AS a, b.leaf AS b, c.leaf AS c, e.leaf AS e FROM lf a JOIN lf b ON a.clade = b.clade AND a.leaf < b.leaf JOIN lf c ON b.clade = c.clade AND b.leaf < c.leaf JOIN lf e ON c.clade = e.clade AND c.leaf < e.leaf), s AS (SELECT q.clade, {DL.partition('list_sort')[1]}{DL.partition('list_sort')[2].partition(')' + chr(10) + 'SELECT round(avg')[0]}) SELECT clade, round(avg(CASE WHEN s[3] - s[1] <= 1e-12 THEN 0.0 ELSE (s[3] - s[2]) / (s[3] - s[1]) END), 6) AS delta, count(*) AS n FROM s GROUP BY clade")
+def delta_by_clade(spark, d):
+    w = brands(spark, d)
+    clades = w.select(F.left("leaf", F.lit(7)).alias("clade"), "leaf").distinct()
+    return rounded(quartets.clade_delta(distances.word_lists(w), clades))
+
+
+@query("SELECT doc_id, lang || repeat('_', (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1)::INT) AS label FROM (SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY lang, source)")
+def unique_labels(spark, d):
+    t = table(spark, d, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
+    return readers.unique_labels(t.select("doc_id", F.col("lang").alias("label")), "label", "doc_id").select("doc_id", "label")
+
+
+@query("WITH m AS (SELECT p_partkey, 'f' || lpad(p_partkey::VARCHAR, 9, '0') || CASE p_partkey % 5 WHEN 0 THEN '_PART' WHEN 1 THEN '_Tokenized' ELSE '' END AS f, p_brand AS l, CASE WHEN p_size > 25 THEN 'True' END AS full_ FROM part) SELECT l AS \"Language\", arg_min(f, (full_ IS DISTINCT FROM 'True', f)) AS \"Filename\" FROM m WHERE NOT regexp_matches(f, '(?i)PART|tokenized') GROUP BY l")
+def row_selection(spark, d):
+    t = table(spark, d, "part")
+    name = F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.when(F.col("p_partkey") % 5 == 0, "_PART").when(F.col("p_partkey") % 5 == 1, "_Tokenized").otherwise(""))
+    return readers.selected(t.select(name.alias("Filename"), F.col("p_brand").alias("Language"), F.when(F.col("p_size") > 25, "True").alias("Full"))).select("Language", "Filename")
+
+
+@query("SELECT c_custkey::VARCHAR AS \"Filename\", c_name AS leaf FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def present_files(spark, d):
+    meta = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("Filename"), F.col("c_name").alias("leaf"))
+    return readers.present(meta, table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("file")))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_rows(spark, d):
+    meta = table(spark, d, "customer").select("c_custkey")
+    return readers.missing(meta, table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+ALIASES = (("NATION_0", "NATION_1"), ("NATION_2", "NATION_3"))
+
+
+@query("WITH a(iso, other) AS (VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in ALIASES) + "), m AS (SELECT 'leaf_' || n_nationkey AS leaf, n_name AS iso FROM nation) SELECT leaf, m.iso, s_name AS doculect FROM m LEFT JOIN a USING (iso) JOIN nation n ON n.n_name = coalesce(other, m.iso) JOIN supplier ON s_nationkey = n.n_nationkey")
+def iso_join(spark, d):
+    n = table(spark, d, "nation")
+    languages = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("ID"), F.col("n_name").alias("ISO639P3code"))
+    return readers.iso_join(n.select(F.concat(F.lit("leaf_"), "n_nationkey").alias("leaf"), F.col("n_name").alias("iso")), languages, spark.createDataFrame(ALIASES, "iso string, other string"))
+
+
+@query("WITH f AS (SELECT DISTINCT lang || '_' || source AS stem FROM documents WHERE lang <> 'es'), w AS (SELECT DISTINCT lang AS iso, source AS script FROM documents), a(iso, other) AS (VALUES ('en', 'fr'), ('en', 'de'), ('de', 'fr')), o AS (SELECT 'es' AS iso, source AS script, 'en_' || source AS stem, 1 AS ord FROM (SELECT DISTINCT source FROM documents)), c AS (SELECT iso, script, 0 AS kind, '' AS place, iso || '_' || script AS stem FROM w UNION ALL SELECT iso, script, 1, other, other || '_' || script FROM w JOIN a USING (iso) UNION ALL SELECT iso, script, 2, ord::VARCHAR, stem FROM w JOIN o USING (iso, script)), b AS (SELECT iso, script, arg_min(stem, (kind, place, stem)) AS stem FROM c SEMI JOIN f USING (stem) GROUP BY iso, script) SELECT iso, script, stem FROM w LEFT JOIN b USING (iso, script)")
+def line_files(spark, d):
+    t = table(spark, d, "documents")
+    wanted = t.select(F.col("lang").alias("iso"), F.col("source").alias("script")).distinct()
+    files = t.where("lang <> 'es'").select(F.concat_ws("_", "lang", "source").alias("stem"))
+    over = t.select("source").distinct().select(F.lit("es").alias("iso"), F.col("source").alias("script"), F.concat(F.lit("en_"), "source").alias("stem"), F.lit(1).alias("ord"))
+    return readers.line_files(wanted, files, spark.createDataFrame([("en", "fr"), ("en", "de"), ("de", "fr")], "iso string, other string"), over)
+
+
+@query("WITH u AS (SELECT role AS leaf, text, row_number() OVER (PARTITION BY role ORDER BY lpad(conv_id::VARCHAR, 12, '0') || ':' || lpad(turn::VARCHAR, 6, '0')) AS r FROM conversations WHERE trim(text) <> '') SELECT leaf, md5(text) AS line FROM u WHERE r <= 300")
+def usable_lines(spark, d):
+    t = table(spark, d, "conversations")
+    place = F.concat(F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("turn").cast("string"), 6, "0"))
+    return readers.usable_lines(t.select(F.col("role").alias("leaf"), place.alias("unit_id"), "text")).select("leaf", F.md5(F.col("text").cast("binary")).alias("line"))
+
+
+@query(r"WITH s AS (SELECT doc_id::VARCHAR AS leaf, regexp_split_to_array(text, '[\n.!?。।]+') AS ps FROM documents WHERE text IS NOT NULL), x AS (SELECT leaf, unnest(range(len(ps))) AS i, regexp_replace(unnest(ps), '^\s+|\s+$', '', 'g') AS part FROM s), r AS (SELECT leaf, part, row_number() OVER (PARTITION BY leaf ORDER BY i) AS r FROM x WHERE length(part) > 8) SELECT leaf, md5(part) AS line FROM r WHERE r <= 300")
+def text_parts(spark, d):
+    """Documents without units fall back to the parts of their texts."""
+    t = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("leaf"), "text")
+    none = t.limit(0).withColumn("unit_id", F.lit(0))
+    return readers.usable_lines(none, t).select("leaf", F.md5(F.col("text").cast("binary")).alias("line"))
+
+
+@query("SELECT source, arg_min(lang, (CASE lang WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END, lang)) AS lang FROM documents GROUP BY source")
+def preferred_script(spark, d):
+    return neighbors.preferred(table(spark, d, "documents").select("source", "lang").distinct(), "source", "lang", ["fr", "de"])
+
+
+@query(SQL["mantel_r"].partition("x AS (SELECT 1) SELECT")[0] + "x AS (SELECT 1) SELECT i, j, abs(d.d - d1.d) <= 0.12 AS near FROM d JOIN d1 USING (i, j)")
+def within_tolerance(spark, d):
+    a, b = distances.js(grams(spark, d)), distances.js(grams(spark, d, 1)).withColumnRenamed("d", "e")
+    return a.join(b, ["i", "j"]).select("i", "j", tx.within(F.col("d"), F.col("e")).alias("near"))
+
+
+@query("WITH f AS (SELECT unnest(['Altaic', 'Altaic(?)', 'Uralic (?)', '', ' ', 'Indo-European']) AS family UNION ALL SELECT r_name || '(?)' FROM region) SELECT family, CASE family WHEN 'Altaic' THEN 'Turkic' WHEN 'Altaic(?)' THEN 'Koreanic' ELSE coalesce(nullif(trim(replace(family, '(?)', '')), ''), 'NA') END AS fixed FROM f")
+def family_names(spark, d):
+    names = spark.createDataFrame([(x,) for x in ("Altaic", "Altaic(?)", "Uralic (?)", "", " ", "Indo-European")], "family string")
+    t = names.unionByName(table(spark, d, "region").select(F.concat("r_name", F.lit("(?)")).alias("family")))
+    return t.select("family", tx.fixed_family(F.col("family")).alias("fixed"))
+
+
+@query("WITH t AS (SELECT role, conv_id::VARCHAR AS unit_id, arg_min(text, turn) AS text FROM conversations GROUP BY ALL), common AS (SELECT unit_id FROM t GROUP BY unit_id HAVING count(*) = (SELECT count(DISTINCT role) FROM t) ORDER BY unit_id LIMIT 4000) SELECT role AS leaf, unit_id, md5(text) AS text FROM t WHERE unit_id IN (SELECT unit_id FROM common)")
+def aligned_corpus(spark, d):
+    """Roles as files, conversations as units by each role's first text: those that all roles have, the first 4,000."""
+    t = table(spark, d, "conversations").groupBy(F.col("role").alias("file"), F.col("conv_id").cast("string").alias("unit_id")).agg(F.min_by("text", "turn").alias("text"))
+    meta = t.select(F.col("file").alias("Filename"), F.col("file").alias("leaf")).distinct()
+    return readers.corpus(meta, t).select("leaf", "unit_id", F.md5(F.col("text").cast("binary")).alias("text"))

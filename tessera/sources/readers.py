@@ -46,15 +46,36 @@ def present(meta: DataFrame, files: DataFrame) -> DataFrame:
     return meta.join(files.select(F.col("file").alias("Filename")).distinct(), "Filename", "left_semi")
 
 
-def corpus(meta: DataFrame, units: DataFrame, cap: int | None = 4000, align: bool = True) -> DataFrame:
-    """leaf, unit_id, text: units of the files in meta (Filename, leaf); aligned, only units that all leaves have, the first cap of them."""
-    t = units.join(F.broadcast(meta.select(F.col("Filename").alias("file"), "leaf")), "file").select("leaf", "unit_id", "text")
-    if not align:
-        return t if cap is None else t.withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy("unit_id"))).where(F.col("r") <= cap).drop("r")
-    from ..operators.neighbors import common_units
+def corpus(meta: DataFrame, units: DataFrame, cap: int | None = 4000, align: bool = True, char_cap: int | None = None, return_units: bool = True) -> DataFrame:
+    """leaf, unit_id, text: units of the files in meta (Filename, leaf); aligned, only units that all leaves have, the first cap of them.
 
-    ids = common_units(t)
-    return t.join(ids if cap is None else ids.limit(cap), "unit_id", "left_semi").select("leaf", "unit_id", "text")
+    char_cap: the leaf's text, its units joined by a space, is cut there. Without return_units: leaf, text, a leaf's whole text as one row.
+    """
+    from ..operators.neighbors import common_units, first_units
+    from ..operators.profiles import capped_units, joined_units
+
+    t = units.join(meta.select(F.col("Filename").alias("file"), "leaf"), "file").select("leaf", "unit_id", "text")
+    if align:
+        ids = common_units(t)
+        t = t.join(ids if cap is None else ids.limit(cap), "unit_id", "left_semi").select("leaf", "unit_id", "text")
+    elif cap is not None:
+        t = first_units(t, cap)
+    if not return_units:
+        return joined_units(t, char_cap)
+    return t if char_cap is None else capped_units(t, char_cap)
+
+
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """file, text: whole text files, one row each, such as a built-in corpus with one text a file id."""
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("text"))
+
+
+def through_cache(cached_texts: DataFrame, wanted: DataFrame, work) -> tuple[DataFrame, DataFrame]:
+    """(all, new): wanted (leaf, text) as the cache (leaf, text) has them, and the rest by work(DataFrame) -> (leaf, text), which also comes alone,
+    to be added to the cache."""
+    hit = cached_texts.join(wanted.select("leaf").distinct(), "leaf", "left_semi")
+    new = work(missing(wanted, cached_texts, "leaf")).select("leaf", "text")
+    return hit.select("leaf", "text").unionByName(new), new
 
 
 def unique_labels(rows: DataFrame, label: str = "label", order: str = "ord") -> DataFrame:
@@ -88,20 +109,43 @@ def first_synonyms(words: DataFrame, order: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, stem: str, cap: int | None = None) -> DataFrame:
-    """unit_id, text of the files stem.dev and stem.devtest, the first cap lines of each, in order."""
+    """unit_id (part:line, in order), text of the files stem.dev and stem.devtest, the first cap lines of each."""
     out = None
-    for k, part in enumerate(("dev", "devtest")):
-        t = spark.read.text(f"{stem}.{part}").withColumn("n", F.monotonically_increasing_id())
-        t = t.select((F.row_number().over(Window.orderBy("n")) - 1).alias("n"), F.col("value").alias("text"))  # a file's own order; such files are small
-        t = (t if cap is None else t.where(F.col("n") < cap)).select((F.col("n") + k * 10_000_000).cast("bigint").alias("unit_id"), "text")
+    for part in ("dev", "devtest"):
+        t = spark.read.text(f"{stem}.{part}", wholetext=True)  # a file's lines stay in its order; such files are small
+        t = t.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\r?\n")).alias("n", "text"))
+        t = (t if cap is None else t.where(F.col("n") < cap)).select(F.format_string(f"{part}:%012d", "n").alias("unit_id"), "text")
         out = t if out is None else out.unionByName(t)
     return out
 
 
-def usable_lines(rows: DataFrame, most: int = 300, least_chars: int = 1) -> DataFrame:
-    """The first `most` non-empty lines of each leaf."""
-    t = rows.where(F.length(F.trim("text")) >= least_chars)
-    return t.withColumn("r", F.row_number().over(Window.partitionBy("leaf").orderBy("unit_id"))).where(F.col("r") <= most).drop("r")
+#: Where a text without units is cut, and the fewest characters but one of a usable part.
+SENTENCE_ENDS, LEAST_PART = r"[\n.!?。।]+", 8
+
+
+def usable_lines(units: DataFrame, texts: DataFrame | None = None, most: int = 300) -> DataFrame:
+    """leaf, text: the first `most` units (leaf, unit_id, text) of each leaf that aren't blank; of leaves without any, the first parts of
+    texts (leaf, text), cut at line and sentence ends, of more than 8 characters."""
+    from ..operators.neighbors import first_units
+
+    own = first_units(units.where(F.trim("text") != ""), most).select("leaf", "text")
+    if texts is None:
+        return own
+    parts = missing(texts, own, "leaf").select("leaf", F.posexplode(F.split("text", SENTENCE_ENDS)).alias("unit_id", "text"))
+    trimmed = parts.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.length("text") > LEAST_PART)
+    return own.unionByName(first_units(trimmed, most).select("leaf", "text"))
+
+
+def line_files(wanted: DataFrame, files: DataFrame, aliases: DataFrame, overrides: DataFrame) -> DataFrame:
+    """iso, script, stem: for each wanted (iso, script) the line corpus's file among files (stem): iso_script if it is there, else the first
+    other_script of the aliases (iso, other), else the first of the overrides (iso, script, stem, ord); null if there is none."""
+    key = ["iso", "script"]
+    direct = wanted.select(*key, F.lit(0).alias("kind"), F.lit("").alias("by"), F.concat_ws("_", *key).alias("stem"))
+    alias = wanted.join(aliases, "iso").select(*key, F.lit(1).alias("kind"), F.col("other").alias("by"), F.concat_ws("_", "other", "script").alias("stem"))
+    other = wanted.join(overrides, key).select(*key, F.lit(2).alias("kind"), F.format_string("%09d", "ord").alias("by"), "stem")
+    there = direct.unionByName(alias).unionByName(other).join(files.select("stem").distinct(), "stem", "left_semi")
+    best = there.groupBy(*key).agg(F.min(F.struct("kind", "by", "stem")).alias("b"))
+    return wanted.select(*key).distinct().join(best, key, "left").select(*key, F.col("b.stem").alias("stem"))
 
 
 def iso_join(meta: DataFrame, languages: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def rows(columns, values):
     return sorted((tuple(clean(v[k]) for k in order) for v in values), key=str)
 
 
-@pytest.mark.parametrize("name", ["ngram_counts", "js_trigram", "js_lidstone", "perplexity_distance", "jaccard_alphabet", "conditional_ladder", "wordlist_levenshtein", "cognate_distance", "flagship", "gqd_from_splits", "quartet_delta", "rf_from_splits", "common_units", "dominant_label", "grassberger", "matrix_fill", "containing_clade"])
+@pytest.mark.parametrize("name", ["joined_ngram_counts", "capped_ngram_counts", "js_lidstone", "perplexity_distance", "jaccard_alphabet", "conditional_ladder", "cognate_distance", "flagship", "gqd_from_splits", "rf_from_splits", "common_units", "grassberger", "containing_clade", "mantel_p", "block_bootstrap", "binary_matrix", "genealogy_splits", "delta_by_clade", "line_files", "text_parts"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
