@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ndist
+from .held import held, sent
 from .profiles import sizes
 
 
@@ -37,23 +38,23 @@ def js(profiles: DataFrame, alpha: float = 0.0, leaves: DataFrame | None = None)
     inner join on gram is needed. With alpha, shares are (c + alpha) / (n + alpha * k), k being the grams of the pair; parts of
     one-sided grams then depend on their count alone and come from a histogram of counts.
     """
-    total = sizes(profiles)
-    every = pairs(leaves if leaves is not None else profiles.select("leaf"))
+    profiles = held(profiles)
+    total = sent(sizes(profiles))
+    every = pairs(leaves if leaves is not None else total.select("leaf"))
     if alpha == 0:
-        shares = profiles.join(F.broadcast(total.select("leaf", "n")), "leaf").select("leaf", "gram", (F.col("c") / F.col("n")).alias("p"))
+        shares = profiles.join(total.select("leaf", "n"), "leaf").select("leaf", "gram", (F.col("c") / F.col("n")).alias("p"))
         part = F.sum(half(F.col("p_i"), F.col("p_j")) - (F.col("p_i") + F.col("p_j")) / 2)
         div = overlap(shares, shares, "gram").groupBy("i", "j").agg(part.alias("s"))
         return every.join(div, ["i", "j"], "left").select("i", "j", F.sqrt(F.greatest(F.lit(0.0), 1.0 + F.coalesce("s", F.lit(0.0)))).alias("d"))
     both = overlap(profiles, profiles, "gram").select("i", "j", "c_i", "c_j")
-    counts = both.groupBy("i", "j", "c_i", "c_j").agg(F.count("*").alias("m"))  # pairs of counts repeat often
-    shared = counts.groupBy("i", "j").agg(F.sum("m").alias("both"))
+    shared = both.groupBy("i", "j").agg(F.count("*").alias("both"))
     side = lambda x: total.select(F.col("leaf").alias(x), F.col("n").alias(f"n_{x}"), F.col("k").alias(f"k_{x}"))
-    about = every.join(F.broadcast(side("i")), "i").join(F.broadcast(side("j")), "j").join(shared, ["i", "j"], "left")
-    about = about.withColumn("k", F.col("k_i") + F.col("k_j") - F.coalesce("both", F.lit(0))).select("i", "j", "n_i", "n_j", "k")
+    about = every.join(side("i"), "i").join(side("j"), "j").join(shared, ["i", "j"], "left")
+    about = sent(about.withColumn("k", F.col("k_i") + F.col("k_j") - F.coalesce("both", F.lit(0))).select("i", "j", "n_i", "n_j", "k"))
     term = lambda a, b: half((a + alpha) / (F.col("n_i") + alpha * F.col("k")), (b + alpha) / (F.col("n_j") + alpha * F.col("k")))
     none = F.lit(0.0)
-    inner = counts.join(about, ["i", "j"]).groupBy("i", "j").agg(F.sum(F.col("m") * (term(F.col("c_i"), F.col("c_j")) - term(F.col("c_i"), none) - term(none, F.col("c_j")))).alias("s"))
-    histogram = profiles.groupBy("leaf", "c").agg(F.count("*").alias("m"))
+    inner = both.join(about, ["i", "j"]).groupBy("i", "j").agg(F.sum(term(F.col("c_i"), F.col("c_j")) - term(F.col("c_i"), none) - term(none, F.col("c_j"))).alias("s"))
+    histogram = held(profiles.groupBy("leaf", "c").agg(F.count("*").alias("m")))
     left = histogram.join(about, F.col("leaf") == F.col("i")).select("i", "j", (F.col("m") * term(F.col("c"), none)).alias("s"))
     right = histogram.join(about, F.col("leaf") == F.col("j")).select("i", "j", (F.col("m") * term(none, F.col("c"))).alias("s"))
     div = inner.unionByName(left).unionByName(right).groupBy("i", "j").agg(F.sum("s").alias("s"))
@@ -62,11 +63,12 @@ def js(profiles: DataFrame, alpha: float = 0.0, leaves: DataFrame | None = None)
 
 def jaccard(profiles: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """1 less the share of common grams, space apart; 0 for two empty sets. Unigram profiles give the distance of alphabets."""
+    profiles = held(profiles)
     sets = profiles.where("gram <> ' '").select("leaf", "gram")
-    k = sets.groupBy("leaf").agg(F.count("*").alias("k"))
+    k = sent(sets.groupBy("leaf").agg(F.count("*").alias("k")))
     both = overlap(sets, sets, "gram").groupBy("i", "j").agg(F.count("*").alias("both"))
     every = pairs(leaves if leaves is not None else profiles.select("leaf"))
-    of = lambda x: F.broadcast(k.select(F.col("leaf").alias(x), F.col("k").alias(f"k_{x}")))
+    of = lambda x: k.select(F.col("leaf").alias(x), F.col("k").alias(f"k_{x}"))
     t = every.join(of("i"), "i", "left").join(of("j"), "j", "left").join(both, ["i", "j"], "left").fillna(0)
     union = F.col("k_i") + F.col("k_j") - F.col("both")
     return t.select("i", "j", F.when(union == 0, 0.0).otherwise(1 - F.col("both") / union).alias("d"))
@@ -78,23 +80,25 @@ def perplexity(profiles: DataFrame, alpha: float = 0.1, symbols: int | None = No
     A model gives (c + alpha) / (total + alpha * v) for a context it knows, else 1 / v; v is the number of distinct characters of all
     profiles (2 at least). Grams whose context a model doesn't know aren't joined: they are what is left of the leaf's total.
     """
+    profiles = held(profiles)
     grams = profiles.select("leaf", "gram", "c", F.expr("substring(gram, 1, length(gram) - 1)").alias("ctx"))
     v = F.lit(symbols) if symbols else None
     if v is None:
-        chars = profiles.select(F.explode(F.split("gram", "")).alias("ch")).where("ch <> ''").agg(F.greatest(F.countDistinct("ch"), F.lit(2)).alias("v"))
+        chars = profiles.select("gram").distinct().select(F.explode(F.split("gram", "")).alias("ch")).where("ch <> ''").agg(F.greatest(F.countDistinct("ch"), F.lit(2)).alias("v"))
     model = grams.groupBy(F.col("leaf").alias("m"), "ctx").agg(F.sum("c").alias("total"))
     own = grams.select(F.col("leaf").alias("m"), "gram", F.col("c").alias("seen"))
-    total = grams.groupBy("leaf").agg(F.sum("c").alias("n"))
+    total = sent(grams.groupBy("leaf").agg(F.sum("c").alias("n")))
     scored = grams.join(model, "ctx").join(own, ["m", "gram"], "left")
     scored = scored.crossJoin(F.broadcast(chars)) if v is None else scored.withColumn("v", v)
     p = (F.coalesce("seen", F.lit(0)) + alpha) / (F.col("total") + alpha * F.col("v"))
     known = scored.groupBy("leaf", "m").agg(F.sum(-F.col("c") * F.log2(p)).alias("bits"), F.sum("c").alias("known"))
-    every = total.crossJoin(F.broadcast(total.select(F.col("leaf").alias("m"))))
+    every = total.crossJoin(total.select(F.col("leaf").alias("m")))  # the result has a row for each pair itself
     every = every.crossJoin(F.broadcast(chars)) if v is None else every.withColumn("v", v)
     ce = every.join(known, ["leaf", "m"], "left").fillna(0, ["bits", "known"])
     ce = ce.select("leaf", "m", ((F.col("bits") + (F.col("n") - F.col("known")) * F.log2(F.col("v").cast("double"))) / F.col("n")).alias("ce"))
-    itself = ce.where("leaf = m").select("leaf", F.col("ce").alias("own"))
-    excess = ce.join(F.broadcast(itself), "leaf").where("leaf <> m").select(F.least("leaf", "m").alias("i"), F.greatest("leaf", "m").alias("j"), (F.col("ce") - F.col("own")).alias("x"))
+    ce = held(ce)
+    itself = sent(ce.where("leaf = m").select("leaf", F.col("ce").alias("own")))
+    excess = ce.join(itself, "leaf").where("leaf <> m").select(F.least("leaf", "m").alias("i"), F.greatest("leaf", "m").alias("j"), (F.col("ce") - F.col("own")).alias("x"))
     return excess.groupBy("i", "j").agg(F.greatest(F.lit(0.0), F.sum("x") / 2).alias("d"))
 
 
@@ -118,7 +122,7 @@ def shared_summary(dist: DataFrame) -> DataFrame:
 def blocks(groups: DataFrame) -> DataFrame:
     """0 for leaves of one group, 1 for others, from (leaf, group)."""
     g = lambda x: groups.select(F.col("leaf").alias(x), F.col("group").alias(f"g{x}"))
-    return pairs(groups.select("leaf")).join(F.broadcast(g("i")), "i").join(F.broadcast(g("j")), "j").select("i", "j", F.when(F.col("gi").eqNullSafe(F.col("gj")), 0.0).otherwise(1.0).alias("d"))
+    return pairs(groups.select("leaf")).join(g("i"), "i").join(g("j"), "j").select("i", "j", F.when(F.col("gi").eqNullSafe(F.col("gj")), 0.0).otherwise(1.0).alias("d"))
 
 
 SEPARATOR = b"\x01"

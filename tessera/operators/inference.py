@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
 from .distances import half, overlap, symmetric
+from .held import held, sent
 from .profiles import draws
 from .trees import build, splits
 
@@ -27,8 +28,9 @@ def permutations(leaves: DataFrame, reps: int, seed: int = 0) -> DataFrame:
 
 def _permuted(d2: DataFrame, reps: int, seed: int) -> DataFrame:
     """rep, i, j, y: the second matrix with permuted leaves, i < j."""
+    d2 = held(d2)
     perm = permutations(d2.select("i").union(d2.select("j")), reps, seed)  # the matrix's own leaves
-    full = symmetric(d2).withColumnRenamed("d", "y")
+    full = sent(symmetric(d2).withColumnRenamed("d", "y"))
     a, b = (perm.select("rep", F.col("leaf").alias(x), F.col("other").alias(f"o{x}")) for x in "ij")
     return a.join(b, "rep").where("i < j").join(full.select(F.col("i").alias("oi"), F.col("j").alias("oj"), "y"), ["oi", "oj"]).select("rep", "i", "j", "y")
 
@@ -41,7 +43,7 @@ def _verdict(per_rep: DataFrame, reps: int) -> DataFrame:
 
 def mantel(d1: DataFrame, d2: DataFrame, perms: int = 999, seed: int = 0) -> DataFrame:
     """r and its two-sided p: (1 + permutations with |r| as large) / (perms + 1)."""
-    t = _permuted(d2, perms, seed).join(F.broadcast(d1.select("i", "j", F.col("d").alias("x"))), ["i", "j"])
+    t = _permuted(d2, perms, seed).join(sent(d1.select("i", "j", F.col("d").alias("x"))), ["i", "j"])
     return _verdict(t.groupBy("rep").agg(F.corr("x", "y").alias("r")), perms)
 
 
@@ -51,9 +53,9 @@ def partial_mantel(d1: DataFrame, d2: DataFrame, control: DataFrame, perms: int
     x = d1.select("i", "j", F.col("d").alias("x")).join(z, ["i", "j"])
     fit = x.agg(F.regr_slope("x", "z").alias("b"), F.regr_intercept("x", "z").alias("a"))
     left = x.crossJoin(F.broadcast(fit)).select("i", "j", "z", (F.col("x") - F.col("a") - F.col("b") * F.col("z")).alias("ex"))
-    t = _permuted(d2, perms, seed).join(F.broadcast(left), ["i", "j"])
+    t = _permuted(d2, perms, seed).join(sent(left), ["i", "j"])
     own = t.groupBy("rep").agg(F.regr_slope("y", "z").alias("b"), F.regr_intercept("y", "z").alias("a"))
-    r = t.join(F.broadcast(own), "rep").groupBy("rep").agg(F.corr("ex", F.col("y") - F.col("a") - F.col("b") * F.col("z")).alias("r"))
+    r = t.join(sent(own), "rep").groupBy("rep").agg(F.corr("ex", F.col("y") - F.col("a") - F.col("b") * F.col("z")).alias("r"))
     return _verdict(r, perms)
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distances import subset, symmetric
+from .held import held, sent
 
 TOLERANCE = 1e-9
 
 
 def nearest(dist: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """i, j, d, ties: each leaf's nearest leaf, the first by name among those within tolerance, and how many those are."""
-    both = symmetric(dist)
+    both = symmetric(held(dist))
     least = both.groupBy("i").agg(F.min("d").alias("least"))
     near = both.join(least, "i").where(F.col("d") <= F.col("least") + tolerance)
     return near.groupBy("i").agg(F.min("j").alias("j"), F.first("least").alias("d"), F.count("*").alias("ties"))
@@ -54,7 +55,8 @@ def subset_purity(dist: DataFrame, groups: DataFrame, members: DataFrame, tie: s
 
 def bias(dist: DataFrame, sizes: DataFrame) -> DataFrame:
     """Correlations of distance with the larger of the pair's k, and with their difference, from sizes (leaf, k)."""
-    k = lambda x: F.broadcast(sizes.select(F.col("leaf").alias(x), F.col("k").alias(f"k{x}")))
+    known = sent(sizes.select("leaf", "k"))
+    k = lambda x: known.select(F.col("leaf").alias(x), F.col("k").alias(f"k{x}"))
     t = dist.join(k("i"), "i").join(k("j"), "j")
     return t.agg(F.corr("d", F.greatest("ki", "kj").cast("double")).alias("r_max"), F.corr("d", F.abs(F.col("ki") - F.col("kj")).cast("double")).alias("r_diff"))
 

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .held import sent
+
 
 #: Quartets drawn where there are too many to take all: for the quartet distance, and for the delta score.
 GQD_SAMPLE, DELTA_SAMPLE = 400_000, 200_000
@@ -29,7 +31,7 @@ def quartets(leaves: DataFrame, max_full: int = 70, n_sample: int = GQD_SAMPLE,
 def topology(quads: DataFrame, splits: DataFrame, name: str) -> DataFrame:
     """quads with the leaf that stands with a by the first split that cuts a quartet in two pairs; null if none does."""
     side = lambda x: F.array_contains("split", F.col(x)).cast("int")
-    t = quads.select("a", "b", "c", "e").distinct().join(F.broadcast(splits.select("split")), (side("a") + side("b") + side("c") + side("e")) == 2)
+    t = quads.select("a", "b", "c", "e").distinct().join(sent(splits.select("split")), (side("a") + side("b") + side("c") + side("e")) == 2)
     partner = F.when(side("a") == side("b"), F.col("b")).when(side("a") == side("c"), F.col("c")).otherwise(F.col("e"))
     found = t.groupBy("a", "b", "c", "e").agg(F.min(partner).alias(name))
     return quads.join(found, ["a", "b", "c", "e"], "left")
@@ -44,9 +46,9 @@ def gqd(quads: DataFrame, inferred: DataFrame, gold: DataFrame) -> DataFrame:
 
 def delta(quads: DataFrame, dist: DataFrame) -> DataFrame:
     """delta: the mean over quartets of (largest - middle) / (largest - least) of the three pair sums; 0 where those are equal."""
-    t = quads
+    t, known = quads, sent(dist.select("i", "j", "d"))
     for x, y in combinations("abce", 2):
-        t = t.join(F.broadcast(dist.select(F.col("i").alias(x), F.col("j").alias(y), F.col("d").alias(x + y))), [x, y])
+        t = t.join(known.select(F.col("i").alias(x), F.col("j").alias(y), F.col("d").alias(x + y)), [x, y])
     s = F.array_sort(F.array(F.col("ab") + F.col("ce"), F.col("ac") + F.col("be"), F.col("ae") + F.col("bc")))
     span = s[2] - s[0]
     return t.agg(F.avg(F.when(span <= 1e-12, 0.0).otherwise((s[2] - s[1]) / span)).alias("delta"), F.count("*").alias("n"))
@@ -56,8 +58,9 @@ def clade_delta(dist: DataFrame, clades: DataFrame) -> DataFrame:
     """clade, delta, n of (clade, leaf) with 4 members or more, each over its own quartets."""
     m = lambda x: clades.select("clade", F.col("leaf").alias(x))
     q = m("a").join(m("b"), "clade").where("a < b").join(m("c"), "clade").where("b < c").join(m("e"), "clade").where("c < e")
+    known = sent(dist.select("i", "j", "d"))
     for x, y in combinations("abce", 2):
-        q = q.join(F.broadcast(dist.select(F.col("i").alias(x), F.col("j").alias(y), F.col("d").alias(x + y))), [x, y])
+        q = q.join(known.select(F.col("i").alias(x), F.col("j").alias(y), F.col("d").alias(x + y)), [x, y])
     s = F.array_sort(F.array(F.col("ab") + F.col("ce"), F.col("ac") + F.col("be"), F.col("ae") + F.col("bc")))
     span = s[2] - s[0]
     return q.groupBy("clade").agg(F.avg(F.when(span <= 1e-12, 0.0).otherwise((s[2] - s[1]) / span)).alias("delta"), F.count("*").alias("n"))

@@ -196,12 +196,12 @@ def internal_bipartitions(splits: DataFrame) -> DataFrame:
     return splits.select("split").distinct().agg(F.count("*").alias("n"))
 
 
-def smaller_sides(sides: DataFrame, every: DataFrame) -> DataFrame:
-    """split: the smaller sides (of equal ones the first) of the splits that side cuts off from every, one row; each once, trivial ones left out."""
+def smaller_sides(sides: DataFrame, every: DataFrame, *by: str) -> DataFrame:
+    """The columns of by, split: the smaller sides (of equal ones the first) of the splits that side cuts off from every, one row; each once, trivial ones left out."""
     t = sides.crossJoin(F.broadcast(every)).withColumn("other", F.array_sort(F.array_except("every", "side")))
     t = t.where((F.size("side") >= 2) & (F.size("other") >= 2))
     smaller = F.when(F.size("side") < F.size("other"), F.col("side")).when(F.size("side") > F.size("other"), F.col("other")).otherwise(F.least("side", "other"))
-    return t.select(smaller.alias("split")).distinct()
+    return t.select(*by, smaller.alias("split")).distinct()
 
 
 def lineage_splits(lineages: DataFrame) -> DataFrame:
@@ -305,24 +305,19 @@ def random_null(spark, names: list[str], gold: str, n: int = 500, seed: int = 0)
     return spark.range(n).mapInPandas(run, "rep bigint, rf double")
 
 
-def label_shuffle_null(spark, tree: str, gold: str, n: int = 500, seed: int = 0) -> DataFrame:
-    """rep, rf of a tree with shuffled labels against a gold tree, over 2 (leaves - 3), n times."""
-    import re
-
-    names = sorted(max(parsed(tree), key=len))
-
-    def run(batches):
-        want = splits_of(gold)
-        for g in batches:
-            out = []
-            for r in g["id"]:
-                drawn = list(names)
-                random.Random(seed * 1_000_003 + int(r)).shuffle(drawn)
-                other = dict(zip(names, drawn, strict=True))
-                out.append(len(splits_of(re.sub(r"[^(),;]+", lambda m: other.get(m[0], m[0]), tree)) ^ want) / max(1, 2 * (len(names) - 3)))
-            yield pd.DataFrame({"rep": g["id"], "rf": out})
+def label_shuffle_null(tree: DataFrame, gold: DataFrame, leaves: DataFrame, n: int = 500, seed: int = 0) -> DataFrame:
+    """rep, rf of a tree's splits, its leaves shuffled n times, against the splits of gold, over 2 (leaves - 3)."""
+    from .inference import permutations
 
-    return spark.range(n).mapInPandas(run, "rep bigint, rf double")
+    drawn = permutations(leaves, n, seed).where("rep > 0")
+    numbered = tree.select("split").distinct().select(F.array_join("split", "|").alias("id"), "split")
+    sides = numbered.select("id", F.explode("split").alias("leaf")).join(drawn, "leaf").groupBy("rep", "id").agg(F.array_sort(F.collect_list("other")).alias("side"))
+    every = leaves.agg(F.array_sort(F.collect_set(leaves.columns[0])).alias("every"))
+    other = smaller_sides(sides, every, "rep")
+    want = gold.select("split").distinct()
+    shared = other.join(want.withColumn("in", F.lit(1)), "split", "left").groupBy("rep").agg(F.count("*").alias("n"), F.count("in").alias("both"))
+    size = want.agg(F.count("*").alias("m")).crossJoin(every.select(F.size("every").alias("leaves")))  # one row
+    return shared.crossJoin(F.broadcast(size)).select("rep", ((F.col("n") + F.col("m") - 2 * F.col("both")) / (2 * (F.col("leaves") - 3))).alias("rf"))
 
 
 def tree_comparison(spark, inferred: str, gold: str, n_null: int = 300, seed: int = 0) -> DataFrame:

@@ -307,6 +307,18 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("n_name").alias("leaf"), F.col("r_name").alias("family"), F.substring("n_name", 8, 1).alias("initial"))  # of NATION_12: 1, which cuts across regions
 
 
+#: Average linkage of d9 (i, j, d), step by step: ut has the distances of all live clusters before each step, mg the merges, an each leaf's clusters.
+UPGMA = """d9 AS (SELECT i, j, round(d, 9) AS d FROM d), lf AS (SELECT leaf, row_number() OVER (ORDER BY leaf) - 1 AS id FROM lv), nl AS (SELECT count(*) AS n FROM lf),
+ut(step, i, j, d, si, sj) AS (SELECT 0::BIGINT, a.id, b.id, d9.d, 1::BIGINT, 1::BIGINT FROM d9 JOIN lf a ON a.leaf = d9.i JOIN lf b ON b.leaf = d9.j
+UNION ALL SELECT * FROM (WITH mn AS (SELECT any_value(step) AS s, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j)) AS b, arg_min(si, (d, i, j)) AS sa, arg_min(sj, (d, i, j)) AS sb FROM ut)
+SELECT step + 1, i, j, d, si, sj FROM ut, mn WHERE i NOT IN (a, b) AND j NOT IN (a, b)
+UNION ALL SELECT s + 1, x, (SELECT n FROM nl) + s, (sa * max(d) FILTER (o = a) + sb * max(d) FILTER (o = b)) / (sa + sb), max(sx), sa + sb
+FROM (SELECT CASE WHEN i IN (a, b) THEN j ELSE i END AS x, CASE WHEN i IN (a, b) THEN i ELSE j END AS o, CASE WHEN i IN (a, b) THEN sj ELSE si END AS sx, d, s, a, b, sa, sb FROM ut, mn WHERE (i IN (a, b)) <> (j IN (a, b))) GROUP BY x, s, a, b, sa, sb)),
+mg AS (SELECT step, arg_min(i, (d, i, j)) AS l, arg_min(j, (d, i, j)) AS r, min(d) AS h, arg_min(si + sj, (d, i, j)) AS size FROM ut GROUP BY step),
+an(leaf, node, step, path) AS (SELECT leaf, id, -1::BIGINT, '' FROM lf UNION ALL SELECT an.leaf, nl.n + mg.step, mg.step, CASE WHEN mg.l = an.node THEN '0' ELSE '1' END || an.path FROM an JOIN mg ON an.node IN (mg.l, mg.r), nl), """
+UD3 = D3.replace("WITH ", "WITH RECURSIVE ", 1) + UPGMA
+
+
 GS = """t AS (SELECT n_name AS leaf, r_name AS family, n_name[8] AS initial FROM nation JOIN region ON n_regionkey = r_regionkey), n AS (SELECT count(*) AS n FROM t),
 sp(lv, split) AS (SELECT 'family', list(leaf ORDER BY leaf) FROM t GROUP BY family UNION ALL SELECT 'initial', list(leaf ORDER BY leaf) FROM t GROUP BY initial),
 gs AS (SELECT DISTINCT lv, CASE WHEN len(split) * 2 <= n THEN split ELSE (SELECT list(leaf ORDER BY leaf) FROM t WHERE NOT list_contains(split, leaf)) END AS split FROM sp, n WHERE len(split) >= 2 AND n - len(split) >= 2) """
@@ -512,12 +524,12 @@ def ncd_fixed(spark, d):
     return rounded(distances.ncd(profiles.joined_units(units(spark, d), 30_000), "fixed"))
 
 
-@query()
+@query(f"{UD3}x AS (SELECT 1) SELECT step::INT AS step, l::INT AS left_id, r::INT AS right_id, round(h, 6) AS height, size::INT AS size FROM mg")
 def upgma(spark, d):
     return rounded(trees.linkage(js9(spark, d))[0])
 
 
-@query()
+@query(f"{UD3}x AS (SELECT leaf, max(node) AS node FROM an, nl WHERE step < n - 4 GROUP BY leaf), y AS (SELECT leaf, min(leaf) OVER (PARTITION BY node) AS first FROM x) SELECT leaf, dense_rank() OVER (ORDER BY first)::INT AS cluster FROM y")
 def flat_clusters(spark, d):
     return trees.linkage(js9(spark, d))[1]
 
@@ -527,12 +539,14 @@ def nj(spark, d):
     return trees.build(js9(spark, d), "nj")
 
 
-@query()
+@query(f"{UD3}x AS (SELECT a.leaf AS i, b.leaf AS j, min(a.step) AS step FROM an a JOIN an b ON a.node = b.node AND a.leaf < b.leaf GROUP BY ALL) SELECT round(corr(d, h), 6) AS r FROM x JOIN mg USING (step) JOIN d9 USING (i, j)")
 def cophenetic(spark, d):
     return rounded(trees.cophenetic_corr(js9(spark, d)))
 
 
-@query()
+@query(f"""{UD3}{G}ev AS (SELECT list(leaf ORDER BY leaf) AS every FROM lf), sd AS (SELECT 't' AS k, list(leaf ORDER BY leaf) AS side FROM an GROUP BY node UNION ALL SELECT 'g', list(leaf ORDER BY leaf) FROM g GROUP BY grp),
+o AS (SELECT k, side, list_sort(list_filter(every, lambda x: NOT list_contains(side, x))) AS other FROM sd, ev), sp AS (SELECT DISTINCT k, CASE WHEN len(side) < len(other) THEN side WHEN len(side) > len(other) THEN other ELSE least(side, other) END AS split FROM o WHERE len(side) >= 2 AND len(other) >= 2),
+z AS (SELECT split, count(*) AS n FROM sp GROUP BY split) SELECT round(count(*) FILTER (n = 1) / sum(n), 6) AS rf FROM z""".replace("o AS (SELECT k,", "oo AS (SELECT k,").replace("FROM o WHERE", "FROM oo WHERE"))
 def tree_rf_gold(spark, d):
     tree = trees.build(js9(spark, d))
     return rounded(trees.rf(trees.splits(tree), trees.gold_splits(leaves(spark, d).withColumnRenamed("group", "family"), "family")))
@@ -574,14 +588,17 @@ def genealogy_splits(spark, d):
     return trees.lineage_splits(readers.lineages(spark, genealogy(spark, d))).select(F.array_join("split", "|").alias("split"))
 
 
-@query()
+@query(f"""WITH {GS}, pm AS (SELECT rep, leaf, row_number() OVER (PARTITION BY rep ORDER BY leaf) AS place, row_number() OVER (PARTITION BY rep ORDER BY md5('0:' || rep || ':' || leaf), leaf) AS drawn FROM t, (SELECT unnest(range(1, 501)) AS rep)),
+po AS (SELECT a.rep, a.leaf, b.leaf AS other FROM pm a JOIN pm b ON a.rep = b.rep AND a.place = b.drawn), sd AS (SELECT rep, split, list(other ORDER BY other) AS side FROM (SELECT split, unnest(split) AS leaf FROM gs WHERE lv = 'initial') JOIN po USING (leaf) GROUP BY rep, split),
+oo AS (SELECT rep, side, (SELECT list(leaf ORDER BY leaf) FROM t WHERE NOT list_contains(side, leaf)) AS other FROM sd), sq AS (SELECT DISTINCT rep, CASE WHEN len(side) < len(other) THEN side WHEN len(side) > len(other) THEN other ELSE least(side, other) END AS split FROM oo),
+gg AS (SELECT split FROM gs WHERE lv = 'family') SELECT rep, round((count(*) + (SELECT count(*) FROM gg) - 2 * count(gg.split)) / (2 * ((SELECT n FROM n) - 3)), 6) AS rf FROM sq LEFT JOIN gg USING (split) GROUP BY rep""")
 def label_shuffle_null(spark, d):
-    n = nations(spark, d).orderBy("leaf").collect()  # 25 nations
-    gold, other = (trees.gold_newick([(r["leaf"], r[level]) for r in n]) for level in ("family", "initial"))
-    return rounded(trees.label_shuffle_null(spark, other, gold))
+    n = nations(spark, d)
+    return rounded(trees.label_shuffle_null(trees.gold_splits(n, "initial"), trees.gold_splits(n, "family"), n.select("leaf")))
 
 
-@query()
+@query(f"""{UD3}lx AS (SELECT leaf, 5.0 + 10.0 * (row_number() OVER (ORDER BY arg_max(path, step)) - 1) AS x FROM an GROUP BY leaf), xs(step, x, y) AS (SELECT 0::BIGINT, (SELECT list(lx.x::DOUBLE ORDER BY id) FROM lx JOIN lf USING (leaf)), (SELECT list(0.0::DOUBLE) FROM lf)
+UNION ALL SELECT xs.step + 1, list_append(x, (x[l + 1] + x[r + 1]) / 2), list_append(y, h) FROM xs JOIN mg ON mg.step = xs.step) SELECT mg.step::INT AS step, x[l + 1] AS x_left, x[r + 1] AS x_right, round(y[l + 1], 6) AS y_left, round(y[r + 1], 6) AS y_right, round(h, 6) AS y FROM mg, (SELECT x, y FROM xs ORDER BY step DESC LIMIT 1)""")
 def dendrogram_layout(spark, d):
     return rounded(trees.layout(trees.linkage(js9(spark, d))[0]))
 
@@ -631,7 +648,21 @@ def block_bootstrap(spark, d):
     return rounded(inference.purity_interval(inference.block_replicates(role_units(spark, d), REPS), role_groups(spark, d)))
 
 
-@query()
+#: Average linkage of all replicates at once: an has each leaf's clusters.
+BTREE = """lf AS (SELECT leaf, row_number() OVER (ORDER BY leaf) - 1 AS id FROM (SELECT DISTINCT leaf FROM lv)), nl AS (SELECT count(*) AS n FROM lf),
+ut(rep, step, i, j, d, si, sj) AS (SELECT rep, 0::BIGINT, a.id, b.id, d.d, 1::BIGINT, 1::BIGINT FROM d JOIN lf a ON a.leaf = d.i JOIN lf b ON b.leaf = d.j
+UNION ALL SELECT * FROM (WITH mn AS (SELECT rep, any_value(step) AS s, arg_min(i, (d, i, j)) AS a, arg_min(j, (d, i, j)) AS b, arg_min(si, (d, i, j)) AS sa, arg_min(sj, (d, i, j)) AS sb FROM ut GROUP BY rep)
+SELECT rep, step + 1, i, j, d, si, sj FROM ut JOIN mn USING (rep) WHERE i NOT IN (a, b) AND j NOT IN (a, b)
+UNION ALL SELECT rep, s + 1, x, (SELECT n FROM nl) + s, (sa * max(d) FILTER (o = a) + sb * max(d) FILTER (o = b)) / (sa + sb), max(sx), sa + sb
+FROM (SELECT rep, CASE WHEN i IN (a, b) THEN j ELSE i END AS x, CASE WHEN i IN (a, b) THEN i ELSE j END AS o, CASE WHEN i IN (a, b) THEN sj ELSE si END AS sx, d, s, a, b, sa, sb FROM ut JOIN mn USING (rep) WHERE (i IN (a, b)) <> (j IN (a, b))) GROUP BY rep, x, s, a, b, sa, sb)),
+mg AS (SELECT rep, step, arg_min(i, (d, i, j)) AS l, arg_min(j, (d, i, j)) AS r FROM ut GROUP BY rep, step),
+an(rep, leaf, node) AS (SELECT rep, leaf, id FROM lv JOIN lf USING (leaf) UNION ALL SELECT an.rep, an.leaf, nl.n + mg.step FROM an JOIN mg ON mg.rep = an.rep AND an.node IN (mg.l, mg.r), nl),
+ev AS (SELECT rep, list(leaf ORDER BY leaf) AS every FROM lv GROUP BY rep UNION ALL SELECT -1, list(leaf ORDER BY leaf) FROM lf), sd AS (SELECT rep, list(leaf ORDER BY leaf) AS side FROM an GROUP BY rep, node UNION ALL SELECT -1, list(leaf ORDER BY leaf) FROM lf GROUP BY split_part(leaf, '_', 1)),
+oo AS (SELECT rep, side, list_sort(list_filter(every, lambda x: NOT list_contains(side, x))) AS other FROM sd JOIN ev USING (rep)),
+sp AS (SELECT DISTINCT rep, CASE WHEN len(side) < len(other) THEN side WHEN len(side) > len(other) THEN other ELSE least(side, other) END AS split FROM oo WHERE len(side) >= 2 AND len(other) >= 2), """
+
+
+@query(BOOT.replace("WITH ", "WITH RECURSIVE ", 1) + BTREE + "gg AS (SELECT split FROM sp WHERE rep = -1), rf AS (SELECT rep, (count(*) + (SELECT count(*) FROM gg) - 2 * count(gg.split)) / (count(*) + (SELECT count(*) FROM gg)) AS rf FROM sp LEFT JOIN gg USING (split) WHERE rep >= 0 GROUP BY rep), q AS (SELECT quantile_cont(rf, [0.025, 0.5, 0.975]) AS q FROM rf) SELECT round(q[1], 6) AS lo, round(q[2], 6) AS med, round(q[3], 6) AS hi FROM q")
 def block_bootstrap_rf(spark, d):
     gold = trees.gold_splits(role_groups(spark, d).withColumnRenamed("group", "family"), "family")
     return rounded(inference.rf_interval(inference.block_replicates(role_units(spark, d), REPS), gold))
@@ -642,10 +673,14 @@ def leaf_bootstrap(spark, d):
     return inference.leaf_replicates(role_units(spark, d), "user_0", REPS)
 
 
-@query()
+BOOT_ALL = BOOT.replace("wt AS (SELECT rep, unit_id, count(*) AS w FROM dr JOIN un USING (k) GROUP BY ALL)", f"wt AS (SELECT rep, unit_id, count(*) AS w FROM dr JOIN un USING (k) GROUP BY ALL UNION ALL SELECT {REPS}, unit_id, 1 FROM un)")
+
+
+@query(BOOT_ALL.replace("WITH ", "WITH RECURSIVE ", 1) + BTREE + f"rs AS (SELECT split FROM sp WHERE rep = {REPS}), z AS (SELECT split, count(*) AS n FROM sp WHERE rep BETWEEN 0 AND {REPS - 1} GROUP BY split) SELECT array_to_string(split, '|') AS split, round(coalesce(n, 0) / {REPS}, 6) AS support FROM rs LEFT JOIN z USING (split)")
 def branch_support(spark, d):
     t = role_units(spark, d)
-    return inference.support(distances.js(profiles.profile(t)), inference.block_replicates(t, REPS), REPS)
+    found = inference.support(distances.js(profiles.profile(t)), inference.block_replicates(t, REPS), REPS)
+    return found.select(F.array_join("split", "|").alias("split"), F.round("support", 6).alias("support"))
 
 
 @query()

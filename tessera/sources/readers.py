@@ -96,7 +96,7 @@ def word_list(spark: SparkSession, folder: str, candidates: DataFrame | None = N
     t = spark.read.csv(f"{folder}/forms.csv", header=True, quote='"', escape='"')
     t = t.withColumn("line", F.monotonically_increasing_id())
     if candidates is not None:
-        t = t.join(F.broadcast(candidates.select(F.col(candidates.columns[0]).alias("Language_ID"))), "Language_ID", "left_semi")
+        t = t.join(candidates.select(F.col(candidates.columns[0]).alias("Language_ID")), "Language_ID", "left_semi")
     tokens = F.filter(F.split(F.coalesce(F.col("Segments"), F.lit("")), r"\s+"), lambda x: x != "") if "Segments" in t.columns else F.array().cast("array<string>")
     t = t.select(F.col("Language_ID").alias("leaf"), F.col("Parameter_ID").alias("concept"), F.col("Form").alias("form"), tokens.alias("tokens"), "line")
     return first_synonyms(t, "line")
@@ -150,7 +150,7 @@ def line_files(wanted: DataFrame, files: DataFrame, aliases: DataFrame, override
 
 def iso_join(meta: DataFrame, languages: DataFrame, aliases: DataFrame) -> DataFrame:
     """meta (leaf, iso) with the doculects of its code, or of the code's alias (iso, other)."""
-    t = meta.join(F.broadcast(aliases), "iso", "left").withColumn("code", F.coalesce("other", "iso"))
+    t = meta.join(aliases, "iso", "left").withColumn("code", F.coalesce("other", "iso"))
     return t.join(languages.select(F.col("ID").alias("doculect"), F.col("ISO639P3code").alias("code")), "code").select("leaf", "iso", "doculect")
 
 

@@ -205,8 +205,9 @@ def test_tree_tools(spark):
     dist = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 6.0), ("a", "d", 6.0), ("b", "c", 6.0), ("b", "d", 6.0), ("c", "d", 4.0)], "i string, j string, d double")
     bars = {r.step: (r.x_left, r.x_right, r.y_left, r.y_right, r.y) for r in trees.layout(trees.linkage(dist)[0]).collect()}
     assert bars == {0: (5.0, 15.0, 0.0, 0.0, 2.0), 1: (25.0, 35.0, 0.0, 0.0, 4.0), 2: (10.0, 30.0, 2.0, 4.0, 6.0)}
-    null = [r.rf for r in trees.label_shuffle_null(spark, "((a,b),(c,d));", "((a,b),(c,d));", 40).collect()]
-    assert set(null) <= {0.0, 1.0} and 0 < sum(null) < 40  # of one split: the same, or both differ over 2 (4 - 3)
+    table = lambda *x: spark.createDataFrame([(list(t),) for t in x], "split array<string>")
+    null = [r.rf for r in trees.label_shuffle_null(table("ab"), table("ab"), spark.createDataFrame([(x,) for x in "abcd"], "leaf string"), 40).collect()]
+    assert len(null) == 40 and set(null) <= {0.0, 1.0} and 0 < sum(null) < 40  # of one split: the same, or both differ over 2 (4 - 3)
     r = trees.tree_comparison(spark, "((a,c),(b,(d,e)));", "((a,b),(c,(d,e)));", 20).head()
     assert (r.gqd, r.resolved_in_gold, r.approx) == (0.4, 5, False) and r.observed == 0.5
     lines = spark.createDataFrame([("x", 0, "l1"), ("x", 1, "g"), ("x", 2, "f"), ("y", 0, "l2"), ("y", 1, "g"), ("y", 2, "f"), ("z", 0, "l3"), ("z", 1, "f"), ("w", 0, "l4"), ("w", 1, "h"), ("v", 0, "v")], "leaf string, depth int, ancestor string")
