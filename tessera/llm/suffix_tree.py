@@ -30,12 +30,14 @@ GAIN = 2.0
 END, START, NONE = 0, 1, 2
 #: Numbers of words, where words go by numbers instead of names, begin after those. Powers of 2 that counts may have.
 FIRST, POWERS = 3, 50
+#: Bits of a word's number.
+NUMBER_BITS = 40
 #: Logs are sent in steps of 1 / STEPS.
 STEPS = 2048
 #: A context that stands more often than this many times a shard's average number of tokens is split.
 HOT = 1
 #: Parts of a shard that are grown one after another; a power of 2.
-PARTS = 4
+PARTS = 8
 
 
 def zigzag(x):
@@ -56,12 +58,12 @@ def context_name(before: list, d: int):
 
     name = np.zeros(len(before[0]), np.uint64)
     for w in reversed(before[:d]):
-        name = extended(name, w)
+        name = extended(name, w.astype(np.uint64))
     return name
 
 
-def tokens(batch: list, depth: int) -> tuple:
-    """(text number, token, the words before it) for all tokens of the texts, each text's words and then its end."""
+def tokens(batch: list) -> tuple:
+    """(text number, token, place in the text) of all tokens of the texts, each text's words and then its end."""
     import numpy as np
 
     names, begin, end = word_names([t.lower() if t else b"" for t in batch])
@@ -72,13 +74,19 @@ def tokens(batch: list, depth: int) -> tuple:
     inner = np.ones(len(text), bool)
     inner[last] = False
     token[inner] = names
-    before = []
-    place = np.arange(len(text)) - np.repeat(last - n + 1, n)
+    return text, token, np.arange(len(text)) - np.repeat(last - n + 1, n)
+
+
+def words_before(number, place, depth: int) -> list:
+    """The numbers of the word before each token, of the one before that and so on; START where there is none."""
+    import numpy as np
+
+    out = []
     for k in range(1, depth + 1):
-        w = np.full(len(text), START, np.uint64)
-        w[k:] = np.where(place[k:] >= k, token[:-k], w[k:])
-        before.append(w)
-    return text, token, before
+        w = np.full(len(number), START, np.int64)
+        w[k:] = np.where(place[k:] >= k, number[:-k], START)
+        out.append(w)
+    return out
 
 
 class Keys:
@@ -177,26 +185,41 @@ class Model:
         at = np.minimum(np.searchsorted(names, name), len(names) - 1)
         return names[at] == name, at
 
-    def known(self, token, before: list, answers: list) -> tuple:
-        """(level, p, count, number) of each token: how many words of context are split and accounted for in p, the word's count in training, and
-        its number (NONE if it has none); answers: by level, what shards say of the distinct entries."""
+    def known(self, token, place, answers: list) -> tuple:
+        """(level, p, count, number, the numbers of the words before) of each token: level says how many words of context are split and accounted
+        for in p; a word without number is NONE. answers: by level, what shards say of the distinct entries."""
         import numpy as np
 
         words = Keys(token, self.shards)
-        c, place = answers[0]
-        number = np.where(c > 0, self.begin[power_of(c), words.shard] + place, NONE)[words.at] if self.begin is not None else None
+        c, at = answers[0]
+        number = np.where(c > 0, self.begin[power_of(c), words.shard] + at, NONE)[words.at]
         c = c[words.at]
+        before = words_before(number, place, self.depth)
         p = (c + 1.0) / (self.total + self.vocabulary + 1.0)
-        level, here = np.zeros(len(token), np.int64), np.arange(len(token))
+        level = np.zeros(len(token), np.int64)
+        here = np.arange(len(token))
         for d in range(1, len(answers)):
-            name = context_name([w[here] for w in before], d)
-            found, at = self.find(d, name)
-            here, name, at = here[found], name[found], at[found]
-            n = answers[d][0][Keys(extended(name, token[here]), self.shards).at]
+            here, at = self.follow(here, before, d)
+            entry, known = self.entries(at, number[here])
+            n = np.zeros(len(here), np.int64)
+            n[known] = answers[d][0][Keys(entry, self.shards).at]
             _, m, kinds, stays = self.split[d - 1]
             p[here] = np.where(stays[at], (n + kinds[at] * p[here]) / (m[at] + kinds[at]), p[here])
             level[here] = d
-        return level, p, c, number
+        return level, p, c, number, before
+
+    def follow(self, here, before: list, d: int) -> tuple:
+        """Those of the places here at which the context of d words is split, and which one it is."""
+        found, at = self.find(d, context_name([w[here] for w in before], d))
+        return here[found], at[found]
+
+    @staticmethod
+    def entries(at, number) -> tuple:
+        """(the names of a context's places and next words, as far as these have numbers; which have)."""
+        import numpy as np
+
+        known = np.flatnonzero(number != NONE)
+        return (at[known] << NUMBER_BITS | number[known]).astype(np.uint64), known
 
 
 def grown(train, level, p, token, before: list, model: Model):
@@ -218,7 +241,7 @@ def grown(train, level, p, token, before: list, model: Model):
             continue
         context, _ = pd.factorize(context)
         m = np.bincount(context, train[here])
-        entry = extended(context.astype(np.uint64), token[here])
+        entry = extended(context.astype(np.uint64), token[here].astype(np.uint64))
         rare = token[here] == NONE  # an entry of its own each time
         entry[rare] = mixed(np.arange(int(rare.sum()), dtype=np.uint64) + np.uint64(1 << 62))
         entry, kinds_of = pd.factorize(entry)
@@ -236,12 +259,12 @@ def grown(train, level, p, token, before: list, model: Model):
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
 
 
-def read_block(data: bytes, depth: int) -> tuple:
-    """(ids, held out, text number, token, the words before) of a block."""
+def read_block(data: bytes) -> tuple:
+    """(ids, held out, text number, token, place) of a block."""
     import numpy as np
 
     columns, held = unpacked_block(data)
-    return columns["doc_id"], np.array(columns["held_out"], bool), *tokens(held, depth)
+    return columns["doc_id"], np.array(columns["held_out"], bool), *tokens(held)
 
 
 def training_tokens(columns: dict, held: list) -> int:
@@ -268,90 +291,102 @@ def asked(blocks: DataFrame, told: DataFrame | None, model: Model) -> DataFrame:
 
         model = shared.value
         d = len(model.split)
-        _, out, text, token, before = read_block(data, max(1, d))
+        _, out, text, token, place = read_block(data)
         train = (~out[text]).astype(np.float64)
         if not d:
             keys = Keys(token, model.shards)
             n = keys.sums(train)
             return [(block, s, d, 0, pack(sorted_names(keys.key[x]), n[x])) for s, x in pieces(keys.shard)]
-        _, p, _, _ = model.known(token, before, [in_order(rows, k) for k in range(d)])
-        name = context_name(before, d)
-        here = np.flatnonzero(model.find(d, name)[0])
-        keys = Keys(extended(name[here], token[here]), model.shards)
-        n, context, base = keys.sums(train[here]), keys.one(name[here]), keys.one(p[here])
-        return [(block, s, d, 0, pack(sorted_names(keys.key[x]), n[x], context[x], base[x])) for s, x in pieces(keys.shard)]
+        _, p, _, number, before = model.known(token, place, [in_order(rows, k) for k in range(d)])
+        here, at = np.arange(len(token)), None
+        for k in range(1, d + 1):
+            here, at = model.follow(here, before, k)
+        entry, known = model.entries(at, number[here])
+        here = here[known]
+        keys = Keys(entry, model.shards)
+        n, base = keys.sums(train[here]), keys.one(steps(p[here]))
+        return [(block, s, d, 0, pack(sorted_names(keys.key[x]), n[x], base[x])) for s, x in pieces(keys.shard)]
 
     return by_block(blocks, told, ask)
 
 
-def answered(ask: DataFrame, model: Model, limit: int) -> tuple[DataFrame, list[tuple]]:
-    """(answers, summaries): counts for each block and shard in the order of its entries, and at level 0 words' places among those of their shard and power;
-    from each shard the kinds of entries (at level 0 by power), the entries that stand limit times or more and their counts, how often a text ends, and what split contexts gain."""
-    shared = ask.sparkSession.sparkContext.broadcast(model)
+def answered(ask: DataFrame, limit: int) -> DataFrame:
+    """Of kind 0 the counts for each block and shard in the order of its entries, and at level 0 words' places among those of their shard and power;
+    from each shard, of kind 1, at level 0 its words by power, the entries that stand limit times or more and their counts, and how often a text ends;
+    of kind 2, at other levels, its entries."""
 
     def answer(group):
         import numpy as np
 
-        model = shared.value
         shard, level = group.column("shard")[0].as_py(), group.column("level")[0].as_py()
         messages = [unpack(x.as_py()) for x in group.column("data")]
         key, n, at = summed(messages)
-        gain, place, kinds = None, np.zeros(len(key), np.int64), int((n > 0).sum())
+        often = np.flatnonzero(n >= limit)
         if level:
-            names, m, of_context, _ = model.split[level - 1]
-            context, base = (np.zeros(len(key), messages[0][i].dtype) for i in (2, 3))
+            base = np.zeros(len(key), np.int64)
             for x, message in zip(at, messages, strict=True):
-                context[x], base[x] = message[2], message[3]
+                base[x] = message[2]
             seen = n > 0
-            of = np.searchsorted(names, context[seen])
-            gain = np.bincount(of, gained(n[seen], base[seen], m[of], of_context[of]), len(names))
+            more = [(-1, shard, level, 1, pickle.dumps((None, key[often], n[often], 0))), (-1, shard, level, 2, pack(sorted_names(key[seen]), n[seen], base[seen]))]
+            told = [(n[x],) for x in at]
         else:
             power = np.where(n > 0, power_of(n), POWERS)
-            kinds = np.bincount(power, minlength=POWERS + 1)[:POWERS]
             order = np.argsort(power, kind="stable")
+            place = np.zeros(len(key), np.int64)
             place[order] = np.arange(len(key)) - np.searchsorted(power[order], power[order])
-        often = n >= limit
-        rows = [(b.as_py(), shard, level, 0, pack(n[x], place[x]) if not level else pack(n[x])) for b, x in zip(group.column("block"), at, strict=True)]
-        return table_of([*rows, (-1, shard, level, 0, pickle.dumps((kinds, key[often], n[often], int(n[key == END].sum()), gain)))])
+            hot = often[key[often] != END]
+            more = [(-1, shard, level, 1, pickle.dumps((np.bincount(power, minlength=POWERS + 1)[:POWERS], place[hot], n[hot], int(n[key == END].sum()))))]
+            told = [(n[x], place[x]) for x in at]
+        return table_of([*((b.as_py(), shard, level, 0, pack(*x)) for b, x in zip(group.column("block"), told, strict=True)), *more])
 
-    out = stored(ask.groupBy("shard").applyInArrow(answer, ASK))
-    return out.where("block <> -1"), [(r["shard"], pickle.loads(r["data"])) for r in out.where("block = -1").select("shard", "data").collect()]
+    return stored(ask.groupBy("shard").applyInArrow(answer, ASK))
 
 
-def kinds_of(ask: DataFrame) -> dict[int, int]:
-    """How many different words follow each split context in training texts."""
+def of_contexts(told: DataFrame, size: int, work) -> list:
+    """The sums, for each of a level's split contexts, of what work(context, n, base) says of the entries of each shard."""
+    import numpy as np
 
-    def count(group):
-        import numpy as np
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                key, n, base = unpack(data)
+                context = (np.cumsum(key, dtype=np.uint64) >> np.uint64(NUMBER_BITS)).astype(np.int64)
+                value = np.bincount(context, work(context, n, 2.0 ** (-base / STEPS)), size)
+                own = np.unique(context)
+                yield from table_of(list(zip(own.tolist(), value[own].tolist(), strict=True)), "context bigint, value double").to_batches()
 
-        messages = [unpack(x.as_py()) for x in group.column("data")]
-        key, n, at = summed(messages)
-        context = np.zeros(len(key), np.uint64)
-        for x, message in zip(at, messages, strict=True):
-            context[x] = message[2]
-        name, kinds = np.unique(context[n > 0], return_counts=True)
-        return table_of(list(zip(name.view(np.int64).tolist(), kinds.tolist(), strict=True)), "context bigint, kinds bigint")
+    out = np.zeros(size)
+    for r in told.where("kind = 2").mapInArrow(run, "context bigint, value double").groupBy("context").agg(F.sum("value").alias("value")).collect():  # a row a context
+        out[r["context"]] = r["value"]
+    return out
 
-    rows = ask.groupBy("shard").applyInArrow(count, "context bigint, kinds bigint").groupBy("context").agg(F.sum("kinds").alias("kinds")).collect()
-    return {r["context"]: r["kinds"] for r in rows}
+
+def steps(p):
+    """Probabilities as numbers of steps."""
+    import numpy as np
+
+    return np.rint(-np.log2(p) * STEPS).astype(np.int64)
 
 
 def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
     """Counts words, then, length by length, what follows contexts with more than HOT times the tokens of a shard. Returns the answers to the blocks."""
     import numpy as np
 
+    def summaries(told: DataFrame) -> dict:
+        return {r["shard"]: pickle.loads(r["data"]) for r in told.where("kind = 1").select("shard", "data").collect()}
+
     model.total = blocks.agg(F.sum("weight")).first()[0] or 0
     limit = max(1, HOT * model.total // model.shards)
-    told, said = answered(asked(blocks, None, model), model, limit)
-    sizes = {s: x[0] for s, x in said}
-    said = [x for _, x in said]
-    model.number_words([sizes.get(s, [0] * POWERS) for s in range(model.shards)])
-    model.vocabulary, ends = int(sum(x[0].sum() for x in said)), sum(x[3] for x in said)
-    start = np.zeros(1, np.uint64)
-    for _ in range(model.depth):
-        name, m = (np.concatenate([np.zeros(0, k), *(x[i] for x in said)]) for i, k in ((1, np.uint64), (2, np.int64)))
-        if not model.split:  # words, as contexts
-            name = extended(np.zeros(len(name), np.uint64), name)
+    told = answered(asked(blocks, None, model), limit)
+    said = summaries(told)
+    model.number_words([said[s][0] if s in said else [0] * POWERS for s in range(model.shards)])
+    model.vocabulary, ends = int(sum(x[0].sum() for x in said.values())), sum(x[3] for x in said.values())
+    frequent = [(model.begin[power_of(n), s] + place, n) for s, (_, place, n, _) in said.items()]
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    number, m = (np.concatenate(x).astype(np.int64) for x in zip(none, *frequent, strict=True))
+    name, start = extended(np.zeros(len(number), np.uint64), number.astype(np.uint64)), np.zeros(1, np.uint64)
+    answers = told.where("kind = 0")
+    for d in range(1, model.depth + 1):
         start = extended(start, np.full(1, START, np.uint64))
         if ends >= limit:
             name, m = np.r_[name, start], np.r_[m, ends]
@@ -360,36 +395,34 @@ def split_contexts(blocks: DataFrame, model: Model) -> DataFrame:
         order = np.argsort(name)
         name, m = name[order], m[order]
         model.split.append((name, m, None, None))
-        ask = stored(asked(blocks, told, model))
-        kinds = kinds_of(ask)
-        kinds = np.array([kinds.get(int(x), 0) for x in name.view(np.int64)], np.int64)
-        model.split[-1] = (name, m, kinds, None)
-        answers, said = answered(ask, model, limit)
-        said = [x for _, x in said]
-        gain = sum((x[4] for x in said), np.zeros(len(name)))
+        told = answered(asked(blocks, answers, model), limit)
+        kinds = of_contexts(told, len(name), lambda context, n, base: np.ones(len(n))).astype(np.int64)
+        gain = of_contexts(told, len(name), lambda context, n, base, m=m, kinds=kinds: gained(n, base, m[context], kinds[context]))
         model.split[-1] = (name, m, kinds, gain >= model.gain)
-        told = told.unionByName(answers)
-    return told
+        frequent = [(key, n) for _, key, n, _ in summaries(told).values()]
+        entry, m = (np.concatenate(x) for x in zip((np.zeros(0, np.uint64), none[0]), *frequent, strict=True))
+        name = extended(name[(entry >> np.uint64(NUMBER_BITS)).astype(np.int64)], entry & np.uint64((1 << NUMBER_BITS) - 1))
+        answers = answers.unionByName(told.where("kind = 0"))
+    return answers
 
 
 def sent(block: int, data: bytes, rows: list, model: Model) -> list:
-    """A block's tokens as messages to shards, and, of kind 1, what it knows of its texts itself. Words go by numbers."""
+    """A block's tokens as messages to shards, and, of kind 1, what it knows of its texts itself."""
     import numpy as np
 
-    ids, out, text, token, names = read_block(data, model.depth)
-    level, p, c, number = model.known(token, names, [in_order(rows, k) for k in range(len(model.split) + 1)])
+    ids, out, text, token, place = read_block(data)
+    level, p, c, number, every = model.known(token, place, [in_order(rows, k) for k in range(len(model.split) + 1)])
+    # a context with a rare word isn't a candidate, nor is a longer one
+    frequent = words_before(np.where(c >= model.least, number, NONE), place, model.depth)
     before, going = [], np.ones(len(token), bool)
-    for k, w in enumerate(names, 1):  # a context with a rare word isn't a candidate, nor is a longer one
-        x = np.full(len(token), NONE, np.int64)
-        x[k:] = np.where(c[:-k] >= model.least, number[:-k], NONE)
-        x[w == START] = START
-        going &= x != NONE
-        before.append(np.where(going, x, NONE))
+    for w in frequent:
+        going &= w != NONE
+        before.append(np.where(going, w, NONE))
     following, to = np.full(len(token), NONE, np.int64), np.zeros(len(token), np.int64)
     for d in range(model.depth):
         mine = np.flatnonzero(level == d)
         following[mine] = before[d][mine]
-        to[mine] = shard_of(context_name([w[mine] for w in names], d + 1), model.shards)
+        to[mine] = shard_of(context_name([w[mine] for w in every], d + 1), model.shards)
     there, here = np.flatnonzero(following == NONE), np.flatnonzero(following != NONE)
     final = np.bincount(text[there], np.log10(p[there]), len(ids)).astype(np.float64)
     logs, n = np.bincount(text, np.log10(c + 1.0), len(ids)), np.bincount(text, minlength=len(ids))
@@ -399,7 +432,7 @@ def sent(block: int, data: bytes, rows: list, model: Model) -> list:
     here = here[np.lexsort((before[0][here], to[here]))]
     to, number, before, level, text = to[here], number[here], [w[here] for w in before], level[here], text[here]
     # what the count exceeds its power of 2 by, or p, if that comes from a split context
-    more = np.where(level > 0, np.rint(-np.log2(p[here]) * STEPS).astype(np.int64), np.where(c[here] > 0, c[here] - (1 << power_of(c[here])), 0))
+    more = np.where(level > 0, steps(p[here]), np.where(c[here] > 0, c[here] - (1 << power_of(c[here])), 0))
     for s, x in pieces(to):
         who = text[x]
         last, *rest = (w[x] for w in before)
@@ -419,7 +452,8 @@ def shard_scores(group, model: Model):
         who, train, at, token, more, last, *rest = unpack(data)
         p = np.where(at > 0, 2.0 ** (-more / STEPS), (model.counts(token, more) + 1.0) / (model.total + model.vocabulary + 1.0))
         before = [np.cumsum(last), *rest]
-        parts.append((np.unpackbits(train.astype(np.uint8), count=len(who)).astype(bool), at.astype(np.int8), p, token.astype(np.uint64), *(w.astype(np.uint64) for w in before)))
+        small = np.uint32 if model.bound[-1] < 1 << 32 else np.uint64
+        parts.append((np.unpackbits(train.astype(np.uint8), count=len(who)).astype(bool), at.astype(np.int8), p, token.astype(small), *(w.astype(small) for w in before)))
         held.append((block, shard, np.cumsum(who >> 1 ^ -(who & 1)).astype(np.int32)))
     if parts:
         train, level, p, token, *before = (np.concatenate(x) for x in zip(*parts, strict=True))
