@@ -633,3 +633,30 @@ def test_scores_by_hand():
     harmless = toxicity.fitted_weights(x, np.array([1, 0, 0]), np.array([500.0, 500.0, 5000.0]))
     as_bad = toxicity.fitted_weights(x, np.array([1, 1, 0]), np.array([500.0, 500.0, 5000.0]))
     assert harmless["negated"] < 0.2 < 0.6 < as_bad["negated"] and harmless["constant"] < -2
+
+
+def test_clashing_columns(spark):
+    """Columns that have the names of an operator's own don't reach its results, whatever they hold."""
+    rows = [(i, sentence(random.Random(i), 20), "en", "s1") for i in range(30)]
+    df = spark.createDataFrame([(*r, None, "x", -1.0, "z", True) for r in rows], "doc_id bigint, text string, lang string, source string, y int, lang_pred string, score double, term string, held_out boolean")
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0), "q") for i in range(30)], "doc_id bigint, quality int, toxic int, text string")
+    plain = df.select("doc_id", "text", "lang", "source")
+    for run in (lambda d: toxicity.toxicity(d, labels), language_id.language_id, suffix_tree.suffix_tree_scores, near_duplicates.jaccard_join, substring_dedup.substring_dedup):
+        assert sorted(map(tuple, run(df).collect())) == sorted(map(tuple, run(plain).collect()))
+
+
+def test_long_texts(spark):
+    """Texts of hundreds of thousands of words, judged to their last word."""
+    words = " ".join(WORDS[i % 30] + WORDS[i * 7 % 30] for i in range(200_000))
+    rows = [(1, words + " you zorgface."), (2, words), (3, "short\n" + "long line " * 50_000 + "\nboiler"), *((10 + i, f"boiler\nown {i}") for i in range(12))]
+    df = spark.createDataFrame([(*r, f"s{r[0]}") for r in rows], "doc_id bigint, text string, source string")
+    scorer = toxicity.Scorer({"zorg*": 9.0})
+    got = {r.doc_id: (r.score, r.n_clauses) for r in toxicity.scored(df, ({"zorg*": 9.0}, toxicity.START)).collect()}
+    assert got[1] == pytest.approx(scorer.score(rows[0][1])) and got[1][0] > 0.9 > 0.1 > got[2][0]
+    kept = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    assert kept[3] == rows[2][1] and kept[10] == "own 0" and kept[1] == rows[0][1]
+    classes = {r.doc_id: r.class_id for r in near_duplicates.jaccard_join(df).collect()}
+    assert classes[2] == classes[1] == 1
+    model = quality.fit(df, spark.createDataFrame([(2,)], "doc_id bigint"), order=2)
+    sizes = {r.doc_id: r.n_symbols for r in quality.perplexities(df, model).collect()}
+    assert all(sizes[i] == len(t) + 1 for i, t in rows)

@@ -44,3 +44,23 @@ def test_identify_without_lang(spark, tmp_path):
     got = corpus_pipeline.identify(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.lang) for r in got) == [(1, "und"), (4, "und")]
     assert corpus_pipeline.identify(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_empty(spark, tmp_path):
+    """Empty documents, and a benchmark without rows, give an empty mix with its columns."""
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns[-2:] == ["copy", "position"]
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, and ids that repeat with other texts: each text that is clean comes out."""
+    rows = [(1, "one clean text of words", "en", "a", 1, "x", "y", "z"), (1, "another clean text with its words", "en", "a", 1, "x", "y", "z"), (1, "one clean text of words", "en", "a", 1, "x", "y", "z"), (None, "a text without id stays too", None, None, None, None, None, None), (2, None, None, None, None, None, None, None), (3, "", "en", "b", 0, "x", "y", "z")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "leaked words")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted([(1, rows[0][1]), (1, rows[1][1]), (None, rows[3][1])], key=str)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {(r[0], r[1]) for r in rows}
