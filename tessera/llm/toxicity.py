@@ -19,8 +19,9 @@ from .common import fold, small_batches, stored, texts
 
 #: Labelled documents of each class that are learned from, at most.
 SAMPLE_DOCS = 10_000
-#: A learned term stands in at least this many toxic documents, this log likelihood ratio (nats) from chance.
-MIN_DOCS, MIN_GAIN = 3, 15.0
+#: A learned term stands in at least this many, and this share, of the toxic documents, so that copies of a few don't make one, at this log
+#: likelihood ratio (nats) from chance.
+MIN_DOCS, MIN_SHARE, MIN_GAIN = 3, 0.02, 15.0
 #: The least weight of a learned term: the log of how much more frequent it is in toxic documents.
 MIN_WEIGHT = 3.0
 STEM = range(4, 8)
@@ -106,10 +107,9 @@ class Scorer:
         self.seen: dict[str, int] = {}
 
     def of(self, word: str) -> tuple[int, float]:
-        if word in self.words:
-            return self.words[word]
+        kind, own = self.words.get(word, (OTHER, 0.0))
         found = [self.stems[word[:n]] for n in STEM if word[:n] in self.stems]
-        return (INSULT, max(found)) if found else (OTHER, 0.0)
+        return (INSULT, max([*found, own])) if found and kind in (OTHER, INSULT) else (kind, own)
 
     def clauses(self, text: str) -> list[list[tuple[int, int, float]]]:
         """The clauses with a match: for each insult, threat or mark its class, marks and own weight."""
@@ -194,8 +194,9 @@ def terms_of(text: str) -> Counter:
     return out
 
 
-def learned(rows: dict[str, tuple[int, int, int]], clean: int, toxic: int) -> dict[str, float]:
-    """Terms with weights from how often they stand in clean and toxic documents, and in how many toxic ones; clean and toxic: all words of either."""
+def learned(rows: dict[str, tuple[int, int, int]], clean: int, toxic: int, documents: int) -> dict[str, float]:
+    """Terms with weights from how often they stand in clean and toxic documents, and in how many toxic ones; clean and toxic: all words of either;
+    documents: toxic ones."""
     import math
 
     terms, base = {}, toxic / max(1, clean + toxic)
@@ -203,7 +204,7 @@ def learned(rows: dict[str, tuple[int, int, int]], clean: int, toxic: int) -> di
         n = n0 + n1
         gain = n1 * math.log(n1 / n / base) + (n0 * math.log(n0 / n / (1 - base)) if n0 else 0.0)
         weight = math.log((n1 + 0.5) / (toxic + 1)) - math.log((n0 + 0.5) / (clean + 1))
-        if docs >= MIN_DOCS and gain >= MIN_GAIN and weight >= MIN_WEIGHT:
+        if docs >= max(MIN_DOCS, MIN_SHARE * documents) and gain >= MIN_GAIN and weight >= MIN_WEIGHT:
             terms[t] = weight
     # the shortest stem stands for all that it begins
     short = {t for t in terms if not any(t[:n] + "*" in terms and terms[t[:n] + "*"] >= terms[t] - 0.7 for n in STEM if n < len(t.rstrip("*")))}
@@ -236,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> t
                 c[y].update(own)
                 c[y][""] += sum(not k.endswith("*") for k in own)
                 if y:
-                    stood.update(own.keys())
+                    stood.update([*own, ""])
             keys = list(c[0] | c[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([x[k] for k in keys], pa.int64()) for x in (c[0], c[1], stood))], ["term", "n0", "n1", "docs"])
 
@@ -245,10 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> t
     # a term must stand in enough toxic documents and be rare in others: this leaves some thousands
     counts = counts.where(f"term = '' or docs >= {MIN_DOCS} and n0 < n1")
     rows = {r["term"]: (r["n0"], r["n1"], r["docs"]) for r in counts.collect()}
-    clean, toxic, _ = rows.pop("", (0, 0, 0))
+    clean, toxic, documents = rows.pop("", (0, 0, 0))
     if not clean or not toxic:
         return {}, START
-    terms = learned(rows, clean, toxic)
+    terms = learned(rows, clean, toxic, documents)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def looked(batches):
