@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ndist
 from .held import held, sent
-from .profiles import sizes
+from .profiles import sizes, spread
 
 
 def pairs(leaves: DataFrame) -> DataFrame:
@@ -145,9 +145,12 @@ def ncd(texts: DataFrame, variant: str = "v2", cap_bytes: int | None = 30_000) -
         return s.map(lambda b: len(gzip.compress(b, 9, mtime=0)))
 
     mid = F.lit(b"" if variant == "basic" else SEPARATOR)
-    own = data.withColumn("c", size("b")).withColumn("cc", size(F.concat("b", mid, "b"))).withColumn("self", (F.col("cc") - F.col("c")) / F.col("c"))
+    own = spread(data).withColumn("c", size("b")).withColumn("cc", size(F.concat("b", mid, "b"))).withColumn("self", (F.col("cc") - F.col("c")) / F.col("c"))
+    own = sent(own)
+    # pairs of names are dealt out first, so that every core compresses; texts join them where they are
+    every = pairs(own.select("leaf")).repartition(4 * data.sparkSession.sparkContext.defaultParallelism, "i", "j")
     a, b = (own.select(F.col("leaf").alias(x), F.col("b").alias(f"b{x}"), F.col("c").alias(f"c{x}"), F.col("self").alias(f"self{x}")) for x in "ij")
-    both = a.join(b, F.col("i") < F.col("j"))
+    both = every.join(a, "i").join(b, "j")
     low, high = F.least("ci", "cj"), F.greatest("ci", "cj")
     one = (size(F.concat("bi", mid, "bj")) - low) / high
     if variant == "basic":

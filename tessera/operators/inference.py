@@ -90,21 +90,37 @@ def block_replicates(units: DataFrame, reps: int, n: int = 3, seed: int = 0) ->
 
     Units are counted once; a replicate is a weighted sum of their counts.
     """
+    return _js_by(block_counts(units, reps, n, seed))
+
+
+#: Replicates that one pass over the units' counts adds up.
+AT_ONCE = 50
+
+
+def block_counts(units: DataFrame, reps: int, n: int = 3, seed: int = 0) -> DataFrame:
+    """rep, leaf, gram, c: the counts of each resample. A unit's counts are read once for AT_ONCE replicates, each of which is a sum of its own."""
     counts = units.select("leaf", "unit_id", F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy("leaf", "unit_id", "gram").agg(F.count("*").alias("c"))
-    weighted = counts.join(unit_weights(units, reps, seed), "unit_id").groupBy("rep", "leaf", "gram").agg(F.sum(F.col("c") * F.col("w")).alias("c"))
-    return _js_by(weighted)
+    weights = unit_weights(units, reps, seed)
+    out = None
+    for low in range(0, reps, AT_ONCE):
+        some = range(low, min(reps, low + AT_ONCE))
+        wide = weights.where(F.col("rep").between(some[0], some[-1])).groupBy("unit_id").agg(*[F.sum(F.when(F.col("rep") == r, F.col("w")).otherwise(0)).alias(f"w{r}") for r in some])
+        sums = counts.join(wide, "unit_id").groupBy("leaf", "gram").agg(*[F.sum(F.col("c") * F.col(f"w{r}")).alias(f"c{r}") for r in some])
+        each = F.explode(F.array(*[F.struct(F.lit(r).cast("bigint").alias("rep"), F.col(f"c{r}").alias("c")) for r in some]))
+        part = sums.select("leaf", "gram", each.alias("x")).select("x.rep", "leaf", "gram", "x.c").where("c > 0")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _js_by(profiles: DataFrame) -> DataFrame:
-    """JS of every replicate at once: the replicate is a part of the leaf's and the gram's name."""
-    named = profiles.select(F.concat_ws("\t", "rep", "leaf").alias("leaf"), F.concat_ws("\t", "rep", "gram").alias("gram"), "c")
-    rep = F.split("leaf", "\t")[0]
-    leaves = named.select("leaf").distinct()
-    a, b = (leaves.select(rep.cast("bigint").alias("rep"), F.col("leaf").alias(x)) for x in "ij")
-    shares = named.join(named.groupBy("leaf").agg(F.sum("c").alias("n")), "leaf").select("leaf", "gram", (F.col("c") / F.col("n")).alias("p"))
-    div = overlap(shares, shares, "gram").groupBy("i", "j").agg(F.sum(half(F.col("p_i"), F.col("p_j")) - (F.col("p_i") + F.col("p_j")) / 2).alias("s"))
-    every = a.join(b, "rep").where("i < j").join(div, ["i", "j"], "left")
-    return every.select("rep", F.split("i", "\t")[1].alias("i"), F.split("j", "\t")[1].alias("j"), F.sqrt(F.greatest(F.lit(0.0), 1.0 + F.coalesce("s", F.lit(0.0)))).alias("d"))
+    """rep, i, j, d: JS of every replicate's profiles (rep, leaf, gram, c) at once, joined on replicate and gram."""
+    profiles = held(profiles)
+    total = sent(profiles.groupBy("rep", "leaf").agg(F.sum("c").alias("n")))
+    a, b = (total.select("rep", F.col("leaf").alias(x)) for x in "ij")
+    shares = profiles.join(total, ["rep", "leaf"]).select("rep", "leaf", "gram", (F.col("c") / F.col("n")).alias("p"))
+    div = overlap(shares, shares, "rep", "gram").groupBy("rep", "i", "j").agg(F.sum(half(F.col("p_i"), F.col("p_j")) - (F.col("p_i") + F.col("p_j")) / 2).alias("s"))
+    every = a.join(b, "rep").where("i < j").join(div, ["rep", "i", "j"], "left")
+    return every.select("rep", "i", "j", F.sqrt(F.greatest(F.lit(0.0), 1.0 + F.coalesce("s", F.lit(0.0)))).alias("d"))
 
 
 def token_draw(profiles: DataFrame, reps: int, seed: int = 0) -> DataFrame:
