@@ -40,6 +40,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_media that SQL can say."""
+    return op7_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
 def op8_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curriculum.mixture(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round(F.try_element_at("positions", F.lit(1)), 6).alias("first_position"))
@@ -58,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_quality, op4_suffix_tree, op5_language_id, op6_jaccard_join, op7_media, op8_curriculum, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_quality, op4_suffix_tree, op5_language_id, op6_jaccard_join, op7_media, op8_curriculum, op9_line_dedup, op10_decontamination, media_payloads)}
 
 
 OP1 = r"""
@@ -86,6 +91,12 @@ SELECT d.doc_id, least(d.doc_id, (SELECT min(b) FROM c WHERE c.a = d.doc_id)) AS
 FROM documents d
 """
 
+PAYLOADS = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n, greatest(1, (octet_length(b) + 63) // 64) * 64 AS m FROM b)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(b || unhex(repeat('00', (m - n)::INT))) AS payload_sha256, m + 44 AS media_bytes FROM n
+"""
+
 OP8 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -127,4 +138,4 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op6_jaccard_join": OP6, "op8_curriculum": OP8, "op9_line_dedup": OP9, "op10_decontamination": OP10}
+    return {"op1_substring_dedup": OP1, "op6_jaccard_join": OP6, "media_payloads": PAYLOADS, "op8_curriculum": OP8, "op9_line_dedup": OP9, "op10_decontamination": OP10}
