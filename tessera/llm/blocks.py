@@ -28,7 +28,7 @@ def pack(*arrays) -> bytes:
         if x.dtype.kind == "i" and len(x):
             x = x.astype(np.min_scalar_type(int(x.max())) if x.min() >= 0 else np.int64)
         parts.append((x.dtype.str, np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()))
-    return zstandard.compress(pickle.dumps(parts), 3)
+    return zstandard.compress(pickle.dumps(parts), 6)
 
 
 def unpack(data: bytes) -> list:
@@ -79,7 +79,7 @@ def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, weight=None)
         def block():
             *others, held = zip(*rows, strict=True)
             columns = dict(zip(names, map(list, others), strict=True))
-            data = zstandard.compress(pickle.dumps((columns, list(held))), 3)
+            data = zstandard.compress(pickle.dumps((columns, list(held))), 9)
             n = weight(columns, held) if weight else len(rows)
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["block", "weight", "data"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .blocks import ASK, BLOCK_BYTES, by_block, pack, packed_blocks, pieces, sorted_names, table_of, unpack, unpacked_block
 from .common import fold, mixed, stored, word_names
 
-DEPTH = 3
+DEPTH = 4
 #: Times that a candidate stands in the training texts.
 LEAST = 2
 #: Nats that a context must gain over its longest kept suffix.
