@@ -505,6 +505,22 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty, labels).count() == 0 and quality.quality(docs, labels.limit(0)).where("keep").count() == docs.count() - 2
 
 
+def test_quality_of_many(spark):
+    """All trusted documents are learned from, however many, and no others; thresholds are exact quantiles, also of ties and for null."""
+    df = spark.range(0, 60_000, 1, 4).selectExpr("cast(id as int) as doc_id", "if(id % 2 = 0, concat('a', id % 3), 'zz') as text")
+    (symbol, _), counts, _ = quality.fit(df, spark.range(0, 60_000, 2).selectExpr("if(id = 0, null, id) as doc_id"), order=2)
+    got, want = {r.code: r.n for r in counts.collect()}, Counter()
+    for i in range(2, 60_000, 2):
+        a, b = (int(symbol[ord(c)]) for c in f"a{i % 3}")
+        want.update([a, a << 6 | b, b << 6])
+    assert got == want
+    rows = spark.range(0, 200_000, 1, 4).selectExpr("if(id % 4 = 0, null, if(id % 4 = 1, 'one', 'x')) as lang", "if(id % 4 = 1, 2.5, exp((id * 7919 % 200003) / 40000) * 0.5) as y")
+    held = rows.toPandas()
+    for q in (0.0001, 0.5, 0.99, 1.0):
+        found = {r.lang: r.y for r in quality.quantiles(rows, "lang", "y", q).collect()}
+        assert found == {k: sorted(held.y[held.lang.isna() if k is None else held.lang == k])[math.ceil(q * n) - 1] for k, n in ((None, 50_000), ("one", 50_000), ("x", 100_000))}
+
+
 def segmentations(w):
     if not w:
         yield []
