@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +51,61 @@ def ngrams(text: Column, n: int = 3) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n), F.lit(1))
 
 
+def gram_counts(leaf: list[int], texts: list[str], n: int, weights: np.ndarray | None = None, table: int = 1 << 22, most: int = 1 << 62) -> tuple[list[int] | np.ndarray, list[str], list[int] | np.ndarray]:
+    """leaf, gram and c of all n-grams of texts, of which leaf holds the numbers; none crosses texts. Linear in the characters.
+
+    A gram is a number to the base of the distinct characters. Up to table numbers are counted in a table, more by sorting; beyond most, one by one.
+    With weights, a row of whole numbers for each text, c is a matrix: the weighted counts by each column.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    m = len(points) - n + 1
+    if m < 1:
+        return [], [], []
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    letters = np.flatnonzero(seen)
+    base, owners = len(letters), max(leaf) + 1
+    span = owners * base**n
+    if span >= most and weights is not None:
+        sums: dict = {}
+        for x, t, w in zip(leaf, texts, weights, strict=True):
+            for g, c in Counter(t[k : k + n] for k in range(len(t) - n + 1)).items():
+                sums[x, g] = sums.get((x, g), 0) + c * w
+        return [x for x, _ in sums], [g for _, g in sums], np.array(list(sums.values()), np.int64).reshape(-1, weights.shape[1])
+    if span >= most:
+        each = Counter((x, t[k : k + n]) for x, t in zip(leaf, texts, strict=True) for k in range(len(t) - n + 1))
+        return [x for x, _ in each], [g for _, g in each], list(each.values())
+    kind = np.int32 if span < 1 << 31 else np.int64
+    number = np.zeros(0x110000, kind)
+    number[letters] = np.arange(base, dtype=kind)
+    code, key = number[points], np.repeat(np.array(leaf, kind), size)[:m]
+    for k in range(n):
+        key = key * kind(base) + code[k : k + m]
+    whole, end = np.ones(len(points), bool), np.cumsum(size)
+    for k in range(1, n):
+        whole[(end - k)[size >= k]] = False
+    key = key[whole[:m]]
+    if weights is not None:
+        key, place = np.unique(key, return_inverse=True)
+        text = np.repeat(np.arange(len(texts)), size)[:m][whole[:m]]
+        c = np.empty((len(key), weights.shape[1]), np.int64)
+        for r in range(weights.shape[1]):  # sums of whole numbers below 2^53
+            c[:, r] = np.bincount(place, weights[:, r].astype(np.float64)[text], len(key))
+    elif span <= table:
+        c = np.bincount(key)
+        key = np.flatnonzero(c)
+        c = c[key]
+    else:
+        key, c = np.unique(key, return_counts=True)
+    chars = np.empty((len(key), n), "<u4")
+    for k in range(n - 1, -1, -1):
+        key, digit = np.divmod(key, base)
+        chars[:, k] = letters[digit]
+    grams = chars.tobytes().decode("utf-32-le")
+    return key, [grams[k : k + n] for k in range(0, len(grams), n)], c
+
+
 def safe(label: Column) -> Column:
     """Runs of what isn't a letter or digit become _, none at the ends; X if nothing is left."""
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(label, r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("X"))

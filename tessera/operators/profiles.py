@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import ngrams
+from ..functions.text import gram_counts, ngrams
+
+#: Characters that are counted at once.
+AT_ONCE = 1 << 22
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -16,9 +21,44 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def slices(codes: list[int], texts: list[str], n: int, most: int = AT_ONCE, places: bool = False):
+    """Texts with their codes, like codes together, in lists of some most characters; longer texts are cut so that each n-gram is in one part.
+
+    With places, the place of each part's text comes third.
+    """
+    own, parts, at, held = [], [], [], 0
+    for k in sorted(range(len(codes)), key=codes.__getitem__):
+        for low in range(0, max(1, len(texts[k]) - n + 1), most):
+            own.append(codes[k])
+            parts.append(texts[k][low : low + most + n - 1])
+            at.append(k)
+            held += len(parts[-1])
+            if held >= most:
+                yield (own, parts, at) if places else (own, parts)
+                own, parts, at, held = [], [], [], 0
+    if parts:
+        yield (own, parts, at) if places else (own, parts)
+
+
+def counted(units: DataFrame, n: int) -> DataFrame:
+    """leaf, gram, c: counts of units (leaf, text), several rows for a leaf's gram that add up. A batch's texts are counted before they are rows."""
+    def run(batches):
+        for batch in batches:
+            number: dict = {}
+            codes = [number.setdefault(x, len(number)) for x in batch.column("leaf").to_pylist()]
+            names = pa.array(list(number), batch.schema.field("leaf").type)
+            for own, parts in slices(codes, batch.column("text").to_pylist(), n):
+                least = own[0]
+                leaf, gram, c = gram_counts([x - least for x in own], parts, n)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array([x + least for x in leaf], pa.int64())), pa.array(gram, pa.string()), pa.array(c, pa.int64())], ["leaf", "gram", "c"])
+
+    kind = T.StructType([units.schema["leaf"], T.StructField("gram", T.StringType()), T.StructField("c", T.LongType())])
+    return units.select("leaf", "text").where("text is not null").mapInArrow(run, kind)
+
+
 def profile(units: DataFrame, n: int = 3) -> DataFrame:
     """leaf, gram, c: how often each n-gram stands in a leaf's units (leaf, text). No n-gram crosses units."""
-    return spread(units).select("leaf", F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy("leaf", "gram").agg(F.count("*").alias("c"))
+    return counted(spread(units), n).groupBy("leaf", "gram").agg(F.sum("c").alias("c"))
 
 
 def joined_profile(units: DataFrame, n: int = 3) -> DataFrame:
@@ -28,17 +68,16 @@ def joined_profile(units: DataFrame, n: int = 3) -> DataFrame:
     last n - 1 characters before it and the first n - 1 after it, which alone are put in order.
     """
     t = spread(units.where("text <> ''"))
-    inside = t.select("leaf", F.explode(ngrams(F.col("text"), n)).alias("gram"))
+    inside = counted(t, n)
     if n == 1:
         edges = t.groupBy("leaf").agg((F.count("*") - 1).alias("c")).where("c > 0").select("leaf", F.lit(" ").alias("gram"), "c")
-        own = inside.groupBy("leaf", "gram").agg(F.count("*").alias("c"))
-        return own.unionByName(edges).groupBy("leaf", "gram").agg(F.sum("c").alias("c"))
+        return inside.unionByName(edges).groupBy("leaf", "gram").agg(F.sum("c").alias("c"))
     order = Window.partitionBy("leaf").orderBy("unit_id")
     slim = t.select("leaf", "unit_id", F.right("text", F.lit(n - 1)).alias("tail"), F.left("text", F.lit(n - 1)).alias("head"))
     before = F.right(F.concat_ws(" ", *[F.lag("tail", k).over(order) for k in range(n - 1, 0, -1)]), F.lit(n - 1))
     edges = slim.select("leaf", before.alias("before"), "head", F.row_number().over(order).alias("k")).where("k > 1")
     across = edges.select("leaf", F.explode(ngrams(F.concat("before", F.lit(" "), "head"), n)).alias("gram"))
-    return inside.unionByName(across).groupBy("leaf", "gram").agg(F.count("*").alias("c"))
+    return inside.unionByName(across.withColumn("c", F.lit(1).cast("bigint"))).groupBy("leaf", "gram").agg(F.sum("c").alias("c"))
 
 
 def capped_units(units: DataFrame, cap: int) -> DataFrame:

@@ -320,3 +320,24 @@ def test_windowed_stream(spark, tmp_path):
     q.awaitTermination(90)
     got = {(str(r.window.start), r.gram): r.c for r in spark.table("windows").orderBy("c").collect()}
     assert got == {("2024-01-01 00:00:00", "x"): 1, ("2024-01-01 09:00:00", "y"): 2, ("2024-01-01 09:00:00", "z"): 1}
+
+
+@pytest.mark.parametrize("most", [3, 7, 1 << 22])
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_grams_are_counted_before_they_are_rows(spark, n, most):
+    from collections import Counter
+
+    texts = ["", "a", "ab", "abc abc", "x" * 40, "😀b𝔘 é\0\0", "日本語 日本語", "abcabc" * 5]
+    leaf = [k % 3 for k in range(len(texts))]
+    want = Counter((x, t[k : k + n]) for x, t in zip(leaf, texts, strict=True) for k in range(len(t) - n + 1))
+    for limits in ({}, {"table": 0}, {"most": 1}):
+        got = Counter()
+        for own, parts in profiles.slices(leaf, texts, n, most):
+            assert sum(map(len, parts)) <= 2 * most + n
+            for x, g, c in zip(*tx.gram_counts(own, parts, n, **limits), strict=True):
+                got[int(x), g] += int(c)
+        assert got == want
+    df = spark.createDataFrame([*zip(leaf, texts, strict=True), (None, "abcd"), (1, None)], "leaf int, text string")
+    got = profiles.profile(df, n)
+    assert {(r.leaf, r.gram): r.c for r in got.collect()} == want | Counter((None, "abcd"[k : k + n]) for k in range(5 - n))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each n-gram
