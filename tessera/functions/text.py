@@ -129,18 +129,28 @@ def byte_cap(text: Column, n: int) -> Column:
     return F.substring(F.encode(text, "UTF-8"), 1, n)
 
 
+def shuffled(text: str | None, seed: int = 0) -> str | None:
+    """What random.Random(seed).shuffle makes of a text's characters: the same draws, without a call for each but the generator's."""
+    if text is None:
+        return None
+    x, draw, high = list(text), random.Random(seed).getrandbits, len(text) - 1
+    while high > 0:
+        bits = (high + 1).bit_length()
+        low = max(0, (1 << bits - 1) - 2)  # down to where a draw has one bit less
+        for i in range(high, low, -1):
+            j = draw(bits)
+            while j > i:
+                j = draw(bits)
+            x[i], x[j] = x[j], x[i]
+        high = low
+    return "".join(x)
+
+
 def shuffle_chars(seed: int = 0):
     """A seeded permutation of a text's characters; its unigram counts stay."""
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            chars = list(t)
-            random.Random(seed).shuffle(chars)
-            return "".join(chars)
-
-        return s.map(one)
+        return s.map(lambda t: shuffled(t, seed))
 
     return run
 

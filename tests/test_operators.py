@@ -341,3 +341,13 @@ def test_grams_are_counted_before_they_are_rows(spark, n, most):
     got = profiles.profile(df, n)
     assert {(r.leaf, r.gram): r.c for r in got.collect()} == want | Counter((None, "abcd"[k : k + n]) for k in range(5 - n))
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()  # no row for each n-gram
+
+
+def test_shuffled_by_the_same_draws():
+    import random
+
+    for n in [*range(40), 127, 128, 129, 1000, 4097]:
+        for seed in (0, 5):
+            x = [chr(0x4E00 + k) for k in range(n)]
+            random.Random(seed).shuffle(x)
+            assert tx.shuffled("".join(chr(0x4E00 + k) for k in range(n)), seed) == "".join(x)
