@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams
+from ..functions.text import gram_counts, ngrams
 from .distances import half, overlap, symmetric
 from .held import held, sent
-from .profiles import draws
+from .profiles import draws, slices, spread
 from .trees import build, splits
 
 
@@ -90,26 +95,124 @@ def block_replicates(units: DataFrame, reps: int, n: int = 3, seed: int = 0) ->
 
     Units are counted once; a replicate is a weighted sum of their counts.
     """
-    return _js_by(block_counts(units, reps, n, seed))
+    weights = held(unit_weights(units, reps, seed))
+    some = [range(low, min(reps, low + AT_ONCE)) for low in range(0, reps, AT_ONCE)]
+    out = [_js_wide(_block_sums(units, weights, x, n), _block_totals(units, weights, x, n), x) for x in some]
+    return reduce(DataFrame.unionByName, out)
 
 
-#: Replicates that one pass over the units' counts adds up.
+#: Replicates that one pass over the units adds up.
 AT_ONCE = 50
-
-
-def block_counts(units: DataFrame, reps: int, n: int = 3, seed: int = 0) -> DataFrame:
-    """rep, leaf, gram, c: the counts of each resample. A unit's counts are read once for AT_ONCE replicates, each of which is a sum of its own."""
-    counts = units.select("leaf", "unit_id", F.explode(ngrams(F.col("text"), n)).alias("gram")).groupBy("leaf", "unit_id", "gram").agg(F.count("*").alias("c"))
-    weights = unit_weights(units, reps, seed)
-    out = None
-    for low in range(0, reps, AT_ONCE):
-        some = range(low, min(reps, low + AT_ONCE))
-        wide = weights.where(F.col("rep").between(some[0], some[-1])).groupBy("unit_id").agg(*[F.sum(F.when(F.col("rep") == r, F.col("w")).otherwise(0)).alias(f"w{r}") for r in some])
-        sums = counts.join(wide, "unit_id").groupBy("leaf", "gram").agg(*[F.sum(F.col("c") * F.col(f"w{r}")).alias(f"c{r}") for r in some])
-        each = F.explode(F.array(*[F.struct(F.lit(r).cast("bigint").alias("rep"), F.col(f"c{r}").alias("c")) for r in some]))
-        part = sums.select("leaf", "gram", each.alias("x")).select("x.rep", "leaf", "gram", "x.c").where("c > 0")
-        out = part if out is None else out.unionByName(part)
-    return out
+#: Characters of units for each partition of their sums, at least one partition a core.
+CHARS_A_PART = 1 << 22
+#: Replicates and leaves on either side of the pairs that one task compares.
+REPS_A_TASK, LEAVES_A_TASK = 5, 512
+
+
+def _block_totals(units: DataFrame, weights: DataFrame, some: range, n: int) -> dict[str, list[int]]:
+    """The number of n-grams of each leaf in each of some replicates, by the lengths of its units; leaves without any are left out."""
+    size = units.select("leaf", "unit_id", (F.length("text") - (n - 1)).cast("bigint").alias("n")).where("n > 0").groupBy("leaf", "unit_id").agg(F.sum("n").alias("n"))
+    t = size.join(weights.where(F.col("rep").between(some[0], some[-1])), "unit_id").groupBy("leaf", "rep").agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+    total: dict[str, list[int]] = {}
+    for r in t.collect():  # a row for each leaf and replicate; the result has one for each two leaves and replicate
+        total.setdefault(r["leaf"], [0] * len(some))[r["rep"] - some[0]] = r["n"]
+    return total
+
+
+def _block_sums(units: DataFrame, weights: DataFrame, some: range, n: int) -> DataFrame:
+    """leaf, gram, c: the counts of each of some replicates, as an array. Units are counted with their weights before they are rows."""
+    wide = weights.where(F.col("rep").between(some[0], some[-1])).groupBy("unit_id").agg(F.array(*[F.sum(F.when(F.col("rep") == r, F.col("w")).otherwise(0)) for r in some]).alias("w"))
+
+    def run(batches):
+        for batch in batches:
+            number: dict = {}
+            codes = [number.setdefault(x, len(number)) for x in batch.column("leaf").to_pylist()]
+            names, w = pa.array(list(number), pa.string()), batch.column("w").flatten().to_numpy().reshape(-1, len(some))
+            for own, parts, at in slices(codes, batch.column("text").to_pylist(), n, places=True):
+                leaf, gram, c = gram_counts([x - own[0] for x in own], parts, n, w[at])
+                if len(gram):
+                    c = pa.FixedSizeListArray.from_arrays(pa.array(c.reshape(-1)), len(some)).cast(pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array([x + own[0] for x in leaf], pa.int64())), pa.array(gram, pa.string()), c], ["leaf", "gram", "c"])
+
+    rows = spread(units.select("leaf", "unit_id", "text").where("text is not null")).join(wide, "unit_id").select("leaf", "text", "w").mapInArrow(run, "leaf string, gram string, c array<bigint>")
+    chars = units.agg(F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0))).head()[0]
+    parts = max(units.sparkSession.sparkContext.defaultParallelism, -(-chars // CHARS_A_PART))
+    sums = rows.repartition(parts, "leaf", "gram").groupBy("leaf", "gram").agg(*[F.sum(F.col("c")[k]).alias(f"c{k}") for k in range(len(some))])
+    return sums.select("leaf", "gram", F.array(*[f"c{k}" for k in range(len(some))]).alias("c"))
+
+
+def _js_wide(sums: DataFrame, total: dict[str, list[int]], some: range) -> DataFrame:
+    """rep, i, j, d: JS of the replicates of sums (leaf, gram, c).
+
+    A task has REPS_A_TASK replicates and two blocks of LEAVES_A_TASK leaves. It reads their counts gram by gram and holds the sums of its pairs alone.
+    """
+    spark, most, width = sums.sparkSession, REPS_A_TASK, LEAVES_A_TASK
+    names = sorted(total)
+    n = np.array([total[x] for x in names], np.float64).reshape(-1, len(some))
+    blocks = max(1, -(-len(names) // width))
+    known = F.broadcast(spark.createDataFrame([(x, k) for k, x in enumerate(names)], "leaf string, k int"))  # leaves, of which all pairs are the result
+    own = F.floor(F.col("k") / width).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.named_struct(F.lit("a"), F.least(b, own), F.lit("b"), F.greatest(b, own)))
+    cut = F.array(*[F.struct(F.lit(k).alias("part"), F.slice("c", k + 1, most).alias("c")) for k in range(0, len(some), most)])
+    rows = sums.join(known, "leaf").select("gram", "k", F.explode(cut).alias("x"), tiles.alias("tiles")).where(F.exists("x.c", lambda c: c > 0))
+    rows = rows.select(F.explode("tiles").alias("t"), "x.part", "gram", "k", "x.c").select("t.a", "t.b", "part", "gram", "k", "c")
+    groups = blocks * (blocks + 1) // 2 * -(-len(some) // most)
+
+    def run(batches):
+        def found(task, acc):
+            a, b, part = task
+            for r in range(acc.shape[2]):
+                there = n[:, part + r] > 0
+                i, j = np.nonzero(there[a * width : (a + 1) * width, None] & there[None, b * width : (b + 1) * width])
+                i, j = (i[i < j], j[i < j]) if a == b else (i, j)
+                d = np.sqrt(np.maximum(0.0, 1.0 + acc[i, j, r]))
+                for low in range(0, len(d), 1 << 16):
+                    x = slice(low, low + (1 << 16))
+                    ij = [every.take(pa.array(k[x] + block * width)) for k, block in ((i, a), (j, b))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d[x]), some[part + r])), *ij, pa.array(d[x])], ["rep", "i", "j", "d"])
+
+        def added(task, acc, k, c):
+            a, b, part = task
+            size = n[k, part : part + c.shape[1]]
+            p = np.divide(c, size, out=np.zeros(c.shape), where=size > 0)
+            if a == b:
+                left, right = np.triu_indices(len(k), 1)
+            else:
+                left, right = (x.reshape(-1) for x in np.meshgrid(np.flatnonzero(k // width == a), np.flatnonzero(k // width == b), indexing="ij"))
+            for low in range(0, len(left), 1 << 16):
+                x, y = left[low : low + (1 << 16)], right[low : low + (1 << 16)]
+                u, v = p[x], p[y]
+                m = (u + v) / 2
+                part_of = 0.5 * u * np.log2(u / m) + 0.5 * v * np.log2(v / m) - m
+                acc[k[x] - a * width, k[y] - b * width] += np.where((u > 0) & (v > 0), part_of, 0.0)
+
+        every, task, acc, rest = pa.array(names, pa.string()), None, None, None
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for batch in chain(batches, [None]):
+                table = pa.Table.from_batches(([rest] if rest is not None else []) + ([batch] if batch is not None else [])).combine_chunks() if rest is not None or batch is not None else None
+                if table is None or not table.num_rows:
+                    continue
+                table = table.to_batches()[0]
+                a, b, part, k = (table.column(x).to_numpy() for x in ("a", "b", "part", "k"))
+                gram = table.column("gram").dictionary_encode().indices.to_numpy()
+                start = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(part) != 0) | (np.diff(gram) != 0)]))
+                ends = [*start[1:], table.num_rows]
+                last = len(start) - (batch is not None)  # the last gram may go on in the next batch
+                c = table.column("c").flatten().to_numpy()
+                offset = table.column("c").offsets.to_numpy() - table.column("c").offsets[0].as_py()
+                for low, high in zip(start[:last], ends[:last], strict=True):
+                    now = int(a[low]), int(b[low]), int(part[low])
+                    if now != task:
+                        if task is not None:
+                            yield from found(task, acc)
+                        task, acc = now, np.zeros((min(width, len(names) - now[0] * width), min(width, len(names) - now[1] * width), min(most, len(some) - now[2])))
+                    added(task, acc, k[low:high], c[offset[low] : offset[high]].reshape(high - low, -1))
+                rest = table.slice(start[-1]) if batch is not None else None
+            if task is not None:
+                yield from found(task, acc)
+
+    dealt = rows.repartition(groups, "a", "b", "part").sortWithinPartitions("a", "b", "part", "gram", "k")
+    return dealt.mapInArrow(run, "rep bigint, i string, j string, d double")
 
 
 def _js_by(profiles: DataFrame) -> DataFrame:

@@ -351,3 +351,15 @@ def test_shuffled_by_the_same_draws():
             x = [chr(0x4E00 + k) for k in range(n)]
             random.Random(seed).shuffle(x)
             assert tx.shuffled("".join(chr(0x4E00 + k) for k in range(n)), seed) == "".join(x)
+
+
+def test_block_replicates_by_tiles(spark, monkeypatch):
+    rows = [(f"l{k % 5}", k // 2, "abc" * (k % 4) + " xyzé 日本" * (k % 3)) for k in range(20)] + [("only", 3, "abcx"), ("none", 1, "ab")]
+    units = spark.createDataFrame(rows, "leaf string, unit_id int, text string")
+    each = units.select("leaf", "unit_id", F.explode(tx.ngrams(F.col("text"), 3)).alias("gram"))
+    counts = each.join(inference.unit_weights(units, 5), "unit_id").groupBy("rep", "leaf", "gram").agg(F.sum("w").alias("c"))
+    want = {(r.rep, r.i, r.j): r.d for r in inference._js_by(counts).collect()}
+    for name, value in (("REPS_A_TASK", 2), ("LEAVES_A_TASK", 2), ("AT_ONCE", 3)):
+        monkeypatch.setattr(inference, name, value)
+    got = {(r.rep, r.i, r.j): r.d for r in inference.block_replicates(units, 5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
